@@ -134,3 +134,24 @@ def first_in_both(df: DataFrame, key: str, ascending: str, descending: str) -> D
     """
     best = df.groupBy(key).agg(F.min(ascending).alias(ascending), F.max(descending).alias(descending))
     return df.join(best, [key, ascending, descending], "left_semi")
+
+
+def rollup_rows(
+    df: DataFrame, keys: list[str], member: str, row_id: str, chunk_rows: int = 10_000
+) -> DataFrame:
+    """All members per key, repeats kept, as comma-joined text of bounded length.
+
+    Like ``rollup_members`` but chunks are filled by row, so a single repeated
+    member cannot overfill one either.
+    """
+    wide = (
+        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > chunk_rows)
+    )
+    chunk = F.when(
+        F.col("_size").isNotNull(),
+        F.pmod(F.xxhash64(F.col(row_id)), F.ceil(F.col("_size") / F.lit(chunk_rows))),
+    ).otherwise(F.lit(0)).cast("int")
+    return (
+        df.join(wide, keys, "left").withColumn("chunk", chunk).groupBy(*keys, "chunk")
+        .agg(F.array_join(F.sort_array(F.collect_list(member)), ",").alias("members"))
+    )
