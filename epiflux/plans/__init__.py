@@ -6,7 +6,7 @@ from importlib import import_module
 
 from epiflux.plans.registry import ORACLES, QUERIES
 
-MODULES = ("tables",)
+MODULES = ("tables", "daily", "linelist", "text")
 
 
 def load_all():

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epiflux.functions.fixed_values import STOP_WORDS
-from epiflux.plans.registry import sql_list
+from epiflux.plans.registry import sql_list, sql_text
 from epiflux.sources.tables import table
 
 # Cumulative counts per "state-county" key: event types stand in for counties.
@@ -45,20 +45,21 @@ CASE doc_id % 6
   WHEN 4 THEN ' covid ready hospitals realdonaldtrump #ready'
   ELSE '' END
 """
-ENTITIES = """
-CASE doc_id % 5
-  WHEN 0 THEN '{u''hashtags'': [{u''text'': u''covid'', u''indices'': [1, 2]}, {u''text'': u'''
-              || source || ''', u''indices'': [9, 12]}], u''urls'': []}'
-  WHEN 1 THEN '{u''hashtags'': [], u''urls'': []}'
-  WHEN 2 THEN '{"x":1}'
-  WHEN 3 THEN '{u''hashtags'': [{u''text'': bad, u''urls'': []}'
-  ELSE '{u''hashtags'': [{u''text'': u''menu''}, {u''text'': u''menu''}], u''urls'': []}' END
-"""
+ENTITY_TEXTS = [
+    "{u'hashtags': [{u'text': u'covid', u'indices': [1, 2]}, {u'text': u'%s', u'indices': [9, 12]}], u'urls': []}",
+    "{u'hashtags': [], u'urls': []}",
+    '{"x":1}',
+    "{u'hashtags': [{u'text': bad, u'urls': []}",
+    "{u'hashtags': [{u'text': u'menu'}, {u'text': u'menu'}], u'urls': []}",
+]
+ENTITIES_SQL = "CASE doc_id % 5 " + " ".join(
+    f"WHEN {i} THEN replace({sql_text(text)}, '%s', source)" for i, text in enumerate(ENTITY_TEXTS)
+) + " END"
 MESSAGES_SQL = f"""
 messages AS (
   SELECT doc_id AS id, text || {DECORATION} AS text,
          CASE WHEN doc_id % 4 = 0 THEN ' quoted ' || lang WHEN doc_id % 4 = 1 THEN '' END AS quoted_text,
-         {ENTITIES} AS entities, lang, source,
+         {ENTITIES_SQL} AS entities, lang, source,
          TIMESTAMP '2024-01-01 00:00:00' + to_seconds((doc_id * 437) % 518400) AS created_ts,
          DATE '2024-01-01' + CAST(doc_id % 5 AS INTEGER) AS created_dt
   FROM documents)
@@ -72,7 +73,10 @@ def messages(spark: SparkSession, folder: str) -> DataFrame:
         key.alias("id"),
         F.concat("text", F.expr(DECORATION)).alias("text"),
         F.when(key % 4 == 0, F.concat(F.lit(" quoted "), "lang")).when(key % 4 == 1, "").alias("quoted_text"),
-        F.expr(ENTITIES.replace("''", "\\'")).alias("entities"),
+        F.replace(
+            F.element_at(F.array(*[F.lit(text) for text in ENTITY_TEXTS]), (key % 5 + 1).cast("int")),
+            F.lit("%s"), F.col("source"),
+        ).alias("entities"),
         "lang", "source",
         F.timestamp_seconds(F.lit(1704067200) + (key * 437) % 518400).alias("created_ts"),
         F.date_add(F.lit("2024-01-01").cast("date"), (key % 5).cast("int")).alias("created_dt"),
