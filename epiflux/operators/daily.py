@@ -10,7 +10,8 @@ def daily_counts(df: DataFrame, date: Column, term: Column) -> DataFrame:
     """``(date, term, volume)``; ``term`` may be an array, then every element counts."""
     rows = df.select(date.alias("date"), term.alias("term"))
     if dict(rows.dtypes)["term"].startswith("array"):
-        rows = rows.select("date", F.explode("term").alias("term"))
+        # outer, so that no emptiness test is pushed down to compute the array twice
+        rows = rows.select("date", F.explode_outer("term").alias("term")).filter("term IS NOT NULL")
     return rows.groupBy("date", "term").agg(F.count(F.lit(1)).alias("volume"))
 
 

@@ -3,44 +3,79 @@
 from __future__ import annotations
 
 from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epiflux.functions.text import prepare_text, tokens, with_bigrams
 
 
-def message_terms(text) -> Column:
-    """Cleaned words and bigrams of a message."""
-    return with_bigrams(tokens(prepare_text(text)))
+def with_terms(df: DataFrame, text, out: str = "terms") -> DataFrame:
+    """Add the cleaned words and bigrams of a message as ``out``.
+
+    Words get a projection of their own, so they are computed once and not again
+    for every use in the bigrams.
+    """
+    words = df.withColumn("_words", tokens(prepare_text(text)))
+    return words.withColumn(out, with_bigrams("_words")).drop("_words")
 
 
 def term_counts(docs: DataFrame, doc_id: str, terms: str) -> DataFrame:
-    """``(doc_id, term, n)`` of an array column."""
-    return docs.select(doc_id, F.explode(terms).alias("term")).groupBy(doc_id, "term").agg(
-        F.count(F.lit(1)).alias("n")
+    """``(doc_id, term, n)`` of an array column; one row per document in, no shuffle.
+
+    Terms are sorted inside the row and counted as the lengths of equal runs.  The
+    outer form of inline keeps the optimizer from pushing an emptiness test, and
+    with it a second tokenization, below the projections.
+    """
+    def at(index):
+        return F.get(F.col("_sorted"), index)
+
+    runs = (
+        docs.select(doc_id, F.sort_array(terms).alias("_sorted"))
+        .withColumn(
+            "_starts",
+            F.filter(
+                F.sequence(F.lit(0), F.size("_sorted")),
+                lambda i: (i < F.size("_sorted")) & ((i == 0) | (at(i) != at(i - 1))),
+            ),
+        )
+        .withColumn(
+            "_ends", F.concat(F.slice("_starts", F.lit(2), F.size("_starts")), F.array(F.size("_sorted")))
+        )
+    )
+    pairs = F.zip_with(
+        "_starts", "_ends",
+        lambda start, end: F.struct(at(start).alias("term"), (end - start).cast("bigint").alias("n")),
     )
+    return runs.select(doc_id, F.inline_outer(pairs)).filter(F.col("term").isNotNull())
 
 
 def vocabulary(
-    counts: DataFrame, n_docs: DataFrame | int, min_df: int = 10, max_df: float = 0.9,
+    counts: DataFrame, n_docs: DataFrame, min_df: int = 10, max_df: float = 0.9,
     max_terms: int | None = 10_000,
 ) -> DataFrame:
     """``(term, docs, total)`` of the terms kept.
 
     Kept are terms in at least ``min_df`` documents and at most the share ``max_df``
-    of them, then the ``max_terms`` most frequent; ties in term order.
+    of them (``n_docs`` is a one-cell frame), then the ``max_terms`` most frequent;
+    ties in term order.
     """
-    total = F.lit(n_docs) if isinstance(n_docs, int) else n_docs.scalar()
     stats = counts.groupBy("term").agg(
         F.count(F.lit(1)).alias("docs"), F.sum("n").alias("total")
     )
-    kept = stats.filter((F.col("docs") >= min_df) & (F.col("docs") <= total * F.lit(max_df)))
+    kept = stats.filter((F.col("docs") >= min_df) & (F.col("docs") <= n_docs.scalar() * F.lit(max_df)))
     return kept if max_terms is None else kept.orderBy(F.desc("total"), "term").limit(max_terms)
 
 
-def doc_term_counts(counts: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Counts restricted to the vocabulary."""
-    return counts.join(vocab.select("term"), "term", "left_semi")
+def in_vocabulary(counts: DataFrame, vocab: DataFrame, max_terms: int | None = 10_000) -> DataFrame:
+    """Counts restricted to the vocabulary.
+
+    A vocabulary cut to ``max_terms`` is small whatever the corpus and is
+    broadcast; an uncut one joins by whatever its size allows.
+    """
+    names = vocab.select("term")
+    if max_terms is not None and max_terms <= 100_000:
+        names = F.broadcast(names)
+    return counts.join(names, "term", "left_semi")
 
 
 def count_vectors(

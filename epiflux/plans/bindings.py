@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epiflux.functions.fixed_values import STOP_WORDS
+from epiflux.operators.partitioning import spread
 from epiflux.plans.registry import sql_list, sql_text
 from epiflux.sources.tables import table
 
@@ -67,7 +68,7 @@ messages AS (
 
 
 def messages(spark: SparkSession, folder: str) -> DataFrame:
-    documents = table(spark, folder, "documents", "doc_id", "text", "lang", "source")
+    documents = spread(table(spark, folder, "documents", "doc_id", "text", "lang", "source"), "doc_id")
     key = F.col("doc_id")
     return documents.select(
         key.alias("id"),

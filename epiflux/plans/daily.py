@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from epiflux.functions.fixed_values import SUBJECT_HASHTAGS
 from epiflux.functions.text import hashtags, tokens
 from epiflux.operators import daily, series
+from epiflux.operators.partitioning import spread
 from epiflux.plans.bindings import (
     CASES_SQL, MESSAGES_SQL, cases, messages, tokens_sql,
 )
@@ -44,7 +45,7 @@ c AS (
 
 
 def _word_counts(spark, folder):
-    docs = table(spark, folder, "documents", "doc_id", "text")
+    docs = spread(table(spark, folder, "documents", "doc_id", "text"), "doc_id")
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 5).cast("int"))
     return daily.daily_counts(docs, day, tokens(F.lower("text")))
 

@@ -9,6 +9,7 @@ from epiflux.functions.fixed_values import TERM_RULES
 from epiflux.functions.places import code_flag, flag_code
 from epiflux.operators import vectorize
 from epiflux.operators.messages import message_documents
+from epiflux.operators.partitioning import spread
 from epiflux.plans.bindings import MESSAGES_SQL, joined, messages, tokens_sql
 from epiflux.plans.registry import query, sql_text
 from epiflux.sources.tables import table
@@ -114,6 +115,7 @@ CLEAN_TOKENS_SQL = tokens_sql(normalize_sql(strip_sql("lower(text)")))
 )
 def tokens_bigrams(spark, folder):
     docs = table(spark, folder, "documents", "doc_id", "text", "lang").filter("lang = 'en'")
+    docs = spread(docs, "doc_id")
     rows = docs.select("doc_id", text.tokens(text.prepare_text(F.lower("text"))).alias("w"))
     both = rows.withColumn("both", text.with_bigrams("w"))
     return both.select(
@@ -136,8 +138,8 @@ vocab AS (
 
 def document_terms(spark, folder):
     """Counts of words and bigrams per document, and the vocabulary kept."""
-    docs = table(spark, folder, "documents", "doc_id", "text")
-    rows = docs.select("doc_id", vectorize.message_terms(F.lower("text")).alias("terms"))
+    docs = spread(table(spark, folder, "documents", "doc_id", "text"), "doc_id")
+    rows = vectorize.with_terms(docs, F.lower("text"))
     counts = vectorize.term_counts(rows, "doc_id", "terms")
     total = table(spark, folder, "documents", "doc_id").agg(F.count(F.lit(1)))
     return counts, vectorize.vocabulary(counts, total)
@@ -145,7 +147,7 @@ def document_terms(spark, folder):
 
 @query("doc_term_counts", f"WITH {TERMS_SQL} SELECT doc_id, term, n FROM counts WHERE term IN (SELECT term FROM vocab)")
 def doc_term_counts(spark, folder):
-    return vectorize.doc_term_counts(*document_terms(spark, folder)).select("doc_id", "term", "n")
+    return vectorize.in_vocabulary(*document_terms(spark, folder)).select("doc_id", "term", "n")
 
 
 @query(
@@ -167,7 +169,7 @@ def top_doc_freq_terms(spark, folder):
     """,
 )
 def doc_lengths_term_freq(spark, folder):
-    kept = vectorize.doc_term_counts(*document_terms(spark, folder))
+    kept = vectorize.in_vocabulary(*document_terms(spark, folder))
     cells = F.array(
         F.struct(F.lit("doc").alias("kind"), F.col("doc_id").cast("string").alias("name")),
         F.struct(F.lit("term").alias("kind"), F.col("term").alias("name")),
@@ -189,7 +191,7 @@ def hashtag_counts(spark, folder):
     counts = vectorize.term_counts(rows, "id", "tags").filter("term <> ''")
     total = table(spark, folder, "documents", "doc_id").agg(F.count(F.lit(1)))
     vocab = vectorize.vocabulary(counts, total, min_df=5, max_df=1.0, max_terms=None)
-    return vectorize.doc_term_counts(counts, vocab).select("id", F.col("term").alias("tag"), "n")
+    return vectorize.in_vocabulary(counts, vocab, max_terms=None).select("id", F.col("term").alias("tag"), "n")
 
 
 _FLAG_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

@@ -75,8 +75,8 @@ def grep_column(df: DataFrame, text: str, pattern: str) -> DataFrame:
     )
     hits = F.filter(numbered, lambda item: item["line"].rlike(pattern))
     return df.select(
-        *[c for c in df.columns if c != text], F.inline(hits)
-    )
+        *[c for c in df.columns if c != text], F.inline_outer(hits)
+    ).filter(F.col("line_no").isNotNull())
 
 
 def first_line_capture(text, pattern: str, group: int = 1) -> Column:
