@@ -6,7 +6,7 @@ from importlib import import_module
 
 from epiflux.plans.registry import ORACLES, QUERIES
 
-MODULES = ("tables", "daily", "linelist", "text", "places", "rt")
+MODULES = ("tables", "daily", "linelist", "text", "places", "rt", "topics", "stream")
 
 
 def load_all():

@@ -27,7 +27,7 @@ def read_delimited(
     if keep_corrupt:
         declared = T.StructType(declared.fields + [T.StructField(_CORRUPT, T.StringType())])
     reader = spark.read.schema(declared).option("sep", sep).option("header", header)
-    reader = reader.option("enforceSchema", True).option("mode", "PERMISSIVE")
+    reader = reader.option("enforceSchema", True).option("mode", "PERMISSIVE").option("escape", '"')
     if keep_corrupt:
         reader = reader.option("columnNameOfCorruptRecord", _CORRUPT)
     return reader.csv(path)

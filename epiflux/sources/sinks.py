@@ -8,19 +8,31 @@ from pyspark.sql import types as T
 
 from epiflux.sources.readers import read_delimited
 
+# quotes are doubled and outer spaces kept, so texts come back as they were
+DELIMITED = {
+    "header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
 
-def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> str:
-    """Write parquet, JSON lines, or tab-separated text (arrays joined by commas)."""
-    if fmt == "tsv":
-        flat = [
+
+def flat_columns(df: DataFrame) -> DataFrame:
+    """Arrays joined by commas, for line-based files."""
+    return df.select(
+        *[
             F.array_join(F.col(f"`{field.name}`"), ",").alias(field.name)
             if isinstance(field.dataType, T.ArrayType) else F.col(f"`{field.name}`")
             for field in df.schema.fields
         ]
-        df.select(*flat).write.mode(mode).option("sep", "\t").option("header", True).csv(path)
-    elif fmt in ("parquet", "json", "csv"):
-        writer = df.write.mode(mode)
-        (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
+    )
+
+
+def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite") -> str:
+    """Write parquet, JSON lines, or tab-separated text (arrays joined by commas)."""
+    if fmt == "tsv":
+        flat_columns(df).write.mode(mode).options(sep="\t", **DELIMITED).csv(path)
+    elif fmt == "csv":
+        df.write.mode(mode).options(**DELIMITED).csv(path)
+    elif fmt in ("parquet", "json"):
+        df.write.mode(mode).format(fmt).save(path)
     else:
         raise ValueError(f"unknown format {fmt!r}: parquet, json, csv or tsv")
     return path
