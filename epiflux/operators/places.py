@@ -15,7 +15,7 @@ from epiflux.functions.fixed_values import (
 )
 from epiflux.functions.places import first_part, flag_code, fold_for_geocoder, fold_place, is_flag, last_part
 from epiflux.operators.matching import fuzzy_states
-from epiflux.operators.relational import first_in_both, rollup_members, union_sparse
+from epiflux.operators.relational import first_in_both, lookup, rollup_members, union_sparse
 from epiflux.session import stored
 
 DETAILS = [
@@ -213,13 +213,13 @@ def match_places(names: DataFrame, gazetteer: DataFrame, countries: DataFrame) -
     so distinct pairs are matched and joined back.  A pair asks for one or two
     lookup keys, and each key meets at most one row.
     """
-    pairs = stored(
-        names.select("city", "token").distinct().join(countries.select("token", "code"), "token", "left"),
-        "place-pairs",
-    )
-    tokens = pairs.filter("code IS NULL").select("token").distinct()
-    states = resolve_states(tokens, gazetteer)
-    asked = stored(pairs.join(states, "token", "left"), "place-keys")
+    distinct = stored(names.select("city", "token").distinct(), "place-pairs")
+    tokens = distinct.select("token").distinct().join(countries.select("token", "code"), "token", "left")
+    tokens = stored(tokens, "place-tokens")
+    states = resolve_states(tokens.filter("code IS NULL").select("token"), gazetteer)
+    scopes = tokens.join(states, "token", "left")
+    # one country or state may be behind most pairs
+    asked = stored(lookup(distinct, scopes, "token"), "place-keys")
 
     def key(kind: str, scope: str | None, alias: Column) -> Column:
         return F.struct(
@@ -279,7 +279,7 @@ def rollup_places(mapped: DataFrame, variants: DataFrame, gazetteer: DataFrame)
     """
     hits = mapped.filter("geonameid IS NOT NULL").select("geonameid", "place_norm").distinct()
     names = hits.select("geonameid", F.col("place_norm").alias("member"), F.lit(True).alias("queried"))
-    spellings = hits.join(variants.select("place_norm", "variant"), "place_norm").select(
+    spellings = lookup(variants.select("place_norm", "variant"), hits, "place_norm", "inner").select(
         "geonameid", F.explode(_members(F.col("variant"))).alias("member"), F.lit(False).alias("queried")
     )
     own = gazetteer.join(hits.select("geonameid").distinct(), "geonameid", "left_semi").select(

@@ -75,6 +75,42 @@ def value_counts(df: DataFrame, columns: list[str], keep_null: bool = True) -> D
     return long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def lookup(
+    left: DataFrame, right: DataFrame, key: str, how: str = "left", hot_rows: int = 1_000_000
+) -> DataFrame:
+    """Join to a side with one row per key, where a few keys may hold most rows of ``left``.
+
+    Keys with more than ``hot_rows`` rows are spread over as many salts as their
+    count asks for, and only their lookup rows are repeated.  There are at most
+    ``rows / hot_rows`` such keys, so their table is broadcast.
+    """
+    hot = F.broadcast(
+        left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+        .select(key, F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_parts"))
+    )
+    parts = F.coalesce("_parts", F.lit(1))
+    row = F.xxhash64(*[F.col(f"`{name}`") for name in left.columns])
+    salted = left.join(hot, key, "left").withColumn("_salt", F.pmod(row, parts).cast("int")).drop("_parts")
+    repeated = right.join(hot, key, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), parts - 1))
+    ).drop("_parts")
+    return salted.join(repeated, [key, "_salt"], how).drop("_salt")
+
+
+def _with_chunk(df: DataFrame, keys: list[str], spread_by: str, chunk_rows: int) -> DataFrame:
+    """Add ``chunk``: 0, or for keys of more than ``chunk_rows`` rows a hash of ``spread_by``."""
+    wide = (
+        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > chunk_rows)
+        .select(*[F.col(key).alias(f"_wide_{key}") for key in keys], "_size")
+    )
+    same = reduce(lambda a, b: a & b, [F.col(key).eqNullSafe(F.col(f"_wide_{key}")) for key in keys])
+    chunk = F.when(
+        F.col("_size").isNotNull(),
+        F.pmod(F.xxhash64(F.col(spread_by)), F.ceil(F.col("_size") / F.lit(chunk_rows))),
+    ).otherwise(F.lit(0)).cast("int")
+    return df.join(wide, same, "left").withColumn("chunk", chunk).select(*df.columns, "chunk")
+
+
 def rollup_members(
     df: DataFrame, keys: list[str], member: str, flags: tuple[str, ...] = (), chunk_rows: int = 10_000
 ) -> DataFrame:
@@ -88,15 +124,7 @@ def rollup_members(
     pairs = df.groupBy(*keys, member).agg(
         F.count(F.lit(1)).alias("_n"), *[F.max(F.col(flag)).alias(flag) for flag in flags]
     )
-    wide = (
-        pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-        .filter(F.col("_size") > chunk_rows)
-    )
-    chunk = F.when(
-        F.col("_size").isNotNull(),
-        F.pmod(F.xxhash64(F.col(member)), F.ceil(F.col("_size") / F.lit(chunk_rows))),
-    ).otherwise(F.lit(0)).cast("int")
-    chunked = pairs.join(wide, keys, "left").withColumn("chunk", chunk)
+    chunked = _with_chunk(pairs, keys, member, chunk_rows)
     arrays = [F.sort_array(F.collect_list(member)).alias("members"), F.sum("_n").alias("n_rows")]
     arrays += [
         F.sort_array(F.collect_list(F.when(F.col(flag), F.col(member)))).alias(f"{flag}_members")
@@ -144,14 +172,7 @@ def rollup_rows(
     Like ``rollup_members`` but chunks are filled by row, so a single repeated
     member cannot overfill one either.
     """
-    wide = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > chunk_rows)
-    )
-    chunk = F.when(
-        F.col("_size").isNotNull(),
-        F.pmod(F.xxhash64(F.col(row_id)), F.ceil(F.col("_size") / F.lit(chunk_rows))),
-    ).otherwise(F.lit(0)).cast("int")
     return (
-        df.join(wide, keys, "left").withColumn("chunk", chunk).groupBy(*keys, "chunk")
+        _with_chunk(df, keys, row_id, chunk_rows).groupBy(*keys, "chunk")
         .agg(F.array_join(F.sort_array(F.collect_list(member)), ",").alias("members"))
     )

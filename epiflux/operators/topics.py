@@ -53,9 +53,15 @@ def fit_topics(
 
 
 def doc_topics(fitted: TopicModel, id_columns: list[str]) -> DataFrame:
-    """The documents with their topic distribution as an array ``shares``."""
-    scored = fitted.model.transform(fitted.vectors)
-    return scored.select(*id_columns, vector_to_array("topic_vector").alias("shares"))
+    """The documents with their topic distribution as an array ``shares``.
+
+    A document without vocabulary terms keeps the even prior.
+    """
+    scored = fitted.model.transform(fitted.vectors).select(
+        *id_columns, vector_to_array("topic_vector").alias("shares")
+    )
+    even = F.array_repeat(F.lit(1.0 / fitted.k), fitted.k)
+    return scored.withColumn("shares", F.when(F.array_max("shares") > 0, F.col("shares")).otherwise(even))
 
 
 def topic_terms(fitted: TopicModel, n: int | None = None) -> DataFrame:
