@@ -6,19 +6,24 @@ projection inside code generation.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _DATE_SHAPE = r"^\d{1,2}.\d{1,2}.\d{2,4}"
-_DATE_PARTS = r"^(\d{1,2})[./-](\d{1,2})[./-](\d{4}|\d{2})$"
+_DATE_SHAPE_FULL = r"^\d{1,2}[./-]\d{1,2}[./-](\d{4}|\d{2})$"
 
 
 def _strip_spaces(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\s", "")
 
 
+def _named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` applied to a value that is computed once, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def clean_date(value, valid_start=None, valid_end=None, missing=None, two_digit_pivot=76) -> Column:
     """Day-first date of a messy text, or NULL.
 
@@ -34,25 +39,27 @@ def clean_date(value, valid_start=None, valid_end=None, missing=None, two_digit_
     if missing is not None:
         text = F.when(~text.rlike(_DATE_SHAPE), F.lit(missing)).otherwise(text)
 
-    first = F.regexp_extract(text, _DATE_PARTS, 1)
-    second = F.regexp_extract(text, _DATE_PARTS, 2)
-    year = F.regexp_extract(text, _DATE_PARTS, 3)
-    year = (
-        F.when(F.length(year) == 4, year)
-        .when(year >= F.lit(f"{two_digit_pivot:02d}"), F.concat(F.lit("19"), year))
-        .otherwise(F.concat(F.lit("20"), year))
-    )
-    first2, second2 = F.lpad(first, 2, "0"), F.lpad(second, 2, "0")
-    swap = (second2 > "12") & (first2 <= "12")
-    iso = F.concat_ws(
-        "-", year, F.when(swap, first2).otherwise(second2), F.when(swap, second2).otherwise(first2)
-    )
-    parsed = F.when(text.rlike(_DATE_PARTS), iso)
-    day = F.try_to_date(parsed, "yyyy-MM-dd")
+    end = F.current_date() if valid_end is None else F.lit(valid_end).cast("date")
+
+    def to_day(parts: Column) -> Column:
+        first, second = (F.lpad(F.get(parts, F.lit(i)), 2, "0") for i in (0, 1))
+        year = F.get(parts, F.lit(2))
+        year = (
+            F.when(F.length(year) == 4, year)
+            .when(year >= F.lit(f"{two_digit_pivot:02d}"), F.concat(F.lit("19"), year))
+            .otherwise(F.concat(F.lit("20"), year))
+        )
+        swap = (second > "12") & (first <= "12")
+        iso = F.concat_ws(
+            "-", year, F.when(swap, first).otherwise(second), F.when(swap, second).otherwise(first)
+        )
+        return iso.try_cast("date")
+
+    parts = F.when(text.rlike(_DATE_SHAPE_FULL), F.split(text, "[./-]"))
+    day = _named(parts, to_day)
     if valid_start is None:
         return day
-    end = F.current_date() if valid_end is None else F.lit(valid_end).cast("date")
-    return F.when(day.between(F.lit(valid_start).cast("date"), end), day)
+    return _named(day, lambda d: F.when(d.between(F.lit(valid_start).cast("date"), end), d))
 
 
 def clean_age(value) -> Column:

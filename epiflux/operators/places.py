@@ -17,6 +17,7 @@ from epiflux.functions.places import first_part, flag_code, fold_for_geocoder, f
 from epiflux.operators.matching import fuzzy_states
 from epiflux.operators.relational import first_in_both, lookup, rollup_members, union_sparse
 from epiflux.session import stored
+from epiflux.sources.tables import fixed_table
 
 DETAILS = [
     "geonameid", "asciiname", "country_code", "hierarchy", "feature_code", "latitude", "longitude",
@@ -72,8 +73,8 @@ def country_dim(gazetteer: DataFrame, variants: DataFrame | None = None) -> Data
     official = gazetteer.filter("feature_code = 'PCL'").select(
         F.col("asciiname").alias("name"), F.col("country_code").alias("code"), F.lit(1).alias("priority")
     )
-    overrides = spark.createDataFrame(
-        [(name, code, 2) for name, code in COUNTRY_OVERRIDES.items()], "name string, code string, priority int"
+    overrides = fixed_table(
+        spark, [(name, code, 2) for name, code in COUNTRY_OVERRIDES.items()], "name string, code string, priority int"
     )
     frames = official.unionByName(overrides)
     if variants is not None:
@@ -95,7 +96,7 @@ def join_alternate_names(alternates: DataFrame, countries: DataFrame) -> DataFra
 
 
 def _remap_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(PLACE_REMAP.items()), "place string, remapped string")
+    return fixed_table(spark, PLACE_REMAP.items(), "place string, remapped string")
 
 
 def normalize_places(raw: DataFrame, text: str, countries: DataFrame) -> DataFrame:
@@ -347,7 +348,7 @@ def normalize_geocoded(results: DataFrame, short_names: DataFrame) -> DataFrame:
     two-letter codes.
     """
     spark = results.sparkSession
-    states = spark.createDataFrame(list(US_STATES.items()), "state string, state_name string")
+    states = fixed_table(spark, US_STATES.items(), "state string, state_name string")
     joined = results.join(F.broadcast(states), "state", "left").join(
         F.broadcast(short_names.withColumnRenamed("country", "short_name")),
         F.col("country") == F.col("code"), "left",

@@ -6,82 +6,80 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def exact_quantiles(df: DataFrame, column: str, probabilities: list[float], buckets: int = 4096) -> DataFrame:
-    """One row of linearly interpolated quantiles ``q0, q1, ...`` plus ``n``.
+def profile_columns(
+    df: DataFrame, columns: list[str], probabilities: list[float], buckets: int = 4096
+) -> DataFrame:
+    """One row per column: ``n``, ``mean``, ``std``, ``min``, ``max`` and quantiles ``q0, q1, ...``.
 
-    Values are counted first, spread over equal-width buckets, and ranked inside
-    their bucket on top of the bucket's offset.  Only the ``buckets`` totals are
-    ordered in one place; no task sorts the whole column.
+    All columns share one scan.  Values are counted first, so a value that fills
+    most rows weighs one row.  Distinct values are spread over equal-width buckets
+    and ranked inside their bucket on top of the bucket's offset; only the bucket
+    totals are ordered in one place.  Quantiles are interpolated linearly.
     """
-    value = F.col(column).cast("double")
+    cells = F.array(
+        *[F.struct(F.lit(name).alias("column"), F.col(name).cast("double").alias("v")) for name in columns]
+    )
     counts = (
-        df.select(value.alias("v")).filter(F.col("v").isNotNull())
-        .groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+        df.select(F.inline(cells)).filter(F.col("v").isNotNull())
+        .groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
+    )
+    span = counts.groupBy("column").agg(
+        F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("total"),
+        (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"),
     )
-    span = counts.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("total"))
-    low, high = span.select("low").scalar(), span.select("high").scalar()
-    bucketed = counts.select(
-        "v", "n",
-        F.when(
-            high > low,
-            F.least(F.floor((F.col("v") - low) / (high - low) * buckets), F.lit(buckets - 1)),
-        ).otherwise(F.lit(0)).cast("int").alias("bucket"),
+    low, high, v, n = F.col("low"), F.col("high"), F.col("v"), F.col("n")
+    # one row per listed column
+    placed = counts.join(F.broadcast(span), "column").withColumn(
+        "bucket",
+        F.when(high > low, F.least(F.floor((v - low) / (high - low) * buckets), F.lit(buckets - 1)))
+        .otherwise(F.lit(0)).cast("int"),
     )
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = bucketed.groupBy("bucket").agg(F.sum("n").alias("size")).select(
-        "bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("shift")
+    before = Window.partitionBy("column").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = placed.groupBy("column", "bucket").agg(F.sum("n").alias("size")).select(
+        "column", "bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("shift")
     )
-    upto = F.sum("n").over(Window.partitionBy("bucket").orderBy("v"))
-    ranked = bucketed.join(offsets, "bucket").select(
-        "v", "n", (F.col("shift") + upto).alias("upto")
+    inside = Window.partitionBy("column", "bucket").orderBy("v")
+    ranked = placed.join(offsets, ["column", "bucket"]).withColumn(
+        "upto", F.col("shift") + F.sum("n").over(inside)
     )
-    total = span.select("total").scalar()
-    columns = []
+    ends = []
     for i, p in enumerate(probabilities):
-        target = F.lit(float(p)) * (total - 1)
+        target = F.lit(float(p)) * (F.col("total") - 1)
         for rank, side in ((F.floor(target), "lo"), (F.ceil(target), "hi")):
-            inside = (F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto"))
-            columns.append(F.max(F.when(inside, F.col("v"))).alias(f"{side}{i}"))
-    row = ranked.agg(F.sum("n").alias("n"), *columns)
-    return row.select(
-        "n",
-        *[
-            (F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}"))
-             * (F.lit(float(p)) * (F.col("n") - 1) - F.floor(F.lit(float(p)) * (F.col("n") - 1)))
-             ).alias(f"q{i}")
-            for i, p in enumerate(probabilities)
-        ],
+            hit = (F.col("upto") - n <= rank) & (rank < F.col("upto"))
+            ends.append(F.max(F.when(hit, v)).alias(f"{side}{i}"))
+    rows = ranked.groupBy("column").agg(
+        F.sum("n").alias("n"), F.first("mean").alias("mean"),
+        F.sum(n * (v - F.col("mean")) * (v - F.col("mean"))).alias("squares"),
+        F.min("v").alias("min"), F.max("v").alias("max"), *ends,
     )
+    quantiles = []
+    for i, p in enumerate(probabilities):
+        target = F.lit(float(p)) * (F.col("n") - 1)
+        between = F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (target - F.floor(target))
+        quantiles.append(between.alias(f"q{i}"))
+    deviation = F.when(F.col("n") > 1, F.sqrt(F.col("squares") / (F.col("n") - 1)))
+    return rows.select("column", "n", "mean", deviation.alias("std"), "min", "max", *quantiles)
+
+
+def exact_quantiles(df: DataFrame, column: str, probabilities: list[float], buckets: int = 4096) -> DataFrame:
+    """One row with ``n`` and the quantiles ``q0, q1, ...`` of a column."""
+    profile = profile_columns(df, [column], probabilities, buckets)
+    return profile.select("n", *[f"q{i}" for i in range(len(probabilities))])
 
 
 def describe_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, mean, sample deviation, extremes and quartiles, one row per column."""
-    parts = []
-    for name in columns:
-        moments = df.agg(
-            F.mean(name).alias("mean"), F.stddev_samp(name).alias("std"),
-            F.min(name).cast("double").alias("min"), F.max(name).cast("double").alias("max"),
-        )
-        quartiles = exact_quantiles(df, name, [0.25, 0.5, 0.75])
-        parts.append(
-            quartiles.select(
-                F.lit(name).alias("column"), F.col("n").alias("count"),
-                *[moments.select(stat).scalar().alias(stat) for stat in ("mean", "std", "min", "max")],
-                F.col("q0").alias("p25"), F.col("q1").alias("p50"), F.col("q2").alias("p75"),
-            )
-        )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    profile = profile_columns(df, columns, [0.25, 0.5, 0.75])
+    return profile.withColumnsRenamed({"n": "count", "q0": "p25", "q1": "p50", "q2": "p75"})
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """Counts in equal-width bins between the extremes; the last bin is closed."""
     value = F.col(column).cast("double")
     data = df.select(value.alias("v")).filter(F.col("v").isNotNull())
-    span = data.agg(F.min("v").alias("low"), F.max("v").alias("high"))
-    low, high = span.select("low").scalar(), span.select("high").scalar()
+    span = data.agg(F.struct(F.min("v").alias("low"), F.max("v").alias("high"))).scalar()
+    low, high = span["low"], span["high"]
     at = F.when(
         high > low, F.least(F.floor((F.col("v") - low) * bins / (high - low)), F.lit(bins - 1))
     ).otherwise(F.lit(0)).cast("int")

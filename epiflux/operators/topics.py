@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from epiflux.operators.vectorize import count_vectors
 from epiflux.session import cut_lineage, stored
+from epiflux.sources.tables import fixed_table
 
 
 @dataclass
@@ -71,7 +72,7 @@ def topic_terms(fitted: TopicModel, n: int | None = None) -> DataFrame:
     rows = described.select(
         "topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "pair")
     ).select("topic", "rank", F.col("pair.termIndices").alias("at"), F.col("pair.termWeights").alias("weight"))
-    names = spark.createDataFrame(list(enumerate(fitted.terms)), "at int, term string")
+    names = fixed_table(spark, enumerate(fitted.terms), "at int, term string")
     # at most the vocabulary cap
     return rows.join(F.broadcast(names), "at").select("topic", "rank", "term", "weight")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,3 +22,11 @@ def catalog_table(spark: SparkSession, name: str) -> DataFrame:
 def sql_over(spark: SparkSession, statement: str, **views: DataFrame) -> DataFrame:
     """Run a statement over frames given as named arguments (``{name}`` in the text)."""
     return spark.sql(statement, **views)
+
+
+def fixed_table(spark: SparkSession, rows, schema: str) -> DataFrame:
+    """A small table of fixed values, held in the plan itself."""
+    columns = [field.split()[0] for field in schema.split(", ")]
+    rows = list(rows)
+    data = pa.table({name: [row[i] for row in rows] for i, name in enumerate(columns)})
+    return spark.createDataFrame(data, schema)
