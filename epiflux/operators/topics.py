@@ -31,7 +31,7 @@ class TopicModel:
 
 
 def fit_topics(
-    docs: DataFrame, terms: str, k: int = 3, alpha: float = 0.01, passes: int = 1, chunk: int = 1000,
+    docs: DataFrame, doc_id: str, terms: str, k: int = 3, alpha: float = 0.01, passes: int = 1, chunk: int = 1000,
     decay: float = 0.5, seed: int = 0, min_df: int = 10, max_df: float = 0.9, max_terms: int = 10_000,
     max_updates: int = 50,
 ) -> TopicModel:
@@ -41,7 +41,7 @@ def fit_topics(
     that a pass never takes more than ``max_updates`` scans.  Vectors are written
     once, because every update samples them again.
     """
-    fitted, vectors = count_vectors(docs, terms, min_df=min_df, max_df=max_df, max_terms=max_terms)
+    names, vectors = count_vectors(docs, doc_id, terms, min_df=min_df, max_df=max_df, max_terms=max_terms)
     vectors = stored(vectors.drop(terms), "topic-vectors")
     n_docs = max(vectors.count(), 1)
     share = min(1.0, max(chunk / n_docs, 1.0 / max_updates))
@@ -50,7 +50,7 @@ def fit_topics(
         learningDecay=decay, subsamplingRate=share, seed=seed, featuresCol="features",
         topicDistributionCol="topic_vector",
     )
-    return TopicModel(lda.fit(vectors), list(fitted.vocabulary), vectors)
+    return TopicModel(lda.fit(vectors), names, vectors)
 
 
 def doc_topics(fitted: TopicModel, id_columns: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,11 +79,19 @@ def in_vocabulary(counts: DataFrame, vocab: DataFrame, max_terms: int | None = 1
 
 
 def count_vectors(
-    docs: DataFrame, terms: str, out: str = "features", min_df: int = 10, max_df: float = 0.9,
+    docs: DataFrame, doc_id: str, terms: str, out: str = "features", min_df: int = 10, max_df: float = 0.9,
     max_terms: int = 10_000,
-) -> tuple[CountVectorizerModel, DataFrame]:
-    """Sparse count vectors for model fitting, with the fitted vocabulary."""
-    model = CountVectorizer(
-        inputCol=terms, outputCol=out, minDF=min_df, maxDF=max_df, vocabSize=max_terms
-    ).fit(docs)
-    return model, model.transform(docs)
+) -> tuple[list[str], DataFrame]:
+    """Sparse count vectors for model fitting, and the vocabulary in column order.
+
+    The vocabulary is found by the aggregate above, most frequent term first, so
+    equal counts keep one order in every run.  At most ``max_terms`` names reach
+    the driver, where the vectorizer needs them.
+    """
+    n_docs = docs.agg(F.count(F.lit(1)))
+    vocab = vocabulary(term_counts(docs, doc_id, terms), n_docs, min_df, max_df, max_terms)
+    names = [row.term for row in vocab.orderBy(F.desc("total"), "term").collect()]
+    if not names:
+        raise ValueError("no term is frequent enough for the vocabulary")
+    model = CountVectorizerModel.from_vocabulary(names, inputCol=terms, outputCol=out)
+    return names, model.transform(docs)

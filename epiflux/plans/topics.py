@@ -33,7 +33,7 @@ def _docs(spark, folder):
 
 def _fitted(spark, folder, docs=None):
     docs = _docs(spark, folder) if docs is None else docs
-    return topics.fit_topics(docs, "terms", k=_K)
+    return topics.fit_topics(docs, "doc_id", "terms", k=_K)
 
 
 def _shares(fitted):

@@ -26,6 +26,8 @@ def build_session(app: str = "epiflux", master: str | None = None, **conf) -> Sp
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # no stack trace per column call: plans here are built from many small expressions
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **conf,
     }
     for key, value in settings.items():

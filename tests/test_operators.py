@@ -167,8 +167,9 @@ def test_vocabulary_limits(spark):
     counts = vectorize.term_counts(frame, "doc_id", "terms")
     vocab = vectorize.vocabulary(counts, frame.agg(F.count(F.lit(1))))
     assert [r.term for r in vocab.collect()] == ["some"]
-    model, _ = vectorize.count_vectors(frame, "terms")
-    assert model.vocabulary == ["some"]
+    names, vectors = vectorize.count_vectors(frame, "doc_id", "terms")
+    assert names == ["some"]
+    assert sum(row.features[0] for row in vectors.collect()) == 12
 
 
 def test_ngram_match_equals_brute_force(spark):
