@@ -6,28 +6,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epiflux.functions.similarity import best_by_block_ratio, best_by_edit_ratio, char_ngrams
+from epiflux.operators.relational import lookup
 
 
 def states_by_country(states: DataFrame) -> DataFrame:
-    """Folded state names per country as one array.
+    """Folded state names per country as one array, and their codes as a map.
 
     First-level divisions are a few hundred per country at most, however large
     the texts to match are.
     """
-    return states.groupBy("country_code").agg(
-        F.sort_array(F.collect_set(F.lower("asciiname"))).alias("state_names")
+    named = states.groupBy("country_code", F.lower("asciiname").alias("name")).agg(
+        F.min(F.upper("admin1_code")).alias("code")
+    )
+    entries = F.sort_array(F.collect_list(F.struct("name", "code")))
+    return named.groupBy("country_code").agg(entries.alias("entries")).select(
+        "country_code", F.col("entries.name").alias("state_names"),
+        F.map_from_entries("entries").alias("state_codes"),
     )
 
 
 def fuzzy_states(tokens: DataFrame, states: DataFrame, above: int = 75, by: str = "blocks") -> DataFrame:
-    """Add ``score`` and ``state_name`` of the most similar state in the token's country.
+    """Add ``score``, ``state_name`` and ``state_code`` of the most similar state in the token's country.
 
     ``tokens`` has ``country_code`` and ``token``.  The states of a country travel
     as one array, so each token stays one row: no token-state pairs are made.
     ``by`` is ``blocks`` (matching blocks, Arrow batches) or ``edits`` (edit
     distance, JVM only).  Scores up to ``above`` give NULL.
     """
-    joined = tokens.join(states_by_country(states), "country_code", "left")
+    joined = lookup(tokens, states_by_country(states), "country_code")
     if by == "edits":
         best = best_by_edit_ratio(F.col("token"), F.col("state_names"))
     else:
@@ -38,6 +44,7 @@ def fuzzy_states(tokens: DataFrame, states: DataFrame, above: int = 75, by: str
         *tokens.columns,
         F.when(good, F.col("_best.score")).alias("score"),
         F.when(good, F.col("_best.choice")).alias("state_name"),
+        F.when(good, F.try_element_at("state_codes", F.col("_best.choice"))).alias("state_code"),
     )
 
 

@@ -172,13 +172,9 @@ def resolve_countries(tokens: DataFrame, gazetteer: DataFrame, min_partial: int
 def resolve_states(tokens: DataFrame, gazetteer: DataFrame, above: int = 75) -> DataFrame:
     """State code of tokens that are no country: a similar state name, else the token in capitals."""
     states = gazetteer.filter("feature_code = 'ADM1'").select("country_code", "asciiname", "admin1_code")
-    located = resolve_countries(tokens, gazetteer)
-    scored = fuzzy_states(located, states, above)
-    codes = states.groupBy("country_code", F.lower("asciiname").alias("state_name")).agg(
-        F.min(F.upper("admin1_code")).alias("similar")
-    )
-    return scored.join(codes, ["country_code", "state_name"], "left").select(
-        "token", F.coalesce("similar", F.upper("token")).alias("state_code")
+    located = stored(resolve_countries(tokens, gazetteer), "place-countries")
+    return fuzzy_states(located, states, above).select(
+        "token", F.coalesce("state_code", F.upper("token")).alias("state_code")
     )
 
 

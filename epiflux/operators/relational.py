@@ -76,25 +76,29 @@ def value_counts(df: DataFrame, columns: list[str], keep_null: bool = True) -> D
 
 
 def lookup(
-    left: DataFrame, right: DataFrame, key: str, how: str = "left", hot_rows: int = 1_000_000
+    left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "left", hot_rows: int = 1_000_000
 ) -> DataFrame:
     """Join to a side with one row per key, where a few keys may hold most rows of ``left``.
 
     Keys with more than ``hot_rows`` rows are spread over as many salts as their
     count asks for, and only their lookup rows are repeated.  There are at most
-    ``rows / hot_rows`` such keys, so their table is broadcast.
+    ``rows / hot_rows`` such keys, so their table is broadcast.  Rows with a NULL
+    key match nothing and are spread by their hash.
     """
+    keys = [keys] if isinstance(keys, str) else keys
     hot = F.broadcast(
-        left.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
-        .select(key, F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_parts"))
+        left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows)
+        .select(*keys, F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_parts"))
     )
     parts = F.coalesce("_parts", F.lit(1))
     row = F.xxhash64(*[F.col(f"`{name}`") for name in left.columns])
-    salted = left.join(hot, key, "left").withColumn("_salt", F.pmod(row, parts).cast("int")).drop("_parts")
-    repeated = right.join(hot, key, "left").withColumn(
+    unknown = reduce(lambda a, b: a | b, [F.col(key).isNull() for key in keys])
+    salt = F.pmod(row, F.when(unknown, F.lit(1024)).otherwise(parts)).cast("int")
+    salted = left.join(hot, keys, "left").withColumn("_salt", salt).drop("_parts")
+    repeated = right.join(hot, keys, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), parts - 1))
     ).drop("_parts")
-    return salted.join(repeated, [key, "_salt"], how).drop("_salt")
+    return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
 def _with_chunk(df: DataFrame, keys: list[str], spread_by: str, chunk_rows: int) -> DataFrame:

@@ -78,12 +78,13 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """Counts in equal-width bins between the extremes; the last bin is closed."""
     value = F.col(column).cast("double")
     data = df.select(value.alias("v")).filter(F.col("v").isNotNull())
-    span = data.agg(F.struct(F.min("v").alias("low"), F.max("v").alias("high"))).scalar()
-    low, high = span["low"], span["high"]
+    span = data.agg(F.struct(F.min("v").alias("low"), F.max("v").alias("high")))
+    low, high = F.col("span.low"), F.col("span.high")
     at = F.when(
         high > low, F.least(F.floor((F.col("v") - low) * bins / (high - low)), F.lit(bins - 1))
     ).otherwise(F.lit(0)).cast("int")
-    return data.groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    placed = data.withColumn("span", span.scalar()).select(at.alias("bin"))
+    return placed.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
 
 
 def rate(flag: str, scale: float = 100.0):

@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from epiflux.operators.relational import lookup
 from epiflux.operators.vectorize import count_vectors
 from epiflux.session import cut_lineage, stored
 from epiflux.sources.tables import fixed_table
@@ -220,7 +221,9 @@ def fit_drifting_topics(
 
     weights, keys = by_term(start, []), ["term"]
     for _ in range(passes):
-        spread = tokens.join(weights, keys).join(shares.select("doc_id", "shares"), "doc_id")
+        # static weights are one row per vocabulary term; daily ones may meet frequent terms
+        weighed = tokens.join(F.broadcast(weights), keys) if keys == ["term"] else lookup(tokens, weights, keys, "inner")
+        spread = weighed.join(shares.select("doc_id", "shares"), "doc_id")
         spread = spread.withColumn(
             "raw", F.zip_with("shares", "weights", lambda share, weight: F.greatest(share, F.lit(1e-12)) * weight)
         ).withColumn("norm", F.aggregate("raw", F.lit(0.0), lambda acc, x: acc + x))

@@ -400,8 +400,9 @@ def _state_tokens(spark, folder):
 
 
 def _states(spark, folder):
-    return table(spark, folder, "nation", "n_name", "n_regionkey").select(
-        F.col("n_regionkey").alias("country_code"), F.col("n_name").alias("asciiname")
+    return table(spark, folder, "nation", "n_nationkey", "n_name", "n_regionkey").select(
+        F.col("n_regionkey").alias("country_code"), F.col("n_name").alias("asciiname"),
+        F.concat(F.lit("n"), "n_nationkey").alias("admin1_code"),
     )
 
 
@@ -415,14 +416,15 @@ def fuzzy_state_match(spark, folder):
     f"""
     WITH {_TOKENS_SQL},
     scored AS (
-      SELECT s_suppkey, country_code, token, lower(n_name) AS state,
+      SELECT s_suppkey, country_code, token, lower(n_name) AS state, 'N' || n_nationkey AS code,
              CAST(floor(100.0 * (greatest(length(token), length(n_name)) - levenshtein(token, lower(n_name)))
                   / greatest(length(token), length(n_name)) + 0.5) AS INTEGER) AS score
       FROM tokens JOIN nation ON country_code = n_regionkey),
     best AS (
       SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY score DESC, state) AS rn FROM scored)
     SELECT s_suppkey, country_code, token, CASE WHEN score > 75 THEN score END AS score,
-           CASE WHEN score > 75 THEN state END AS state_name FROM best WHERE rn = 1
+           CASE WHEN score > 75 THEN state END AS state_name, CASE WHEN score > 75 THEN code END AS state_code
+    FROM best WHERE rn = 1
     """,
 )
 def fuzzy_state_edit(spark, folder):

@@ -91,6 +91,10 @@ def test_skewed_lookup_equals_join(spark):
         plain = left.join(right, "k", how).select("id", "v").orderBy("id").collect()
         salted = relational.lookup(left, right, "k", how, hot_rows=50).select("id", "v").orderBy("id").collect()
         assert plain == salted
+    unknown = left.withColumn("k", F.when(F.col("id") % 2 == 0, F.col("k")))
+    got = relational.lookup(unknown, right, "k", hot_rows=50)
+    assert got.count() == 1000 and got.filter("v IS NULL AND k < 8").count() == 0
+    assert got.filter("k IS NULL AND v IS NOT NULL").count() == 0
 
 
 @pytest.mark.parametrize("values", [[5.0], [1.0, 2.0], [3.0] * 9, [0.0, 1e9, 1.0, 2.0, 7.5, 7.5, 2.25]])
@@ -323,6 +327,25 @@ def test_chain_smoother_limits():
     assert np.ptp(still) < 1e-3 and np.allclose(free, observed, atol=1e-6)
 
 
+def test_second_pass_refines_daily_weights(spark):
+    docs = [(i, day(1 + i % 2), ["a", "b"] if i % 2 else ["b", "c"]) for i in range(20)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, day date, terms array<string>")
+    counts = vectorize.term_counts(frame, "doc_id", "terms")
+    start = spark.createDataFrame(
+        [(0, "a", 0.6), (0, "b", 0.3), (0, "c", 0.1), (1, "a", 0.1), (1, "b", 0.3), (1, "c", 0.6)],
+        "topic int, term string, weight double",
+    )
+    shares = frame.select("doc_id", F.array(F.lit(0.5), F.lit(0.5)).alias("shares"))
+    for passes in (1, 2):
+        weights, refined = topics.fit_drifting_topics(
+            counts, frame.select("doc_id", "day"), start, shares, 2, passes=passes, buckets=2
+        )
+        sums = weights.groupBy("day", "topic").agg(F.sum("weight").alias("w")).collect()
+        assert len(sums) == 4 and all(abs(r.w - 1) < 1e-9 for r in sums)
+        assert all(abs(sum(r.shares) - 1) < 1e-9 for r in refined.collect())
+        assert {r.shares[0] > 0.5 for r in refined.filter(F.col("day") == day(2)).collect()} == {True}
+
+
 def test_carry_topics(spark):
     weights = spark.createDataFrame([(0, "a", 5.0), (1, "a", 6.0), (2, "a", 7.0)], "topic int, term string, weight double")
     share = spark.createDataFrame([(0, 0.5), (1, 0.1), (2, 0.4)], "topic int, share double")
