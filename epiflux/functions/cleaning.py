@@ -84,9 +84,14 @@ def clean_float(value) -> Column:
     return F.regexp_replace(text, r"[^\d|.\-]", "").try_cast("double")
 
 
-def clean_bin(value, missing: int | None = None) -> Column:
-    """0/1 of a text flag; any other text becomes ``missing``, NULL stays NULL."""
+def clean_bin(value, missing: int | None = None, numeric: bool = False) -> Column:
+    """0/1 of a text flag; any other text becomes ``missing``, NULL stays NULL.
+
+    A ``numeric`` column is only cut to whole numbers.
+    """
     text = F.col(value) if isinstance(value, str) else value
+    if numeric:
+        return int_or_null(inf_to_null(text))
     text = _strip_spaces(text.cast("string"))
     return (
         F.when(text.isNull(), F.lit(None))

@@ -17,7 +17,10 @@ def message_documents(
 
     The period is cut on the stored UTC time, before the shift to local time.
     Quoted text is appended without a space.  Of equal texts the lowest id stays.
+    A date given as text is parsed; what does not parse is outside every period.
     """
+    if dict(messages.dtypes)[date_column] == "string":
+        messages = messages.withColumn(date_column, F.try_to_timestamp(F.col(date_column)))
     chosen = date_window(messages, date_column, start, end)
     local = F.from_utc_timestamp(F.col(date_column), zone)
     docs = chosen.select(

@@ -45,6 +45,7 @@ def test_clean_bin(spark):
     given = ["1", " 0 ", "yes", "2", None]
     assert apply(spark, given, cleaning.clean_bin("x", missing=0)) == [1, 0, 0, 0, None]
     assert apply(spark, given, cleaning.clean_bin("x")) == [1, 0, None, None, None]
+    assert apply(spark, [2.0, 0.0, None, float("nan")], cleaning.clean_bin("x", 0, numeric=True), "double") == [2, 0, None, None]
 
 
 def test_recode(spark):

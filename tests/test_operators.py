@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from epiflux.functions.fixed_values import TRACKED_PREPAREDNESS
 from epiflux.operators import (
-    daily, matching, places, relational, rt, series, statistics, topics, vectorize,
+    daily, matching, messages, places, relational, rt, series, statistics, topics, vectorize,
 )
 from epiflux.plans import load_all
 from epiflux.session import scratch
@@ -165,6 +165,27 @@ def test_term_counts_equal_explode(spark):
     assert got == want
 
 
+def test_message_documents(spark):
+    rows = spark.createDataFrame(
+        [
+            (1, "2020-03-08 07:30:00", "Hello", None, "{u'hashtags': [], u'urls': []}"),
+            (2, "2020-03-09 06:30:00", "Hello", "World", None),
+            (3, "2020-03-09 08:00:00", "HELLO", None, None),
+            (4, "2020-03-10 00:00:00", "edge", "", None),
+            (5, "2020-03-10 00:00:01", "late", "", None),
+            (6, "not a date", "x", "", None),
+            (7, "2020-03-09 08:00:00", None, "quoted", None),
+        ],
+        "id bigint, created_ts string, text string, quoted_text string, entities string",
+    )
+    docs = messages.message_documents(rows, "2020-03-05", "2020-03-10").orderBy("id").collect()
+    assert [(r.id, r.all_text, r.local_dt) for r in docs] == [
+        (1, "hello", day(7)), (2, "helloworld", day(8)), (4, "edge", day(9)),
+    ]
+    assert docs[0].tags == [""] and docs[1].tags is None
+    assert messages.message_documents(rows, "2020-03-05", "2020-03-10", drop_repeats=False).count() == 4
+
+
 def test_vocabulary_limits(spark):
     docs = [(i, ["all"] + (["some"] if i < 12 else []) + (["rare"] if i < 3 else [])) for i in range(20)]
     frame = spark.createDataFrame(docs, "doc_id int, terms array<string>")
