@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from epiflux.operators.relational import lookup
 from epiflux.operators.vectorize import count_vectors
-from epiflux.session import cut_lineage, stored
+from epiflux.session import stored
 from epiflux.sources.tables import fixed_table
 
 
@@ -237,11 +237,14 @@ def fit_drifting_topics(
         expected = spread.select("day", "term", F.posexplode("parts").alias("topic", "n")).groupBy(
             "day", "topic", "term"
         ).agg(F.sum("n").alias("n"))
-        drifting = cut_lineage(_smooth_topics(expected, calendar, chain_variance, buckets))
+        drifting = stored(
+            _smooth_topics(expected, calendar, chain_variance, buckets), "topic-weights"
+        )
         gammas = [F.sum(F.col("parts")[t]) + F.lit(alpha) for t in range(k)]
         total = sum(gammas[1:], gammas[0])
-        shares = cut_lineage(
-            spread.groupBy("doc_id", "day").agg(F.array(*[g / total for g in gammas]).alias("shares"))
+        shares = stored(
+            spread.groupBy("doc_id", "day").agg(F.array(*[g / total for g in gammas]).alias("shares")),
+            "topic-shares",
         )
         weights, keys = by_term(drifting, ["day"]), ["day", "term"]
     return drifting, shares

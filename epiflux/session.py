@@ -56,19 +56,12 @@ def scratch(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_folder(spark), "epiflux", f"{label}-{uuid.uuid4().hex}")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives executor loss, unlike a local one."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, label: str) -> DataFrame:
     """The frame as a parquet table in the shared folder.
 
-    For results that several branches of a plan need: they are computed once, keep
-    column pruning and real size statistics, and survive the loss of an executor.
+    For results that several branches or passes of a plan need: lineage ends here,
+    they are computed once, keep column pruning and real size statistics, and
+    survive the loss of an executor.
     """
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
