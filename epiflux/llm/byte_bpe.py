@@ -26,7 +26,7 @@ _LONG_TEXT = 1_000_000
 #: Texts of about this many characters are encoded together.
 _CHUNK_CHARS = 2_000_000
 #: Matches whose ids a task remembers.
-_REMEMBERED = 300_000
+_REMEMBERED = 200_000
 _NONE = 2**62
 _SHIFT = 6  # a position within the widest matrix tree, 32 leaves
 

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Most ids of eight bytes that a join by id may broadcast (32 MB); beyond, the join shuffles.
 BROADCAST_IDS = 4_000_000
 
+#: Rows that go to a Python worker at once: texts may be long, so fewer than Spark's 10,000.
+BATCH_ROWS = 1_000
+
+
+def in_small_batches(spark: SparkSession) -> None:
+    """Let Python workers take ``BATCH_ROWS`` rows at a time from now on."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
 
 def by_ids(frame: DataFrame, column: str, ids: DataFrame, how: str, limit: int = BROADCAST_IDS) -> DataFrame:
     """Rows of ``frame`` whose ``column`` is (``left_semi``) or is not (``left_anti``) in ``ids``.

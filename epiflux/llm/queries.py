@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epiflux.llm import byte_bpe, decontamination
+from epiflux.llm import byte_bpe, decontamination, toxicity
+from epiflux.llm.common import held_out, in_small_batches
 from epiflux.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -15,7 +17,12 @@ ORACLES: dict[str, str] = {}
 
 
 def _query(run):
-    QUERIES[run.__name__] = run
+    @wraps(run)
+    def with_settings(spark: SparkSession, folder: str) -> DataFrame:
+        in_small_batches(spark)
+        return run(spark, folder)
+
+    QUERIES[run.__name__] = with_settings
     return run
 
 
@@ -70,3 +77,14 @@ def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@_query
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text")
+    seen = ~held_out("doc_id", 5, 0)
+    model = toxicity.fit(docs.filter(seen), table(spark, folder, "labels").filter(seen))
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
