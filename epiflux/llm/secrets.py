@@ -1,0 +1,214 @@
+"""Secret scans: base patterns and a battery of randomness tests, in DataFrame functions only.
+
+Base spans are matches of three patterns.  Beyond them, every run of twenty or more
+letters, digits and ``+/_=-`` is tested against the hypothesis that it is drawn
+uniformly from the alphabet it is written in (hexadecimal, base32 or base64):
+
+* chi-squared uniformity of the characters,
+* a runs test of the upper and lower half of the alphabet,
+* the serial correlation of neighbouring characters.
+
+The smallest p-value, times three, is the p-value of the run.  Within each alphabet and
+length band the runs are ordinary text as far as a false-discovery rate of ``RATE``
+allows: at most that share of those set aside is random by expectation, for short
+runs and long ones alike.  What is not set aside is a secret of kind ``random``, if the
+band is long enough for the battery to tell text from random characters at all.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from epiflux.llm.common import fresh
+from epiflux.session import stored
+
+# The base patterns and the fewest characters they ask for.
+ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?[ ]*[:=][ ]*["']?([A-Za-z0-9+/_.=-]+)"""
+ASSIGN_CHARS = 12
+ACCESS = "AKIA[A-Z0-9]{14,}"
+HEX = "[0-9a-f]{16,}"
+CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
+# End of the fixed values.
+
+KINDS = ("assign", "access", "hex", "random")
+#: Alphabets by name, in the order in which a run is matched to them.
+ALPHABETS = {
+    "hex": "0123456789abcdef",
+    "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+}
+#: Upper ends of the length bands, by powers of two from the first.
+BANDS = (24, 32, 48, 64, 128, 256)
+#: Share of random runs among those set aside as text, by expectation.
+RATE = 0.01
+#: Least value of a run: below it even a fair random run counts as text.
+_LOG_P = 12.0
+_STEP = 4  # bins of the p-values per power of ten
+
+_SPANS = "array<struct<start:int,end:int>>"
+
+
+def _matches(text: Column, pattern: str, at_least: int = 0) -> Column:
+    """Spans, in code points, of all matches; with ``at_least``, of those whose group 2 is so long."""
+    steps = F.arrays_zip(
+        F.split(text, pattern, -1).alias("gap"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(2 if at_least else 0)).alias("value"),
+    )
+
+    def add(state, step):
+        start = state["at"] + F.length(step["gap"])
+        end = start + F.coalesce(F.length(step["hit"]), F.lit(0))
+        good = step["hit"].isNotNull() & (F.length(step["value"]) >= at_least)
+        span = F.struct(start.alias("start"), end.alias("end"))
+        return F.struct(
+            end.alias("at"), F.when(good, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out")
+        )
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
+    found = F.aggregate(steps, zero, add, lambda state: state["out"])
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPANS))
+
+
+def _upper_tail(z: Column) -> Column:
+    """Share of the normal distribution above ``z``."""
+    return 1 / (1 + F.exp(1.5976 * z + 0.07056 * z * z * z))
+
+
+def _battery(run: Column, alphabet: str) -> Column:
+    """-log10 of the p-value of a run of the alphabet; other characters count as none."""
+    k, length = len(alphabet), F.length(run)
+    counts = F.transform(
+        F.array(*[F.lit(c) for c in alphabet]), lambda c: length - F.length(F.replace(run, c, F.lit("")))
+    )
+    squares = F.aggregate(counts, F.lit(0.0), lambda s, n: s + n.cast("double") * n)
+    chi = F.greatest(F.lit(0.0), squares * k / length - length)
+    df = k - 1
+    p_chi = _upper_tail((F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5)
+
+    half = F.translate(run, alphabet, "0" * (k // 2) + "1" * (k // 2))
+    ones = F.length(F.replace(half, F.lit("0"), F.lit("")))
+    zeros = length - ones
+    turns = (2 * length - F.length(F.replace(half, F.lit("01"), F.lit("")))
+             - F.length(F.replace(half, F.lit("10"), F.lit("")))) / 2
+    both = 2.0 * ones * zeros
+    spread = F.sqrt(both * (both - length) / (length * length * (length - 1.0)))
+    p_runs = F.when(
+        (ones > 0) & (zeros > 0) & (spread > 0), 2 * _upper_tail(F.abs(turns - both / length) / spread)
+    ).otherwise(F.pow(F.lit(0.5), (length - 1).cast("double")))
+
+    places = F.transform(F.split(run, ""), lambda c: F.instr(F.lit(alphabet), c).cast("double"))
+    mean = F.aggregate(places, F.lit(0.0), lambda s, x: s + x) / length
+    variance = F.aggregate(places, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean))
+    products = F.zip_with(
+        F.slice(places, F.lit(1), length - 1), F.slice(places, F.lit(2), length - 1),
+        lambda a, b: (a - mean) * (b - mean),
+    )
+    serial = F.aggregate(products, F.lit(0.0), lambda s, x: s + x) / variance
+    p_serial = F.when(variance > 0, 2 * _upper_tail(F.abs(serial) * F.sqrt(length.cast("double")))).otherwise(0.0)
+
+    p = F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial))
+    return F.when(p > 10**-_LOG_P, -F.log10(p)).otherwise(F.lit(_LOG_P))
+
+
+def _tested(text: Column, base: Column) -> Column:
+    """``start, end, alphabet, band, value`` of the runs outside the base spans; bare numbers are no runs."""
+    spans = _matches(text, CANDIDATE)
+    clear = F.filter(spans, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    runs = F.transform(clear, lambda s: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"),
+        F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("run"),
+    ))
+    mixed = F.filter(runs, lambda s: s["run"].rlike("[0-9]") & s["run"].rlike("[A-Za-z]"))
+
+    def judged(s):
+        run = s["run"]
+        lower, plain = F.lower(run), F.translate(run, "-_=", "+/")
+        name = F.when(lower.rlike("^[0-9a-f]+$") & ((run == lower) | (run == F.upper(run))), "hex").when(
+            run.rlike("^[A-Z2-7]+=*$"), "base32").otherwise("base64")
+        value = F.when(name == "hex", _battery(lower, ALPHABETS["hex"])).when(
+            name == "base32", _battery(F.replace(run, F.lit("="), F.lit("")), ALPHABETS["base32"])
+        ).otherwise(_battery(plain, ALPHABETS["base64"]))
+        band = sum(F.when(F.length(run) > end, 1).otherwise(0) for end in BANDS)
+        return F.struct(
+            s["start"].alias("start"), s["end"].alias("end"), name.alias("alphabet"), band.alias("band"),
+            F.floor(value * _STEP).cast("int").alias("value"),
+        )
+
+    return F.transform(mixed, judged)
+
+
+def thresholds(runs: DataFrame) -> DataFrame:
+    """``alphabet, band, cut``: runs of a value of ``cut`` or more are text (Benjamini and Hochberg).
+
+    ``runs`` has ``alphabet, band, value``.  P-values are compared by bins, of which there
+    are at most fifty per alphabet and band, so the running counts are small tables.
+    """
+    from pyspark.sql import Window
+
+    bins = runs.groupBy("alphabet", "band", "value").agg(F.count(F.lit(1)).alias("n"))
+    group = Window.partitionBy("alphabet", "band")
+    bins = bins.withColumns({
+        "above": F.sum("n").over(group.orderBy(F.desc("value"))), "all": F.sum("n").over(group),
+    })
+    p = F.pow(F.lit(10.0), -F.col("value") / F.lit(float(_STEP)))
+    return bins.filter(p * F.col("all") <= RATE * F.col("above")).groupBy("alphabet", "band").agg(
+        F.min("value").alias("cut"))
+
+
+def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Add ``secrets``: ``array<struct<kind,start,end>>``, sorted by start, then kind.
+
+    Spans are in code points, the end exclusive.  NULL and empty texts have none.  The
+    columns of ``keep`` (all by default) are returned.  Texts are read once: their spans and
+    test values go to a written table, from which the corpus-wide thresholds are taken.
+    A threshold per alphabet and band, 21 at most, comes to the driver.
+    """
+    keep = docs.columns if keep is None else keep
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    base, runs = fresh(docs, "base"), fresh(docs, "runs")
+    parts = [
+        _ranked(_matches(body, ASSIGN, ASSIGN_CHARS), 0), _ranked(_matches(body, ACCESS), 1),
+        _ranked(_matches(body, HEX), 2),
+    ]
+    found = docs.withColumn(base, F.concat(*parts)).withColumn(runs, _tested(body, F.col(base)))
+    found = stored(found.select(*[F.col(f"`{name}`") for name in keep], base, runs), "secrets")
+    cuts = {(r.alphabet, r.band): r.cut for r in thresholds(found.select(F.inline(runs))).collect()}
+    return found.withColumn("secrets", _named(F.col(base), F.col(runs), cuts)).drop(base, runs)
+
+
+def _ranked(spans: Column, order: int) -> Column:
+    return F.transform(spans, lambda s: F.struct(
+        s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end")))
+
+
+def _named(base: Column, runs: Column, cuts: dict) -> Column:
+    def kept(run):
+        judged = F.lit(False)  # a band without a threshold sets nothing aside: it cannot tell
+        for (alphabet, band), cut in sorted(cuts.items()):
+            judged = F.when((run["alphabet"] == alphabet) & (run["band"] == band), run["value"] < cut).otherwise(judged)
+        return judged
+
+    extra = _ranked(F.filter(runs, kept), 3)
+    names = F.array(*[F.lit(kind) for kind in KINDS])
+    return F.transform(F.array_sort(F.concat(base, extra)), lambda s: F.struct(
+        F.get(names, s["order"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+
+
+def redact(docs: DataFrame, text: str = "text", secrets: str = "secrets") -> DataFrame:
+    """Replace each secret in ``text`` by ``[kind]``; overlapping ones become the first one's mark."""
+    body = F.col(f"`{text}`")
+
+    def cut(state, s):
+        new = s["start"] >= state["at"]
+        piece = F.concat(F.substring(body, state["at"] + 1, s["start"] - state["at"]), F.lit("["), s["kind"], F.lit("]"))
+        return F.struct(
+            F.greatest(state["at"], s["end"]).alias("at"),
+            F.when(new, F.concat(state["out"], piece)).otherwise(state["out"]).alias("out"),
+        )
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    done = F.aggregate(F.col(secrets), zero, cut, lambda s: F.concat(
+        s["out"], F.substring(body, s["at"] + 1, F.length(body))))
+    return docs.withColumn(text, F.when(F.size(secrets) > 0, done).otherwise(body)).drop(secrets)
