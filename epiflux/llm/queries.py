@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epiflux.llm import byte_bpe, decontamination, ngram_join, secrets, toxicity
+from epiflux.llm import byte_bpe, decontamination, ngram_join, secret_scan, toxicity
 from epiflux.llm.common import held_out, in_small_batches
 from epiflux.sources.tables import table
 
@@ -122,7 +122,7 @@ FROM docs LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS com
 
 @_query
 def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
-    found = secrets.scan(table(spark, folder, "documents", "doc_id", "text"), keep=["doc_id"])
+    found = secret_scan.scan(table(spark, folder, "documents", "doc_id", "text"), keep=["doc_id"])
     base = F.filter("secrets", lambda s: s["kind"] != "random")
     line = lambda spans: F.array_join(
         F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))),

@@ -22,12 +22,14 @@ BUCKETS = 1 << 22
 #: Most labelled rows that a fit reads, chosen by a hash of the id.
 SAMPLE_ROWS = 20_000
 #: Most buckets that keep weights, those that tell the classes apart best.
-KEPT_BUCKETS = 8_192
+KEPT_BUCKETS = 4_096
+#: Least z value of a kept bucket.
+LEAST_Z = 4.0
 #: Length of a bucket's vector.
 FACTORS = 4
 #: Words whose buckets a task remembers.
 _REMEMBERED = 200_000
-_STEPS, _RATE, _DECAY = 300, 0.05, 2e-3
+_STEPS, _RATE, _DECAY = 150, 0.1, 2e-3
 _FOLD = bytes(b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -79,7 +81,7 @@ def _screen(columns: np.ndarray, toxic: np.ndarray, labels: np.ndarray) -> np.nd
     spread = 1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (n_toxic - a + 0.5) + 1 / (n_clean - b + 0.5)
     z = np.abs(odds) / np.sqrt(spread)
     order = np.lexsort((buckets, -z))
-    order = order[(z[order] >= 2.5) & (a[order] + b[order] >= 5)]
+    order = order[(z[order] >= LEAST_Z) & (a[order] + b[order] >= 5)]
     return np.sort(buckets[order[:KEPT_BUCKETS]])
 
 
