@@ -41,3 +41,47 @@ def fresh(frame: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def beta_strength(groups: DataFrame, least: float = 2.0, most: float = 10_000.0) -> tuple[float, float]:
+    """Overall rate and strength of a beta prior fitted by moments to groups of ``k`` out of ``n``.
+
+    The strength is the number of rows that the prior counts for: small where the rates
+    of the groups differ by more than chance, ``most`` where they do not.  No groups
+    give a rate of one half.
+    """
+    n, k = F.col("n"), F.col("k")
+    row = groups.agg(
+        F.sum("n").alias("n"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("groups"),
+        F.sum(n * n).alias("nn"), F.sum(k * k / n).alias("kk"),
+    ).first()
+    if not row.n:
+        return 0.5, least
+    rate = row.k / row.n
+    # sum of n * (k / n - rate) ** 2, against what chance and the differences of groups add to it
+    between = row.kk - row.n * rate * rate
+    free = row.n - row.nn / row.n
+    chance = (row.groups - 1) * rate * (1 - rate)
+    variance = (between - chance) / free if free > 0 else 0.0
+    strength = rate * (1 - rate) / variance - 1 if variance > 0 else most
+    return rate, min(most, max(least, strength))
+
+
+def with_verdicts(rows: DataFrame, verdicts: DataFrame, key: str, verdict: str, share: int = 256) -> DataFrame:
+    """Left join of ``host, n, verdict`` to rows by ``key``, however the rows are spread over hosts.
+
+    Hosts of at least one in ``share`` of all rows number ``share`` at most: their
+    verdicts are broadcast and their rows stay where they are.  The others are joined by
+    a shuffle, in which no host holds more than that share.
+    """
+    total = verdicts.agg(F.sum("n")).first()[0] or 0
+    least = total / share
+    big = F.broadcast(verdicts.filter(F.col("n") >= least).select(F.col("host").alias("_host"), verdict))
+    small = verdicts.filter(F.col("n") < least).select(F.col("host").alias("_host"), verdict)
+    same = rows[key] == F.col("_host")
+    here = rows.join(big, same, "inner").drop("_host")
+    rest = rows.join(big.select("_host"), same, "left_anti")
+    known = rest.filter(F.col(f"`{key}`").isNotNull())
+    unknown = rest.filter(F.col(f"`{key}`").isNull()).withColumn(verdict, F.lit(None).cast("boolean"))
+    there = known.join(small, known[key] == F.col("_host"), "left").drop("_host")
+    return here.unionByName(there).unionByName(unknown)

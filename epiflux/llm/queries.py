@@ -8,8 +8,11 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epiflux.llm import byte_bpe, decontamination, ngram_join, secret_scan, toxicity
+from epiflux.llm import (
+    byte_bpe, decontamination, host_quality, language_id, ngram_join, secret_scan, simple8b, toxicity,
+)
 from epiflux.llm.common import held_out, in_small_batches
+from epiflux.session import scratch
 from epiflux.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +135,26 @@ def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", number("assign").alias("n_assign"), number("access").alias("n_access"), number("hex").alias("n_hex"),
         F.sha2(line(base), 256).alias("base_sha256"), line(F.col("secrets")).alias("spans"),
     )
+
+
+@_query
+def op2_simple8b(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch(spark, "simple8b")
+    simple8b.write(table(spark, folder, "documents", "doc_id", "text"), path)
+    return simple8b.read(spark, path).select(
+        "doc_id", "start", "n_tokens", simple8b.ids_crc32("ids").alias("ids_crc32"))
+
+
+@_query
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text", "lang")
+    model = language_id.fit(docs.filter(~held_out("doc_id", 3, 1)))
+    return language_id.identify(docs.drop("lang"), model).select(
+        "doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@_query
+def op8_host_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents", "doc_id", "text", "source")
+    return host_quality.judge(docs, keep=["doc_id", "source"]).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
