@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epiflux.llm import (
-    byte_bpe, decontamination, host_quality, language_id, ngram_join, secret_scan, simple8b, toxicity,
+    byte_bpe, decontamination, host_quality, language_id, ngram_join, secret_scan, simple8b, toxicity, url_filter,
 )
 from epiflux.llm.common import held_out, in_small_batches
 from epiflux.session import scratch
@@ -158,3 +158,73 @@ def op8_host_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents", "doc_id", "text", "source")
     return host_quality.judge(docs, keep=["doc_id", "source"]).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
+
+
+@_query
+def op10_url_reputation(spark: SparkSession, folder: str) -> DataFrame:
+    """A page's outcome is the label of the document that the number in its path names."""
+    pages = table(spark, folder, "pages", "page_id", "url")
+    labels = table(spark, folder, "labels").groupBy("doc_id").agg(
+        F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("bad"))
+    number = F.regexp_extract("url", r"://[^/?#]*/[a-z]+/([0-9]{1,18})", 1)
+    known = pages.withColumn("doc_id", F.when(number != "", number.cast("long"))).join(labels, "doc_id", "left")
+    return url_filter.judge(known, URL_RULES, bad="bad").select("page_id", "host", "path", "rule", "verdict")
+
+
+ORACLES["op10_url_reputation"] = r"""
+WITH parts AS (
+  SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), p AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                            'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+         TRY_CAST(regexp_extract(url, '://[^/?#]*/[a-z]+/([0-9]{1,18})', 1) AS BIGINT) AS doc_id
+  FROM parts
+), o AS (
+  SELECT host, bad FROM p JOIN (
+    SELECT doc_id, max(CAST(quality = 0 OR toxic = 1 AS INT)) AS bad FROM labels GROUP BY doc_id
+  ) USING (doc_id) WHERE bad IS NOT NULL
+), names AS (
+  SELECT host, CASE WHEN len(string_split(host, '.')) > 2
+                    THEN string_split(host, '.')[-2] || '.' || string_split(host, '.')[-1] ELSE host END AS domain,
+         string_split(host, '.')[-1] AS suffix
+  FROM (SELECT DISTINCT host FROM p)
+), h AS (SELECT host, domain, suffix, count(*) AS n, sum(bad) AS k FROM o JOIN names USING (host) GROUP BY ALL),
+levels AS (
+  SELECT 'host' AS level, host AS name, n, k FROM h
+  UNION ALL SELECT 'domain', domain, sum(n), sum(k) FROM h GROUP BY domain
+  UNION ALL SELECT 'suffix', suffix, sum(n), sum(k) FROM h GROUP BY suffix
+), moments AS (
+  SELECT level, sum(k) / sum(n) AS rate, sum(n) - sum(n * n) / sum(n) AS free,
+         sum(k * k / n) - sum(n) * (sum(k) / sum(n)) ** 2
+           - (count(*) - 1) * (sum(k) / sum(n)) * (1 - sum(k) / sum(n)) AS excess
+  FROM levels GROUP BY level
+), priors AS (
+  SELECT level, rate, least(10000.0, greatest(2.0, coalesce(
+    CASE WHEN free > 0 AND excess / free > 0 THEN rate * (1 - rate) / (excess / free) - 1 ELSE 10000.0 END, 2.0))) AS s
+  FROM moments
+), s AS (
+  SELECT name AS suffix, (k + rate * s) / (n + s) AS mean FROM levels JOIN priors USING (level) WHERE level = 'suffix'
+), d AS (
+  SELECT DISTINCT names.domain, (coalesce(l.k, 0) + coalesce(s.mean, ps.rate) * pd.s) / (coalesce(l.n, 0) + pd.s) AS mean
+  FROM names LEFT JOIN levels l ON l.level = 'domain' AND l.name = names.domain LEFT JOIN s ON s.suffix = names.suffix
+  JOIN priors ps ON ps.level = 'suffix' JOIN priors pd ON pd.level = 'domain'
+), post AS (
+  SELECT names.host, coalesce(h.n, 0) + ph.s AS weight, (coalesce(h.k, 0) + d.mean * ph.s) / (coalesce(h.n, 0) + ph.s) AS m
+  FROM names JOIN d USING (domain) LEFT JOIN h ON h.host = names.host JOIN priors ph ON ph.level = 'host'
+), ruled AS (
+  SELECT p.*, CASE
+    WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule
+  FROM p
+)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+    WHEN m - 2 * sqrt(m * (1 - m) / (weight + 1)) > 0.5 THEN 'block' ELSE 'allow' END AS verdict
+FROM ruled JOIN post USING (host)
+"""
