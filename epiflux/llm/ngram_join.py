@@ -9,8 +9,8 @@ link when their sets overlap by at least four fifths of their union.
 2. Classes that share a prefix shingle form a block.  Shingles that are frequent in the
    corpus come last in the prefix order, so a passage in many documents forms blocks
    only of documents that are made of such passages.
-3. Every class is compared with the smallest class it shares a block with.  Most groups
-   of near copies are one label after this, and blocks of one label are done.
+3. Every class is compared with the smallest class it shares a block with, by bitmap and
+   then by set.  Most groups of near copies are one label after this, and done.
 4. The other blocks are searched by signature trees: nodes hold the OR of their members'
    bitmaps, a size range and, where all agree, the label.  Two nodes are walked together
    and left where sizes, labels or the largest possible overlap rule out a link.
@@ -150,7 +150,7 @@ def profile(docs: DataFrame) -> DataFrame:
             yield pa.record_batch(
                 [pa.array(c, k) for c, k in zip(columns, kinds)] + [pa.nulls(n, pa.int64())] * 2, names
             )
-            if sum(map(len, held)) > 2_000_000:
+            if sum(map(len, held)) > 1_000_000:
                 yield frequent()
                 counted = 0
         if held:
@@ -419,8 +419,30 @@ def _pieces(large: DataFrame) -> DataFrame:
     )
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose sets link."""
+def _plausible(pairs: DataFrame, info: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` that sizes and bitmaps do not rule out."""
+
+    @F.arrow_udf("boolean")
+    def possible(size_a: pa.Array, bits_a: pa.Array, size_b: pa.Array, bits_b: pa.Array) -> pa.Array:
+        rows = zip(*[column.to_pylist() for column in (size_a, bits_a, size_b, bits_b)])
+        return pa.array([may_link(Node([], (0, m, x, 0)), Node([], (1, n, y, 1))) for m, x, n, y in rows], pa.bool_())
+
+    left, right = (
+        info.select(F.col("rep").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}"))
+        for side in "ab"
+    )
+    fair = F.expr("5 * n_a >= 4 * n_b AND 5 * n_b >= 4 * n_a")
+    both = pairs.join(right, "b").join(left, "a").filter(fair)
+    return both.filter(possible("n_a", "bits_a", "n_b", "bits_b")).select("a", "b")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of the written pairs ``a, b`` those whose sets link; sets are made anew from the texts of the pairs."""
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_set(text.as_py()).tobytes() for text in batch.column(1)]
+            yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], ["rep", "shingles"])
 
     @F.arrow_udf("boolean")
     def link(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -429,6 +451,9 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             for a, b in zip(left.to_pylist(), right.to_pylist())
         ], pa.bool_())
 
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "jaccard-wanted")
+    texts = by_ids(docs, "doc_id", wanted, "left_semi").select("doc_id", "text")
+    sets = stored(texts.mapInArrow(sets_of, "rep bigint, shingles binary"), "jaccard-sets")
     left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("right"))
     return pairs.join(right, "b").join(left, "a").filter(link("left", "right")).select("a", "b").distinct()
@@ -497,33 +522,22 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             members.filter("pivot IS NULL").join(lead, "block").groupBy("rep").agg(F.min("lead").alias("pivot"))
         ).groupBy("rep").agg(F.min("pivot").alias("pivot"))
     )
-    stars = stored(stars, "jaccard-stars")
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_set(text.as_py()).tobytes() for text in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], ["rep", "shingles"])
-
-    wanted = by_ids(docs, "doc_id", stars.select("rep"), "left_semi").select("doc_id", "text")
-    sets = stored(wanted.mapInArrow(sets_of, "rep bigint, shingles binary"), "jaccard-sets")
-    first = stored(
-        _verified(stars.filter("pivot <> rep").select(F.col("pivot").alias("a"), F.col("rep").alias("b")), sets),
-        "jaccard-links",
-    )
-    labels = stars.select("rep").join(
-        first.groupBy("b").agg(F.min("a").alias("label")).withColumnRenamed("b", "rep"), "rep", "left"
-    ).withColumn("label", F.coalesce("label", "rep"))
-    labelled = stored(members.join(labels, "rep").select(
-        "block", "rep", "label", F.col("pivot").isNull().alias("large")).distinct(), "jaccard-labelled")
+    info = named.select("rep", "n_shingles", "bits")
+    near = stored(_plausible(
+        stars.filter("pivot <> rep").select(F.col("pivot").alias("a"), F.col("rep").alias("b")), info), "jaccard-pairs")
+    first = stored(_verified(near, docs), "jaccard-links")
+    labels = first.groupBy("b").agg(F.min("a").alias("label")).withColumnRenamed("b", "rep")
+    labelled = stored(members.join(labels, "rep", "left").select(
+        "block", "rep", F.coalesce("label", "rep").alias("label"), F.col("pivot").isNull().alias("large")
+    ).distinct(), "jaccard-labelled")
     open_blocks = labelled.groupBy("block", "large").agg(
         F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("block", "large")
-    info = named.select("rep", "n_shingles", "bits")
     rest = labelled.join(open_blocks, ["block", "large"]).join(info, "rep")
     pairs = _searched(
         rest.filter("NOT large").select("block", "rep", "n_shingles", "bits", "label")
         .unionByName(_pieces(rest.filter("large")))
     ).distinct()
-    second = stored(_verified(stored(pairs, "jaccard-pairs"), sets), "jaccard-links")
+    second = stored(_verified(stored(pairs, "jaccard-pairs"), docs), "jaccard-links")
     found = components(first.unionByName(second))
     return (
         rows.select("doc_id", "n_shingles", "c1", "c2")
