@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 BROADCAST_IDS = 4_000_000
 
 #: Rows that go to a Python worker at once: texts may be long, so fewer than Spark's 10,000.
-BATCH_ROWS = 1_000
+BATCH_ROWS = 250
 
 
 def in_small_batches(spark: SparkSession) -> None:
