@@ -21,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from epiflux.llm.common import BROADCAST_IDS
+
 #: Ids per block.
 BLOCK = 256
 #: Packed bytes after which a file row ends; a longer document has a row of its own.
-ROW_BYTES = 1 << 20
+ROW_BYTES = 1 << 16
 #: Documents of one range partition, by expectation.
 PART_DOCS = 20_000
 # Ids per word and bits of an id, by selector; selector 0 is the escape.
@@ -46,11 +48,15 @@ def pack(texts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         return [np.zeros(0, np.uint64) for _ in texts], [np.zeros(0, np.int32) for _ in texts]
     firsts = (np.cumsum(blocks) - blocks) * BLOCK
     ids = np.concatenate(texts).astype(np.uint64)
-    padded = np.zeros(total, np.uint64)
+    largest = int(ids.max())
+    padded = np.zeros(total, np.uint32 if largest < 1 << 32 else np.uint64)
     padded[np.repeat(firsts - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(ids))] = ids
     best = np.zeros((total // BLOCK, BLOCK), np.int8)
     for selector in range(len(COUNTS) - 1, 0, -1):
-        fits = (padded >> np.uint64(WIDTHS[selector]) == 0).reshape(best.shape)
+        if not largest >> WIDTHS[selector]:
+            best[:] = selector
+            continue
+        fits = (padded < padded.dtype.type(1 << WIDTHS[selector])).reshape(best.shape)
         reach = 1  # ids in a row that fit, from each position; what lies past the block fits
         while reach < COUNTS[selector] and fits.any():
             more = min(reach, COUNTS[selector] - reach)
@@ -58,33 +64,42 @@ def pack(texts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
             reach += more
         best[fits] = selector
     best = best.ravel()
-    steps, starts, reached = np.array(COUNTS)[best].tolist(), [], []
-    for first, size in zip(firsts.tolist(), sizes.tolist()):
-        for at in range(first, first + size, BLOCK):
-            end = min(at + BLOCK, first + size)
-            while at < end:
-                starts.append(at)
-                at += steps[at]
-            reached.append(len(starts))
-    starts = np.array(starts)
+    counts = np.array(COUNTS)
+    # all blocks step from word to word side by side
+    block = np.arange(total // BLOCK)
+    at = block * BLOCK
+    inside = np.arange(len(block)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    stop = at + np.minimum(BLOCK, np.repeat(sizes, blocks) - inside * BLOCK)
+    starts, owners = [], []
+    while len(at):
+        starts.append(at)
+        owners.append(block)
+        at = at + counts[best[at]]
+        on = at < stop
+        at, block, stop = at[on], block[on], stop[on]
+    order = np.argsort(np.concatenate(owners), kind="stable")
+    starts = np.concatenate(starts)[order]
+    reached = np.cumsum(np.bincount(np.concatenate(owners), minlength=total // BLOCK))
     selectors = best[starts].astype(np.int64)
     ends_of_words = np.cumsum(np.where(selectors == 0, 2, 1))
     at = ends_of_words - np.where(selectors == 0, 2, 1)
     words = np.zeros(int(ends_of_words[-1]), np.uint64)
     words[at] = selectors.astype(np.uint64) << np.uint64(60)
+    offsets = starts % BLOCK
     for selector in np.unique(selectors).tolist():
         chosen = np.nonzero(selectors == selector)[0]
-        first, place = starts[chosen], at[chosen]
+        first, place, offset = starts[chosen], at[chosen], offsets[chosen]
         if selector == 0:
             words[place + 1] = padded[first]
             continue
         word = words[place]
         for k in range(COUNTS[selector]):
-            inside = first % BLOCK + k < BLOCK
-            value = padded[np.minimum(first + k, total - 1)] * inside
+            value = padded.take(first + k, mode="clip").astype(np.uint64)
+            if k:
+                value[offset + k >= BLOCK] = 0
             word |= value << np.uint64(k * WIDTHS[selector])
         words[place] = word
-    block_ends = ends_of_words[np.array(reached) - 1]
+    block_ends = ends_of_words[reached - 1]
     block_words = np.diff(block_ends, prepend=0).astype(np.int32)
     cuts = np.cumsum(blocks)[:-1]
     doc_ends = np.concatenate([[0], block_ends])[np.cumsum(blocks)[:-1]]
@@ -149,23 +164,7 @@ class WordTokenizer:
         others = [b for b in range(256) if b not in plain]
         self.marks = {b: chr(256 + i) for i, b in enumerate(others)}  # of bytes without a sign of their own
         self.foldable = regex.compile("[!-~\xa1-\xff]*").fullmatch
-        self.limit, self.words = remembered, {}
-
-    def _word(self, word: bytes) -> bytes:
-        known = self.words
-        if len(word) > 1 and word[-1:] in b".,":
-            # a full stop or comma after a letter, digit or other character is a piece of its own
-            stem, mark = word[:-1], word[-1:]
-            if stem[-1:].isalnum():
-                if stem not in known:
-                    known[stem] = self._word(stem)
-                if mark not in known:
-                    known[mark] = self._pieces(mark.decode())
-                return known[stem] + known[mark]
-        if word.isalpha():
-            ids = [token.id for token in self.model.tokenize(word.decode().lower())]
-            return struct.pack(f"<{len(ids)}I", *ids)
-        return self._pieces(word.decode())
+        self.limit, self.words = remembered, _Words(self)
 
     def _pieces(self, text: str) -> bytes:
         ids: list[int] = []
@@ -180,20 +179,29 @@ class WordTokenizer:
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; NULL counts as empty."""
-        words = text.encode().split() if text else []
-        known = self.words
-        if len(known) > self.limit:
-            known.clear()
-        found = list(map(known.get, words))
-        if None in found:
-            for at, ids in enumerate(found):
-                if ids is None:
-                    word = words[at]
-                    ids = known.get(word)
-                    if ids is None:
-                        ids = known[word] = self._word(word)
-                    found[at] = ids
-        return b"".join(found)
+        if len(self.words) > self.limit:
+            self.words.clear()
+        return b"".join(map(self.words.__getitem__, text.encode().split())) if text else b""
+
+
+class _Words(dict):
+    """Ids by word, found when first asked for."""
+
+    def __init__(self, tokenizer: WordTokenizer):
+        super().__init__()
+        self.tokenize, self.pieces = tokenizer.model.tokenize, tokenizer._pieces
+
+    def __missing__(self, word: bytes) -> bytes:
+        if word.isalpha():
+            found = self.tokenize(word.decode().lower())
+            ids = struct.pack(f"<{len(found)}I", *[token.id for token in found])
+        elif word[-1:] in b".," and word[-2:-1].isalnum():
+            # a full stop or comma after a letter or digit is a piece of its own
+            ids = self[word[:-1]] + self[word[-1:]]
+        else:
+            ids = self.pieces(word.decode())
+        self[word] = ids
+        return ids
 
 
 def load_words() -> WordTokenizer:
@@ -287,23 +295,28 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         F.sum(F.aggregate("n_tokens", F.lit(0).cast("bigint"), lambda s, n: s + n)).alias("n"))
     # one row per range of PART_DOCS documents
     base = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
+    if totals.count() <= BROADCAST_IDS:
+        base = F.broadcast(base)
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                sizes = np.frombuffer(row["block_words"], "<i4")
-                words = np.frombuffer(row["words"], "<u8")
+            for first in range(0, batch.num_rows, 8):
+                rows = batch.slice(first, 8).to_pylist()
+                sizes = np.concatenate([np.frombuffer(row["block_words"], "<i4") for row in rows])
+                words = np.frombuffer(b"".join(row["words"] for row in rows), "<u8")
                 ids = unpack(words, sizes, len(sizes) * BLOCK)
-                first = np.cumsum([0, *row["n_blocks"]])[:-1] * BLOCK
-                counts = np.array(row["n_tokens"], np.int64)
-                starts = row["start"] + np.cumsum(counts) - counts
-                inner = np.repeat(first - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-                values = ids[inner].view(np.int64)
-                ends = np.concatenate([[0], np.cumsum(counts)])
+                counts = np.array([n for row in rows for n in row["n_tokens"]], np.int64)
+                blocks = np.array([n for row in rows for n in row["n_blocks"]], np.int64)
+                ends = np.cumsum(counts)
+                inner = np.repeat((np.cumsum(blocks) - blocks) * BLOCK - (ends - counts), counts)
+                values = ids[inner + np.arange(len(inner))].view(np.int64)
+                parts = [row["part"] for row in rows for _ in row["doc_ids"]]
+                starts = [row["start"] + np.cumsum([0, *row["n_tokens"][:-1]]) for row in rows]
                 yield pa.record_batch([
-                    pa.array([row["part"]] * len(counts), pa.int32()), pa.array(row["doc_ids"], pa.int64()),
-                    pa.array(starts), pa.array(counts),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values)),
+                    pa.array(parts, pa.int32()),
+                    pa.array([doc_id for row in rows for doc_id in row["doc_ids"]], pa.int64()),
+                    pa.array(np.concatenate(starts).astype(np.int64)), pa.array(counts),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(values)),
                 ], ["part", "doc_id", "start", "n_tokens", "ids"])
 
     found = files.mapInArrow(
