@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epiflux.llm import (
-    byte_bpe, decontamination, host_quality, language_id, ngram_join, secret_scan, simple8b, toxicity, url_filter,
+    byte_bpe, decontamination, host_quality, language_id, ngram_join, pii, secret_scan, simple8b, toxicity, url_filter,
 )
 from epiflux.llm.common import held_out, in_small_batches
 from epiflux.session import scratch
@@ -228,3 +228,10 @@ SELECT page_id, host, path, rule, CASE
     WHEN m - 2 * sqrt(m * (1 - m) / (weight + 1)) > 0.5 THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled JOIN post USING (host)
 """
+
+
+@_query
+def op9_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    """The key of the query is public, so its surrogates hide nothing; a run of one's own takes a secret one."""
+    found = pii.replace(table(spark, folder, "documents", "doc_id", "text"), key="op9")
+    return found.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), "entities")
