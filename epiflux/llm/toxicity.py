@@ -24,7 +24,7 @@ SAMPLE_ROWS = 20_000
 #: Most buckets that keep weights, those that tell the classes apart best.
 KEPT_BUCKETS = 4_096
 #: Least z value of a kept bucket.
-LEAST_Z = 4.0
+LEAST_Z = 3.0
 #: Length of a bucket's vector.
 FACTORS = 4
 #: Words whose buckets a task remembers.
