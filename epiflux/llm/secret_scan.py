@@ -11,8 +11,8 @@ uniformly from the alphabet it is written in (hexadecimal, base32 or base64):
 The smallest p-value, times three, is the p-value of the run.  Within each alphabet and
 length band the runs are ordinary text as far as a false-discovery rate of ``RATE``
 allows: at most that share of those set aside is random by expectation, for short
-runs and long ones alike.  What is not set aside is a secret of kind ``random``, if the
-band is long enough for the battery to tell text from random characters at all.
+runs and long ones alike.  What is not set aside is a secret of kind ``random``.  In the
+shortest band, where the battery says little, that needs a threshold from the corpus.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ ALPHABETS = {
 }
 #: Upper ends of the length bands, by powers of two from the first.
 BANDS = (24, 32, 48, 64, 128, 256)
+#: First band whose length lets the battery tell text from random characters by itself.
+TELLING_BAND = 1
 #: Share of random runs among those set aside as text, by expectation.
 RATE = 0.01
 #: Least value of a run: below it even a fair random run counts as text.
@@ -185,7 +187,7 @@ def _ranked(spans: Column, order: int) -> Column:
 
 def _named(base: Column, runs: Column, cuts: dict) -> Column:
     def kept(run):
-        judged = F.lit(False)  # a band without a threshold sets nothing aside: it cannot tell
+        judged = run["band"] >= TELLING_BAND  # without a threshold nothing was set aside
         for (alphabet, band), cut in sorted(cuts.items()):
             judged = F.when((run["alphabet"] == alphabet) & (run["band"] == band), run["value"] < cut).otherwise(judged)
         return judged
