@@ -71,18 +71,19 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-np.clip(value, -30, 30))))
 
 
-def _screen(columns: np.ndarray, toxic: np.ndarray, labels: np.ndarray) -> np.ndarray:
+def _screen(terms: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """Buckets whose share differs most between the classes, by the z value of log odds."""
-    buckets, columns = np.unique(columns, return_inverse=True)
+    a, b = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
+    for found, toxic in zip(terms, labels):
+        (a if toxic else b)[found] += 1
+    buckets = np.nonzero(a + b >= 5)[0]
+    a, b = a[buckets], b[buckets]
     n_toxic, n_clean = labels.sum(), len(labels) - labels.sum()
-    a = np.bincount(columns, toxic, len(buckets))
-    b = np.bincount(columns, 1 - toxic, len(buckets))
     odds = np.log((a + 0.5) / (n_toxic - a + 0.5)) - np.log((b + 0.5) / (n_clean - b + 0.5))
     spread = 1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (n_toxic - a + 0.5) + 1 / (n_clean - b + 0.5)
     z = np.abs(odds) / np.sqrt(spread)
     order = np.lexsort((buckets, -z))
-    order = order[(z[order] >= LEAST_Z) & (a[order] + b[order] >= 5)]
-    return np.sort(buckets[order[:KEPT_BUCKETS]])
+    return np.sort(buckets[order[z[order] >= LEAST_Z][:KEPT_BUCKETS]])
 
 
 def train(terms: list[np.ndarray], labels: np.ndarray) -> FactorizationMachine:
@@ -94,14 +95,14 @@ def train(terms: list[np.ndarray], labels: np.ndarray) -> FactorizationMachine:
     constant = float(np.log(base / (1 - base)))
     if not 0 < labels.sum() < len(labels):
         return FactorizationMachine(constant, {}, {})
-    rows = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
-    columns = np.concatenate(terms)
-    kept = _screen(columns, labels[rows].astype(float), labels)
+    kept = _screen(terms, labels)
     if not len(kept):
         return FactorizationMachine(constant, {}, {})
-    at = np.minimum(np.searchsorted(kept, columns), len(kept) - 1)
-    inside = kept[at] == columns
-    rows, columns = rows[inside], at[inside]
+    place = np.full(BUCKETS, -1, np.int32)
+    place[kept] = np.arange(len(kept))
+    inside = [found[found >= 0] for found in (place[t] for t in terms)]
+    rows = np.repeat(np.arange(len(terms)), [len(found) for found in inside])
+    columns = np.concatenate(inside)
     n, k = len(labels), len(kept)
     start = np.random.default_rng(7).normal(0, 0.02, (k, FACTORS))
     params = [np.array([constant]), np.zeros(k), start]
@@ -158,7 +159,7 @@ def fit(
         for batch in batches:
             ends, values = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy()
             held += [
-                (key, label, values[a:b].astype(np.int64)) for key, label, a, b
+                (key, label, values[a:b].copy()) for key, label, a, b
                 in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ends, ends[1:])
             ]
         held.sort(key=lambda row: (row[0], row[1], row[2].tobytes()))
