@@ -26,7 +26,7 @@ from epiflux.llm.common import BROADCAST_IDS
 #: Ids per block.
 BLOCK = 256
 #: Packed bytes after which a file row ends; a longer document has a row of its own.
-ROW_BYTES = 1 << 16
+ROW_BYTES = 1 << 14
 #: Documents of one range partition, by expectation.
 PART_DOCS = 20_000
 # Ids per word and bits of an id, by selector; selector 0 is the escape.
@@ -148,7 +148,7 @@ class WordTokenizer:
     any other word goes through the whole library.
     """
 
-    def __init__(self, path: str, remembered: int = 400_000):
+    def __init__(self, path: str, remembered: int = 300_000):
         import json
 
         import regex
@@ -177,11 +177,11 @@ class WordTokenizer:
             ids = self.library.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers; NULL counts as empty."""
+    def encode(self, text: bytes | None) -> bytes:
+        """Ids of a UTF-8 text as little-endian unsigned 32-bit integers; NULL counts as empty."""
         if len(self.words) > self.limit:
             self.words.clear()
-        return b"".join(map(self.words.__getitem__, text.encode().split())) if text else b""
+        return b"".join(map(self.words.__getitem__, text.split())) if text else b""
 
 
 class _Words(dict):
@@ -218,7 +218,8 @@ def encode(docs: DataFrame, end_id: int = 1, load: Callable[[], WordTokenizer] =
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = load()
         for batch in batches:
-            ids = [np.frombuffer(tokenizer.encode(text.as_py()) + end, "<u4") for text in batch.column(1)]
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            ids = [np.frombuffer(tokenizer.encode(text) + end, "<u4") for text in texts]
             words, blocks = pack(ids)
             yield pa.record_batch([
                 batch.column(0), pa.array([len(i) for i in ids], pa.int64()),
@@ -287,7 +288,7 @@ def write(docs: DataFrame, path: str, load: Callable[[], WordTokenizer] = load_w
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """``doc_id, start, n_tokens, ids`` (array of bigint) of every document of the files below ``path``."""
+    """``doc_id, start, n_tokens, ids`` (array of int) of every document of the files below ``path``."""
     from pyspark.sql import Window
 
     files = spark.read.schema(_FILE).parquet(path)
@@ -300,8 +301,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 8):
-                rows = batch.slice(first, 8).to_pylist()
+            for first in range(0, batch.num_rows, 32):
+                rows = batch.slice(first, 32).to_pylist()
                 sizes = np.concatenate([np.frombuffer(row["block_words"], "<i4") for row in rows])
                 words = np.frombuffer(b"".join(row["words"] for row in rows), "<u8")
                 ids = unpack(words, sizes, len(sizes) * BLOCK)
@@ -309,7 +310,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 blocks = np.array([n for row in rows for n in row["n_blocks"]], np.int64)
                 ends = np.cumsum(counts)
                 inner = np.repeat((np.cumsum(blocks) - blocks) * BLOCK - (ends - counts), counts)
-                values = ids[inner + np.arange(len(inner))].view(np.int64)
+                values = ids[inner + np.arange(len(inner))].astype(np.int32)
                 parts = [row["part"] for row in rows for _ in row["doc_ids"]]
                 starts = [row["start"] + np.cumsum([0, *row["n_tokens"][:-1]]) for row in rows]
                 yield pa.record_batch([
@@ -320,7 +321,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 ], ["part", "doc_id", "start", "n_tokens", "ids"])
 
     found = files.mapInArrow(
-        documents, "part int, doc_id bigint, start bigint, n_tokens bigint, ids array<bigint>")
+        documents, "part int, doc_id bigint, start bigint, n_tokens bigint, ids array<int>")
     return found.join(base, "part").select(
         "doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids")
 
