@@ -35,7 +35,7 @@ def block_ratio(left: str, right: str) -> int:
     """Share of characters in matching blocks, as a whole percentage."""
     if not left or not right:
         return 0
-    return int(round(100 * SequenceMatcher(None, left, right).ratio()))
+    return int(round(100 * SequenceMatcher(None, left, right, autojunk=False).ratio()))
 
 
 _BEST = T.StructType([T.StructField("score", T.IntegerType()), T.StructField("choice", T.StringType())])

@@ -181,7 +181,7 @@ def resolve_states(tokens: DataFrame, gazetteer: DataFrame, above: int = 75) ->
 def best_entries(gazetteer: DataFrame) -> DataFrame:
     """Best row per lookup key: ``(kind, scope, alias, best)``.
 
-    Keys of a row are its country and state alone, and each alias within its
+    Keys of a row are its country and state as a whole, and each alias within its
     country, within its state and anywhere.  One aggregate finds all winners.
     """
     def key(kind: str, scope, alias) -> Column:
@@ -189,7 +189,7 @@ def best_entries(gazetteer: DataFrame) -> DataFrame:
 
     country, state, nothing = F.col("country_code"), F.upper("admin1_code"), F.lit("")
     keys = F.concat(
-        F.array(key("country", country, nothing), key("state", state, nothing)),
+        F.array(key("whole country", country, nothing), key("whole state", state, nothing)),
         F.flatten(
             F.transform(
                 "aliases",
@@ -224,11 +224,13 @@ def match_places(names: DataFrame, gazetteer: DataFrame, countries: DataFrame) -
         )
 
     whole = F.col("city") == F.col("token")
-    alias = F.when(whole, "").otherwise(F.col("city"))
+    # an empty city is no alias of any entry, so it finds nothing
+    city, nothing = F.nullif("city", F.lit("")), F.lit("")
     keys = (
-        F.when(F.col("code").isNotNull(), F.array(key("country", "code", alias)))
-        .when(whole, F.array(key("state", "state_code", alias), key("anywhere", None, F.col("token"))))
-        .otherwise(F.array(key("state", "state_code", alias)))
+        F.when(F.col("code").isNotNull() & whole, F.array(key("whole country", "code", nothing)))
+        .when(F.col("code").isNotNull(), F.array(key("country", "code", city)))
+        .when(whole, F.array(key("whole state", "state_code", nothing), key("anywhere", None, F.col("token"))))
+        .otherwise(F.array(key("state", "state_code", city)))
     )
     looked_up = asked.select("city", "token", F.inline_outer(keys)).join(
         best_entries(gazetteer), ["kind", "scope", "alias"]
@@ -263,13 +265,11 @@ def _members(text: Column) -> Column:
 
 
 def _with_details(rolled: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    return rolled.join(gazetteer.select(*DETAILS), "geonameid", "left").select(
-        *DETAILS, "chunk", F.col("queried_members").alias("place_queried"), F.col("members").alias("synonyms")
-    )
+    return lookup(rolled, gazetteer.select(*DETAILS), "geonameid").select(*DETAILS, "member", "queried")
 
 
 def rollup_places(mapped: DataFrame, variants: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """One row (or several chunks) per gazetteer entry with the names and synonyms that led to it.
+    """A row per gazetteer entry and synonym, which is ``queried`` where it is a name that led to the entry.
 
     Synonyms are the normalised names, the comma pieces of their raw spellings,
     and the entry's own aliases.
@@ -302,8 +302,9 @@ def rollup_geocoded(results: DataFrame, variants: DataFrame, gazetteer: DataFram
     first = first_in_both(found, "asciiname", "hierarchy", "population")
     queried = first.select("geonameid", "asciiname", "country_code").join(hits, ["asciiname", "country_code"])
     names = queried.select("geonameid", F.col("place_queried").alias("member"), F.lit(True).alias("queried"))
-    spellings = queried.join(
-        variants.select(F.col("place_norm").alias("place_queried"), "variant"), "place_queried"
+    spellings = lookup(
+        variants.select(F.col("place_norm").alias("place_queried"), "variant"),
+        queried.select("geonameid", "place_queried").distinct(), "place_queried", "inner"
     ).select("geonameid", F.explode(_members(F.col("variant"))).alias("member"), F.lit(False).alias("queried"))
     own = first.select("geonameid", F.explode("aliases").alias("member"), F.lit(False).alias("queried"))
     rolled = rollup_members(

@@ -53,15 +53,17 @@ def keep_first_text(df: DataFrame, text: str, order: list[Column]) -> DataFrame:
 
 
 def duplicates(df: DataFrame, keys: list[Column]) -> DataFrame:
-    """Every row whose key occurs more than once.
+    """Every row whose key occurs more than once; NULL counts as a value.
 
     Counts are combined before the shuffle; the repeated keys then select rows by
     a left-semi join, whose row side can be split when one key is hot.
     """
     named = {f"_k{i}": key for i, key in enumerate(keys)}
     keyed = df.withColumns(named)
-    repeated = keyed.groupBy(*named).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return keyed.join(repeated, list(named), "left_semi").drop(*named)
+    repeated = keyed.groupBy(*named).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    repeated = repeated.select(*[F.col(name).alias(f"r{name}") for name in named])
+    same = reduce(lambda a, b: a & b, [F.col(name).eqNullSafe(F.col(f"r{name}")) for name in named])
+    return keyed.join(repeated, same, "left_semi").drop(*named)
 
 
 def value_counts(df: DataFrame, columns: list[str], keep_null: bool = True) -> DataFrame:
@@ -101,40 +103,15 @@ def lookup(
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
 
 
-def _with_chunk(df: DataFrame, keys: list[str], spread_by: str, chunk_rows: int) -> DataFrame:
-    """Add ``chunk``: 0, or for keys of more than ``chunk_rows`` rows a hash of ``spread_by``."""
-    wide = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > chunk_rows)
-        .select(*[F.col(key).alias(f"_wide_{key}") for key in keys], "_size")
-    )
-    same = reduce(lambda a, b: a & b, [F.col(key).eqNullSafe(F.col(f"_wide_{key}")) for key in keys])
-    chunk = F.when(
-        F.col("_size").isNotNull(),
-        F.pmod(F.xxhash64(F.col(spread_by)), F.ceil(F.col("_size") / F.lit(chunk_rows))),
-    ).otherwise(F.lit(0)).cast("int")
-    return df.join(wide, same, "left").withColumn("chunk", chunk).select(*df.columns, "chunk")
-
-
-def rollup_members(
-    df: DataFrame, keys: list[str], member: str, flags: tuple[str, ...] = (), chunk_rows: int = 10_000
-) -> DataFrame:
-    """Distinct members per key as sorted arrays of bounded length.
+def rollup_members(df: DataFrame, keys: list[str], member: str, flags: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct members per key, a row each: ``keys, member, n`` and the or-ed ``flags``.
 
-    A key with up to ``chunk_rows`` members has one row (chunk 0).  A larger key is
-    spread over as many chunks as its size asks for, by a hash of the member, so no
-    task ever holds a whole hot group and no member is lost.  ``flags`` are boolean
-    columns or-ed per member; each adds an array of the members that carry it.
+    The result has this form at every size.  Rows are combined before the shuffle, and
+    a key's members are dealt out by member, so a key with most rows is not one group.
     """
-    pairs = df.groupBy(*keys, member).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.max(F.col(flag)).alias(flag) for flag in flags]
+    return df.groupBy(*keys, F.col(member).alias("member")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.max(F.col(flag)).alias(flag) for flag in flags]
     )
-    chunked = _with_chunk(pairs, keys, member, chunk_rows)
-    arrays = [F.sort_array(F.collect_list(member)).alias("members"), F.sum("_n").alias("n_rows")]
-    arrays += [
-        F.sort_array(F.collect_list(F.when(F.col(flag), F.col(member)))).alias(f"{flag}_members")
-        for flag in flags
-    ]
-    return chunked.groupBy(*keys, "chunk").agg(*arrays)
 
 
 def outer_by_key(frames: list[DataFrame], key: str) -> DataFrame:
@@ -166,17 +143,3 @@ def first_in_both(df: DataFrame, key: str, ascending: str, descending: str) -> D
     """
     best = df.groupBy(key).agg(F.min(ascending).alias(ascending), F.max(descending).alias(descending))
     return df.join(best, [key, ascending, descending], "left_semi")
-
-
-def rollup_rows(
-    df: DataFrame, keys: list[str], member: str, row_id: str, chunk_rows: int = 10_000
-) -> DataFrame:
-    """All members per key, repeats kept, as comma-joined text of bounded length.
-
-    Like ``rollup_members`` but chunks are filled by row, so a single repeated
-    member cannot overfill one either.
-    """
-    return (
-        _with_chunk(df, keys, row_id, chunk_rows).groupBy(*keys, "chunk")
-        .agg(F.array_join(F.sort_array(F.collect_list(member)), ",").alias("members"))
-    )

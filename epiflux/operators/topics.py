@@ -7,51 +7,129 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from epiflux.operators.relational import lookup
-from epiflux.operators.vectorize import count_vectors
+from epiflux.operators.vectorize import term_counts, vocabulary
 from epiflux.session import stored
 from epiflux.sources.tables import fixed_table
 
 
 @dataclass
 class TopicModel:
-    """A fitted static model with its vocabulary and the vectors it was fitted on."""
+    """A fitted static model: pseudo-counts of terms per topic, the vocabulary, and the documents it was fitted on."""
 
-    model: LDAModel
-    terms: list[str]  # at most the vocabulary cap
-    vectors: DataFrame
+    counts: np.ndarray  # topics by terms; terms are at most the vocabulary cap
+    terms: list[str]
+    alpha: float
+    vectors: DataFrame | None = None
 
     @property
     def k(self) -> int:
-        return self.model.getK()
+        return len(self.counts)
+
+
+def _digamma(x: np.ndarray) -> np.ndarray:
+    """By recurrence to arguments of six and more, then the asymptotic series."""
+    x = np.asarray(x, float).copy()
+    value = np.zeros_like(x)
+    while (small := x < 6).any():
+        value[small] -= 1 / x[small]
+        x[small] += 1
+    square = 1 / (x * x)
+    return value + np.log(x) - 0.5 / x - square * (1 / 12 - square * (1 / 120 - square / 252))
+
+
+def _expected_log(counts: np.ndarray) -> np.ndarray:
+    """Exponential of the expected log weights of Dirichlet rows."""
+    return np.exp(_digamma(counts) - _digamma(counts.sum(axis=-1, keepdims=True)))
+
+
+def _infer(at: np.ndarray, n: np.ndarray, weights: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """Topic pseudo-counts of one document, and its share in the expected counts of its terms."""
+    gamma = np.full(len(weights), alpha + n.sum() / len(weights))
+    beta = weights[:, at]
+    for _ in range(100):
+        theta = _expected_log(gamma)
+        norm = theta @ beta + 1e-100
+        new = alpha + theta * (beta @ (n / norm))
+        change = np.abs(new - gamma).mean()
+        gamma = new
+        if change < 1e-3:
+            break
+    theta = _expected_log(gamma)
+    return gamma, theta[:, None] * beta * (n / (theta @ beta + 1e-100))
+
+
+def term_vectors(counts: DataFrame, vocab: DataFrame, id_columns: list[str]) -> tuple[list[str], DataFrame]:
+    """The vocabulary in column order, and ``id_columns, at, n``: each document's term indexes and counts.
+
+    Most frequent term first, ties in term order.  A document's arrays are bounded by
+    its own distinct terms.  At most the vocabulary cap of names reaches the driver.
+    """
+    names = [row.term for row in vocab.orderBy(F.desc("total"), "term").collect()]
+    if not names:
+        raise ValueError("no term is frequent enough for the vocabulary")
+    listed = fixed_table(counts.sparkSession, enumerate(names), "at int, term string")
+    cells = counts.join(F.broadcast(listed), "term").groupBy(*id_columns).agg(
+        F.sort_array(F.collect_list(F.struct("at", "n"))).alias("cells"))
+    return names, cells.select(*id_columns, F.col("cells.at").alias("at"), F.col("cells.n").alias("n"))
 
 
 def fit_topics(
-    docs: DataFrame, doc_id: str, terms: str, k: int = 3, alpha: float = 0.01, passes: int = 1, chunk: int = 1000,
-    decay: float = 0.5, seed: int = 0, min_df: int = 10, max_df: float = 0.9, max_terms: int = 10_000,
-    max_updates: int = 50,
+    docs: DataFrame, doc_id: str, terms: str, k: int = 3, alpha: float = 0.01, eta: float | None = None,
+    passes: int = 5, seed: int = 0, min_df: int = 10, max_df: float = 0.9, max_terms: int = 10_000,
+    counts: DataFrame | None = None,
 ) -> TopicModel:
-    """Online variational LDA over the count vectors of an array column.
+    """Variational LDA over the count vectors of an array column.
 
-    One update reads ``chunk`` documents.  Large collections read larger chunks, so
-    that a pass never takes more than ``max_updates`` scans.  Vectors are written
-    once, because every update samples them again.
+    Every pass reads every document once, at any size: documents are inferred where they
+    are, and a partition hands on the sums of its expected counts, which are as long as
+    the capped vocabulary.  Terms are counted once, into a written table; ``counts``
+    (``doc_id, term, n``) may be handed in where it exists already.
     """
-    names, vectors = count_vectors(docs, doc_id, terms, min_df=min_df, max_df=max_df, max_terms=max_terms)
-    vectors = stored(vectors.drop(terms), "topic-vectors")
-    n_docs = max(vectors.count(), 1)
-    share = min(1.0, max(chunk / n_docs, 1.0 / max_updates))
-    lda = LDA(
-        k=k, maxIter=max(1, passes * math.ceil(1 / share)), optimizer="online", docConcentration=[alpha],
-        learningDecay=decay, subsamplingRate=share, seed=seed, featuresCol="features",
-        topicDistributionCol="topic_vector",
-    )
-    return TopicModel(lda.fit(vectors), names, vectors)
+    keep = [name for name in docs.columns if name != terms]
+    if counts is None:
+        counts = stored(term_counts(docs, doc_id, terms), "topic-counts")
+    vocab = vocabulary(counts, docs.agg(F.count(F.lit(1))), min_df, max_df, max_terms)
+    names, cells = term_vectors(counts, vocab, [doc_id])
+    # documents without vocabulary terms have empty vectors
+    vectors = stored(docs.select(*keep).join(cells, doc_id, "left").withColumns({
+        "at": F.coalesce("at", F.array().cast("array<int>")), "n": F.coalesce("n", F.array().cast("array<bigint>")),
+    }), "topic-vectors")
+    prior = 1 / k if eta is None else eta
+    lam = np.random.default_rng(seed).gamma(100.0, 0.01, (k, len(names)))
+    for _ in range(passes):
+        weights = _expected_log(lam)
+
+        def expected(batches, weights=weights):
+            sums = np.zeros(weights.shape)
+            for rows in batches:
+                for at, n in zip(rows["at"], rows["n"]):
+                    if len(at):
+                        sums[:, at] += _infer(at, np.asarray(n, float), weights, alpha)[1]
+            used = np.nonzero(sums.any(axis=0))[0]
+            yield pd.DataFrame({"at": used.astype("int32"), "sums": list(sums[:, used].T)})
+
+        totals = vectors.select("at", "n").mapInPandas(expected, "at int, sums array<double>")
+        cells = [F.sum(F.col("sums")[topic]).alias(str(topic)) for topic in range(k)]
+        lam = np.full(lam.shape, prior)
+        for row in totals.groupBy("at").agg(*cells).collect():  # at most the vocabulary cap
+            lam[:, row["at"]] += [row[str(topic)] for topic in range(k)]
+    return TopicModel(lam, names, alpha, vectors)
+
+
+def save_topics(fitted: TopicModel, spark, path: str) -> None:
+    """Write a model and its vocabulary as a table ``at, term, counts``."""
+    rows = [(at, term, fitted.counts[:, at].tolist(), fitted.alpha) for at, term in enumerate(fitted.terms)]
+    spark.createDataFrame(rows, "at int, term string, counts array<double>, alpha double").write.parquet(path)
+
+
+def load_topics(spark, path: str, vectors: DataFrame | None = None) -> TopicModel:
+    """A model written by ``save_topics``; it has as many rows as the vocabulary."""
+    rows = spark.read.parquet(path).orderBy("at").collect()
+    return TopicModel(np.array([row.counts for row in rows]).T, [row.term for row in rows], rows[0].alpha, vectors)
 
 
 def doc_topics(fitted: TopicModel, id_columns: list[str]) -> DataFrame:
@@ -59,23 +137,28 @@ def doc_topics(fitted: TopicModel, id_columns: list[str]) -> DataFrame:
 
     A document without vocabulary terms keeps the even prior.
     """
-    scored = fitted.model.transform(fitted.vectors).select(
-        *id_columns, vector_to_array("topic_vector").alias("shares")
-    )
-    even = F.array_repeat(F.lit(1.0 / fitted.k), fitted.k)
-    return scored.withColumn("shares", F.when(F.array_max("shares") > 0, F.col("shares")).otherwise(even))
+    weights, alpha = _expected_log(fitted.counts), fitted.alpha
+
+    @F.pandas_udf("array<double>")
+    def shares(at: pd.Series, n: pd.Series) -> pd.Series:
+        out = []
+        for indexes, counts in zip(at, n):
+            gamma = _infer(indexes, np.asarray(counts, float), weights, alpha)[0]
+            out.append(gamma / gamma.sum())
+        return pd.Series(out)
+
+    return fitted.vectors.select(*id_columns, shares("at", "n").alias("shares"))
 
 
 def topic_terms(fitted: TopicModel, n: int | None = None) -> DataFrame:
-    """``(topic, rank, term, weight)`` of the ``n`` heaviest terms per topic, or of all."""
-    spark = fitted.vectors.sparkSession
-    described = fitted.model.describeTopics(len(fitted.terms) if n is None else n)
-    rows = described.select(
-        "topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "pair")
-    ).select("topic", "rank", F.col("pair.termIndices").alias("at"), F.col("pair.termWeights").alias("weight"))
-    names = fixed_table(spark, enumerate(fitted.terms), "at int, term string")
-    # at most the vocabulary cap
-    return rows.join(F.broadcast(names), "at").select("topic", "rank", "term", "weight")
+    """``(topic, rank, term, weight)`` of the ``n`` heaviest terms per topic, or of all; ties in column order."""
+    weights = fitted.counts / fitted.counts.sum(axis=1, keepdims=True)
+    rows = []
+    for topic, row in enumerate(weights):
+        for rank, at in enumerate(np.argsort(-row, kind="stable")[:n].tolist()):
+            rows.append((topic, rank, fitted.terms[at], float(row[at])))
+    return fixed_table(
+        fitted.vectors.sparkSession, rows, "topic int, rank int, term string, weight double")
 
 
 def long_shares(shares: DataFrame) -> DataFrame:
@@ -109,7 +192,7 @@ def umass_coherence(counts: DataFrame, topics: DataFrame, n_docs: DataFrame, doc
     reduced to the set of ranks it contains and equal sets are counted before any
     pair is formed, so pairs grow with the number of distinct sets only.
     """
-    listed = F.broadcast(topics.select("topic", "rank", "term"))
+    listed = topics.select("topic", "rank", "term")
     sets = (
         counts.select(doc_id, "term").join(listed, "term")
         .groupBy(doc_id, "topic").agg(F.sort_array(F.collect_set("rank")).alias("ranks"))
@@ -221,8 +304,7 @@ def fit_drifting_topics(
 
     weights, keys = by_term(start, []), ["term"]
     for _ in range(passes):
-        # static weights are one row per vocabulary term; daily ones may meet frequent terms
-        weighed = tokens.join(F.broadcast(weights), keys) if keys == ["term"] else lookup(tokens, weights, keys, "inner")
+        weighed = lookup(tokens, weights, keys, "inner")  # a frequent term may hold many rows
         spread = weighed.join(shares.select("doc_id", "shares"), "doc_id")
         spread = spread.withColumn(
             "raw", F.zip_with("shares", "weights", lambda share, weight: F.greatest(share, F.lit(1e-12)) * weight)

@@ -140,7 +140,7 @@ def country_dim(spark, folder):
 # Location texts of sixteen kinds, by customer key.
 RAW_SQL = f"""
 raw AS (
-  SELECT c_custkey, CASE c_custkey % 16
+  SELECT c_custkey, CASE c_custkey % 18
     WHEN 0 THEN 'City ' || c_custkey % 50 || ', ' || r_name
     WHEN 1 THEN '(Town ' || c_custkey % 35 || '), ' || n_name
     WHEN 2 THEN 'city ' || c_custkey % 45 || ' , N' || n_nationkey
@@ -156,7 +156,9 @@ raw AS (
     WHEN 12 THEN 'Ville ' || c_custkey % 30 || ', Town ' || c_custkey % 35
     WHEN 13 THEN 'City ' || c_custkey % 45 || ', ' || substring(lower(n_name), 2)
     WHEN 14 THEN {sql_text("".join(_SIGNS[_LETTERS.index(c)] for c in "US"))}
-    ELSE 'City ' || c_custkey % 45 || ', Land ' || c_custkey % 60 END AS place_ori
+    WHEN 15 THEN 'City ' || c_custkey % 45 || ', Land ' || c_custkey % 60
+    WHEN 16 THEN ', ' || r_name
+    ELSE '(), ' || n_name END AS place_ori
   FROM customer JOIN home ON c_nationkey = n_nationkey)
 """
 
@@ -188,13 +190,18 @@ def raw_places(spark, folder):
         text("City ", key % 45, ", ", F.substring(F.lower(nation), 2, 100)),
         code_flag(F.lit("US")),
         text("City ", key % 45, ", Land ", key % 60),
+        text(", ", region),
+        text("(), ", nation),
     ]
-    place = F.coalesce(*[F.when(key % 16 == i, kind) for i, kind in enumerate(kinds)])
+    place = F.coalesce(*[F.when(key % 18 == i, kind) for i, kind in enumerate(kinds)])
     return customers.join(home, customers.c_nationkey == home.n_nationkey).select(
         "c_custkey", place.alias("place_ori")
     )
 
 
+# RE2 takes no escaped underscore; it stands for itself
+_BLACKLIST_SQL = sql_text(PLACE_BLACKLIST.replace(r"\_", "_"))
+
 NORMALIZE_SQL = f"""
 {RAW_SQL},
 remap AS (SELECT * FROM (VALUES {sql_rows(PLACE_REMAP.items())}) AS t(place, remapped)),
@@ -205,7 +212,7 @@ coded AS (
 normed AS (
   SELECT c_custkey, place_ori, coded.place,
          CASE WHEN code IS NOT NULL THEN lower(r_name)
-              WHEN regexp_matches(coded.place, {sql_text(PLACE_BLACKLIST)}) OR coded.place IN ({sql_list(EXCLUDED_PLACES)}) THEN NULL
+              WHEN regexp_matches(coded.place, {_BLACKLIST_SQL}) OR coded.place IN ({sql_list(EXCLUDED_PLACES)}) THEN NULL
               ELSE coalesce(remapped, coded.place) END AS place_norm
   FROM coded LEFT JOIN remap ON coded.place = remap.place LEFT JOIN region ON left(r_name, 2) = code),
 normalized AS (SELECT *, CASE WHEN place_norm IS NULL THEN 'discarded' ELSE 'kept' END AS outcome FROM normed)
@@ -229,14 +236,12 @@ def place_normalize(spark, folder):
     "place_synonyms",
     f"""
     WITH {GAZETTEER_SQL}, {NORMALIZE_SQL}
-    SELECT place_norm, 0 AS chunk, array_to_string(list_sort(list(DISTINCT place_ori)), '|') AS members, count(*) AS n_rows
-    FROM normalized WHERE outcome = 'kept' GROUP BY place_norm
+    SELECT place_norm, place_ori AS member, count(*) AS n FROM normalized WHERE outcome = 'kept' GROUP BY ALL
     """,
 )
 def place_synonyms(spark, folder):
     kept = normalized(spark, folder, gazetteer(spark, folder)).filter("outcome = 'kept'")
-    rolled = places.rollup_members(kept, ["place_norm"], "place_ori")
-    return rolled.withColumn("members", joined("members"))
+    return places.rollup_members(kept, ["place_norm"], "place_ori")
 
 
 SPLIT_SQL = r"""
@@ -334,17 +339,12 @@ members AS (
   UNION ALL
   SELECT geonameid, unnest(aliases), false FROM gaz WHERE geonameid IN (SELECT geonameid FROM mapped)),
 rolled AS (
-  SELECT {_COLUMNS}, 0 AS chunk, place_queried, synonyms FROM (
-    SELECT geonameid, array_to_string(list_sort(list(DISTINCT member) FILTER (WHERE queried)), '|') AS place_queried,
-           array_to_string(list_sort(list(DISTINCT member)), '|') AS synonyms
-    FROM members WHERE member <> '' GROUP BY geonameid) JOIN gaz USING (geonameid))
+  SELECT {_COLUMNS}, member, queried FROM (
+    SELECT geonameid, member, bool_or(queried) AS queried
+    FROM members WHERE member <> '' GROUP BY ALL) JOIN gaz USING (geonameid))
 """
 
 
-def _flat(frame):
-    return _rounded(frame).withColumns({c: joined(c) for c in ("place_queried", "synonyms")})
-
-
 def _from_gazetteer(spark, folder, gaz, norm):
     mapped = stored(_mapped(spark, folder, gaz, norm), "place-map")
     return places.rollup_places(mapped, places.place_variants(norm, "place_ori"), gaz)
@@ -353,7 +353,7 @@ def _from_gazetteer(spark, folder, gaz, norm):
 @query("place_rollup", f"{_ALL_SQL}, {_ROLLUP_SQL} SELECT * FROM rolled")
 def place_rollup(spark, folder):
     gaz = gazetteer(spark, folder)
-    return _flat(_from_gazetteer(spark, folder, gaz, normalized(spark, folder, gaz)))
+    return _rounded(_from_gazetteer(spark, folder, gaz, normalized(spark, folder, gaz)))
 
 
 GEOCODED_SQL = f"""
@@ -378,10 +378,9 @@ gmembers AS (
   JOIN normalized ON normalized.place_norm = place_queried
   UNION ALL SELECT geonameid, unnest(aliases), false FROM firsts),
 geocoded AS (
-  SELECT {_COLUMNS.replace("asciiname", "lower(asciiname) AS asciiname")}, 0 AS chunk, place_queried, synonyms FROM (
-    SELECT geonameid, array_to_string(list_sort(list(DISTINCT member) FILTER (WHERE queried)), '|') AS place_queried,
-           array_to_string(list_sort(list(DISTINCT member)), '|') AS synonyms
-    FROM gmembers WHERE member <> '' GROUP BY geonameid) JOIN gaz USING (geonameid))
+  SELECT {_COLUMNS.replace("asciiname", "lower(asciiname) AS asciiname")}, member, queried FROM (
+    SELECT geonameid, member, bool_or(queried) AS queried
+    FROM gmembers WHERE member <> '' GROUP BY ALL) JOIN gaz USING (geonameid))
 """
 
 
@@ -407,7 +406,7 @@ def _from_geocoder(spark, folder, gaz, norm):
 @query("geocoded_rollup", f"WITH {GAZETTEER_SQL}, {NORMALIZE_SQL}, {GEOCODED_SQL} SELECT * FROM geocoded")
 def geocoded_rollup(spark, folder):
     gaz = gazetteer(spark, folder)
-    return _flat(_from_geocoder(spark, folder, gaz, normalized(spark, folder, gaz)))
+    return _rounded(_from_geocoder(spark, folder, gaz, normalized(spark, folder, gaz)))
 
 
 @query(
@@ -423,7 +422,7 @@ def place_union(spark, folder):
     both = places.union_sources(
         _from_gazetteer(spark, folder, gaz, norm), _from_geocoder(spark, folder, gaz, norm)
     )
-    return _flat(both)
+    return _rounded(both)
 
 
 _STATE_CODES = list(US_STATES)
@@ -482,7 +481,7 @@ def geocode_normalize(spark, folder):
     WITH {GAZETTEER_SQL}, {RAW_SQL},
     c AS (SELECT c_custkey, regexp_replace(lower(place_ori), '@|#|:|^[0-9]+$|\\||/{{2,}}', '', 'g') AS candidate FROM raw)
     SELECT c_custkey, candidate FROM c WHERE length(candidate) > 2
-      AND NOT regexp_matches(candidate, {sql_text(PLACE_BLACKLIST)})
+      AND NOT regexp_matches(candidate, {_BLACKLIST_SQL})
       AND NOT regexp_matches(candidate, {sql_text(GEOCODER_BLACKLIST)})
       AND candidate NOT IN ({sql_list(EXCLUDED_PLACES)})
     """,

@@ -10,8 +10,7 @@ from epiflux.plans.daily import SMOOTH_SQL
 from epiflux.plans.registry import query
 from epiflux.session import stored
 
-# A grid of 51 values (step 0.1) keeps the recursive SQL small; the operator's default has 501.
-_STEP, _N = 0.1, 51
+_STEP, _N = 0.01, 501
 _SIGMA = 0.15
 
 _LIKE_SQL = f"""
@@ -42,28 +41,22 @@ def _filter_sql(sigmas: str) -> str:
       UNION ALL
       SELECT county, sigma, d, list_transform(num, lambda x: x / list_sum(num)), ll + ln(list_sum(num)) FROM (
         SELECT rec.county, rec.sigma, listed.d, rec.ll,
-               list_transform(range(1, {_N + 1}), lambda i: l[i] * list_inner_product(k[i], post)) AS num
-        FROM rec JOIN listed ON rec.county = listed.county AND listed.d = rec.d + 1 JOIN kernels ON kernels.sigma = rec.sigma)),
-    totals AS (
-      SELECT sigma, sum(ll) AS total FROM (
-        SELECT county, sigma, arg_max(ll, d) AS ll FROM rec GROUP BY county, sigma) GROUP BY sigma)
+               list_transform(k, lambda row, i: l[i] * list_inner_product(row, post)) AS num
+        FROM rec JOIN listed ON rec.county = listed.county AND listed.d = rec.d + 1 JOIN kernels ON kernels.sigma = rec.sigma))
     """
 
 
-_ALL_SIGMAS = "list_transform(range(1, 21), lambda x: x / 20.0)"
-
-
 def _prepared(spark, folder):
     return series.prepare_cases(cases(spark, folder), "county", "date", "confirmed", cutoff=5)
 
 
 @query(
     "rt_likelihood",
-    f"WITH {_LIKE_SQL} SELECT county, date, CAST(i AS INTEGER) AS step, round(likelihood, 9) AS likelihood FROM likes",
+    f"WITH {_LIKE_SQL} SELECT county, date, CAST(i AS INTEGER) AS step, round(likelihood, 7) AS likelihood FROM likes",
 )
 def rt_likelihood(spark, folder):
     rows = rt.likelihoods(_prepared(spark, folder), "county", "date", "smoothed", _STEP)
-    return rows.withColumn("likelihood", F.round("likelihood", 9))
+    return rows.withColumn("likelihood", F.round("likelihood", 7))
 
 
 @query(
@@ -79,19 +72,9 @@ def rt_posterior(spark, folder):
     return rows.withColumn("posterior", F.round("posterior", 7))
 
 
-@query("rt_posterior_fine")
-def rt_posterior_fine(spark, folder):
-    return rt.posteriors(_prepared(spark, folder), "county", "date", "smoothed", _SIGMA)
-
-
-@query(
-    "rt_sigma",
-    f"""
-    {_filter_sql(_ALL_SIGMAS)}
-    SELECT round(sigma, 2) AS sigma, round(total, 5) AS total, total = (SELECT max(total) FROM totals) AS chosen FROM totals
-    """,
-)
+@query("rt_sigma")
 def rt_sigma(spark, folder):
+    """Twenty sigmas on 501 values are too slow in SQL; a test follows them by brute force."""
     logliks = rt.sigma_likelihoods(_prepared(spark, folder), "county", "date", "smoothed", step=_STEP)
     totals = stored(rt.sigma_totals(logliks, "county"), "rt-totals")
     chosen = F.col("sigma") == rt.best_sigma(totals).scalar()
@@ -106,23 +89,11 @@ def _most_likely(spark, folder, step):
     return rt.most_likely(prepared, "county", "date", "smoothed", rt.best_sigma(totals), step)
 
 
-@query(
-    "rt_most_likely",
-    f"""
-    {_filter_sql(_ALL_SIGMAS)}
-    SELECT county, date, round((list_position(post, list_max(post)) - 1) * {5.0 / (_N - 1)}, 6) AS ml
-    FROM rec JOIN days USING (county, d) WHERE sigma = (SELECT arg_max(sigma, total) FROM totals)
-    """,
-)
+@query("rt_most_likely")
 def rt_most_likely(spark, folder):
     return _most_likely(spark, folder, _STEP).withColumn("ml", F.round("ml", 6))
 
 
-@query("rt_most_likely_fine")
-def rt_most_likely_fine(spark, folder):
-    return _most_likely(spark, folder, 0.01)
-
-
 @query(
     "rt_split_key",
     f"""

@@ -56,7 +56,8 @@ def _status_json():
         F.struct(
             key.alias("id"),
             F.concat(F.lit("Mon Jan 01 00:"), F.lpad((key % 60).cast("string"), 2, "0")).alias("created_at"),
-            F.left("text", F.lit(140)).alias("text"),
+            # short only where the whole text is carried beside it
+            F.when(key % 3 == 0, F.left("text", F.lit(140))).otherwise(F.col("text")).alias("text"),
             F.col("lang"),
             F.when(key % 3 == 0, F.struct(F.col("text").alias("full_text"))).alias("extended_tweet"),
             F.when(key % 4 == 0, F.struct((key + 1).alias("id"))).alias("retweeted_status"),
@@ -86,7 +87,7 @@ def _status_json():
 
 _STATUS_SQL = f"""
 statuses AS (
-  SELECT *, CASE WHEN doc_id % 3 = 0 THEN text ELSE left(text, 140) END AS shown,
+  SELECT *, text AS shown,
          CASE WHEN doc_id % 10 = 0 THEN source || chr(9) || 'long' || chr(10) || 'quote' WHEN doc_id % 5 = 0 THEN source END AS quoted,
          CASE WHEN doc_id % 4 = 0 THEN 1 ELSE 0 END AS retweet,
          'Mon Jan 01 00:' || lpad(CAST(doc_id % 60 AS VARCHAR), 2, '0') AS created

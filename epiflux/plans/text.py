@@ -108,14 +108,13 @@ CLEAN_TOKENS_SQL = tokens_sql(normalize_sql(strip_sql("lower(text)")))
 @query(
     "tokens_bigrams",
     f"""
-    WITH t AS (SELECT doc_id, {CLEAN_TOKENS_SQL} AS w FROM documents WHERE lang = 'en')
+    WITH t AS (SELECT doc_id, {CLEAN_TOKENS_SQL} AS w FROM documents)
     SELECT doc_id, array_to_string(w, '|') AS words,
            array_to_string(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), '|') AS pairs FROM t
     """,
 )
 def tokens_bigrams(spark, folder):
-    docs = table(spark, folder, "documents", "doc_id", "text", "lang").filter("lang = 'en'")
-    docs = spread(docs, "doc_id")
+    docs = spread(table(spark, folder, "documents", "doc_id", "text"), "doc_id")
     rows = docs.select("doc_id", text.tokens(text.prepare_text(F.lower("text"))).alias("w"))
     both = rows.withColumn("both", text.with_bigrams("w"))
     return both.select(

@@ -25,9 +25,9 @@ def docs_per_day(spark, folder):
 
 
 def _docs(spark, folder):
-    docs = spread(table(spark, folder, "documents", "doc_id", "text", "lang"), "doc_id")
+    docs = spread(table(spark, folder, "documents", "doc_id", "text"), "doc_id")
     day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 5).cast("int"))
-    dated = docs.filter("lang = 'en'").select("doc_id", day.alias("day"), F.lower("text").alias("all_text"))
+    dated = docs.select("doc_id", day.alias("day"), F.lower("text").alias("all_text"))
     return stored(vectorize.with_terms(dated, "all_text").drop("all_text"), "topic-docs")
 
 
