@@ -78,14 +78,17 @@ def value_counts(df: DataFrame, columns: list[str], keep_null: bool = True) -> D
 
 
 def lookup(
-    left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "left", hot_rows: int = 1_000_000
+    left: DataFrame, right: DataFrame, keys: str | list[str], how: str = "left", hot_rows: int = 1_000_000,
+    spread_by: str | None = None,
 ) -> DataFrame:
     """Join to a side with one row per key, where a few keys may hold most rows of ``left``.
 
     Keys with more than ``hot_rows`` rows are spread over as many salts as their
     count asks for, and only their lookup rows are repeated.  There are at most
     ``rows / hot_rows`` such keys, so their table is broadcast.  Rows with a NULL
-    key match nothing and are spread by their hash.
+    key match nothing and are spread too.  Rows are spread by ``spread_by``, a column that
+    tells rows of a key apart; without it by a hash of the whole row, which leaves equal
+    rows together.
     """
     keys = [keys] if isinstance(keys, str) else keys
     hot = F.broadcast(
@@ -93,7 +96,7 @@ def lookup(
         .select(*keys, F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_parts"))
     )
     parts = F.coalesce("_parts", F.lit(1))
-    row = F.xxhash64(*[F.col(f"`{name}`") for name in left.columns])
+    row = F.xxhash64(*[F.col(f"`{name}`") for name in ([spread_by] if spread_by else left.columns)])
     unknown = reduce(lambda a, b: a | b, [F.col(key).isNull() for key in keys])
     salt = F.pmod(row, F.when(unknown, F.lit(1024)).otherwise(parts)).cast("int")
     salted = left.join(hot, keys, "left").withColumn("_salt", salt).drop("_parts")

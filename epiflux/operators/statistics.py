@@ -6,15 +6,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def profile_columns(
-    df: DataFrame, columns: list[str], probabilities: list[float], buckets: int = 4096
-) -> DataFrame:
+#: Buckets that ranks are found in, by halving: a power of two.
+BUCKETS = 1024
+
+
+def _bucket(value, cuts):
+    """How many of the sorted cuts are at most the value, by binary search."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(BUCKETS.bit_length() - 1))])
+
+    def step(at, size):
+        ahead = at + size
+        fits = (ahead <= F.size(cuts)) & (F.get(cuts, ahead - 1) <= value)
+        return F.when(fits, ahead).otherwise(at)
+
+    return F.aggregate(steps, F.lit(0), step)
+
+
+def profile_columns(df: DataFrame, columns: list[str], probabilities: list[float]) -> DataFrame:
     """One row per column: ``n``, ``mean``, ``std``, ``min``, ``max`` and quantiles ``q0, q1, ...``.
 
     All columns share one scan.  Values are counted first, so a value that fills
-    most rows weighs one row.  Distinct values are spread over equal-width buckets
-    and ranked inside their bucket on top of the bucket's offset; only the bucket
-    totals are ordered in one place.  Quantiles are interpolated linearly.
+    most rows weighs one row.  Distinct values are cut at approximate quantiles of
+    their own, so buckets follow the distribution whatever its tails, and ranked inside
+    their bucket on top of the bucket's offset; only the bucket totals are ordered in
+    one place.  The cuts decide how work is spread, not the result.  Quantiles are
+    interpolated linearly.
     """
     cells = F.array(
         *[F.struct(F.lit(name).alias("column"), F.col(name).cast("double").alias("v")) for name in columns]
@@ -24,16 +40,12 @@ def profile_columns(
         .groupBy("column", "v").agg(F.count(F.lit(1)).alias("n"))
     )
     span = counts.groupBy("column").agg(
-        F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("total"),
-        (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"),
+        F.percentile_approx("v", [i / BUCKETS for i in range(1, BUCKETS)], 10 * BUCKETS).alias("cuts"),
+        F.sum("n").alias("total"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"),
     )
-    low, high, v, n = F.col("low"), F.col("high"), F.col("v"), F.col("n")
+    v, n = F.col("v"), F.col("n")
     # one row per listed column
-    placed = counts.join(F.broadcast(span), "column").withColumn(
-        "bucket",
-        F.when(high > low, F.least(F.floor((v - low) / (high - low) * buckets), F.lit(buckets - 1)))
-        .otherwise(F.lit(0)).cast("int"),
-    )
+    placed = counts.join(F.broadcast(span), "column").withColumn("bucket", _bucket(v, F.col("cuts"))).drop("cuts")
     before = Window.partitionBy("column").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy("column", "bucket").agg(F.sum("n").alias("size")).select(
         "column", "bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("shift")
@@ -62,9 +74,9 @@ def profile_columns(
     return rows.select("column", "n", "mean", deviation.alias("std"), "min", "max", *quantiles)
 
 
-def exact_quantiles(df: DataFrame, column: str, probabilities: list[float], buckets: int = 4096) -> DataFrame:
+def exact_quantiles(df: DataFrame, column: str, probabilities: list[float]) -> DataFrame:
     """One row with ``n`` and the quantiles ``q0, q1, ...`` of a column."""
-    profile = profile_columns(df, [column], probabilities, buckets)
+    profile = profile_columns(df, [column], probabilities)
     return profile.select("n", *[f"q{i}" for i in range(len(probabilities))])
 
 

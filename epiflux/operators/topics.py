@@ -304,7 +304,7 @@ def fit_drifting_topics(
 
     weights, keys = by_term(start, []), ["term"]
     for _ in range(passes):
-        weighed = lookup(tokens, weights, keys, "inner")  # a frequent term may hold many rows
+        weighed = lookup(tokens, weights, keys, "inner", spread_by="doc_id")  # a frequent term may hold many rows
         spread = weighed.join(shares.select("doc_id", "shares"), "doc_id")
         spread = spread.withColumn(
             "raw", F.zip_with("shares", "weights", lambda share, weight: F.greatest(share, F.lit(1e-12)) * weight)

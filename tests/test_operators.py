@@ -103,7 +103,7 @@ def test_skewed_lookup_equals_join(spark):
 def test_exact_quantiles(spark, values):
     rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
     probabilities = [0.0, 0.25, 0.5, 0.9, 1.0]
-    row = statistics.exact_quantiles(rows, "x", probabilities, buckets=8).first()
+    row = statistics.exact_quantiles(rows, "x", probabilities).first()
     expected = np.quantile(values, probabilities)
     assert row.n == len(values)
     assert np.allclose([row[f"q{i}"] for i in range(5)], expected)
@@ -488,3 +488,15 @@ def test_an_empty_city_matches_nothing(spark):
     tokens = spark.createDataFrame([("usa", "US")], "token string, code string")
     got = {r.place_norm: r.geonameid for r in places.match_places(names, gazetteer, tokens).collect()}
     assert got == {", usa": None, "(), texas": None, "austin, texas": 1}
+
+
+def test_buckets_follow_the_distribution(spark):
+    """One far value leaves the others spread over many buckets."""
+    from epiflux.operators import statistics
+
+    values = spark.range(20_000).select(F.col("id").cast("double").alias("v")).union(
+        spark.createDataFrame([(1e15,), (-1e15,)], "v double"))
+    cuts = values.agg(F.percentile_approx("v", [i / 1024 for i in range(1, 1024)], 10240).alias("cuts"))
+    sizes = values.crossJoin(cuts).groupBy(statistics._bucket(F.col("v"), F.col("cuts")).alias("b")).count()
+    worst = sizes.agg(F.max("count"), F.count(F.lit(1))).first()
+    assert worst[0] < 100 and worst[1] > 900
