@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from epiflux.functions.fixed_values import TRACKED_PREPAREDNESS
+from epiflux.functions.fixed_values import TRACKED_DISEASE, TRACKED_PREPAREDNESS
 from epiflux.plans.bindings import DECORATION, joined
 from epiflux.plans.registry import query, sql_text
 from epiflux.session import scratch
@@ -27,21 +27,18 @@ def _finish(running):
     return running
 
 
-_TRACKED_SQL = " OR ".join(
-    "(" + " AND ".join(f"contains(lower(text), {sql_text(w)})" for w in phrase.split()) + ")"
-    for phrase in TRACKED_PREPAREDNESS
-)
+def _tracked_sql(phrases):
+    found = " OR ".join(
+        "(" + " AND ".join(f"contains(lower(text), {sql_text(w)})" for w in phrase.split()) + ")" for phrase in phrases
+    )
+    return f"""
+    SELECT doc_id, source, md5(text) AS text_md5 FROM (SELECT doc_id, lang, source, text || {DECORATION} AS text FROM documents)
+    WHERE lang = 'en' AND ({found})
+    """
 
 
-@query(
-    "stream_keyword_filter",
-    f"""
-    SELECT doc_id, source, md5(text) AS text_md5 FROM (SELECT doc_id, lang, source, text || {DECORATION} AS text FROM documents)
-    WHERE lang = 'en' AND ({_TRACKED_SQL})
-    """,
-)
-def stream_keyword_filter(spark, folder):
-    hits = live.keyword_filter(_documents(spark, folder), "text", "lang", TRACKED_PREPAREDNESS)
+def _tracked(spark, folder, phrases):
+    hits = live.keyword_filter(_documents(spark, folder), "text", "lang", phrases)
     out = scratch(spark, "tracked")
     _finish(live.append_table(
         hits.select("doc_id", "source", F.md5("text").alias("text_md5")), out, scratch(spark, "mark"), availableNow=True
@@ -49,6 +46,17 @@ def stream_keyword_filter(spark, folder):
     return spark.read.schema("doc_id bigint, source string, text_md5 string").parquet(out)
 
 
+@query("stream_keyword_filter", _tracked_sql(TRACKED_PREPAREDNESS))
+def stream_keyword_filter(spark, folder):
+    return _tracked(spark, folder, TRACKED_PREPAREDNESS)
+
+
+@query("stream_disease_filter", _tracked_sql(TRACKED_DISEASE))
+def stream_disease_filter(spark, folder):
+    """The second collection's phrases."""
+    return _tracked(spark, folder, TRACKED_DISEASE)
+
+
 def _status_json():
     """A status document of every row, with optional parts present by key."""
     key = F.col("doc_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from epiflux.operators import matching, relational, statistics
+from epiflux.operators import matching, places, relational, rt, statistics
 from epiflux.plans.bindings import joined
 from epiflux.plans.registry import query
 from epiflux.session import scratch
@@ -270,10 +270,8 @@ def split_key(spark, folder):
     key = F.concat(
         "n_name", F.lit("-"), "s_name", F.when(F.col("s_suppkey") % 3 == 0, "-east").otherwise("")
     )
-    parts = F.split(key, "-")
-    return suppliers.join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(
-        "s_suppkey", parts.getItem(0).alias("state"), parts.getItem(1).alias("county")
-    )
+    keyed = suppliers.join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", key.alias("key"))
+    return rt.split_county(keyed, "key").select("s_suppkey", "state", "county")
 
 
 # ---------------------------------------------------------------- joins
@@ -371,11 +369,16 @@ def alt_name_join(spark, folder):
         "lang",
         F.when(key % 5 == 0, "en").when(key % 5 == 1, "fra").when(key % 5 == 2, "link").when(key % 5 == 3, ""),
     )
-    countries = table(spark, folder, "nation", "n_nationkey", "n_name", "n_regionkey")
-    in_language = names.filter(F.col("lang").rlike("^[a-zA-Z]{2,3}$"))
-    return in_language.join(countries, in_language.c_nationkey == countries.n_nationkey).select(
-        "c_custkey", F.col("c_name").alias("alt_name"), F.col("n_name").alias("country"),
-        F.col("n_regionkey").alias("iso"), "lang",
+    alternates = names.select(
+        "c_custkey", F.col("c_nationkey").alias("geonameid"), F.col("c_name").alias("name"), F.col("lang").alias("language")
+    )
+    countries = table(spark, folder, "nation").select(
+        F.col("n_nationkey").alias("geonameid"), F.col("n_regionkey").alias("code"), F.col("n_name").alias("country")
+    )
+    # names of customers are their keys in text
+    return places.join_alternate_names(alternates, countries).select(
+        F.regexp_extract("name", "[0-9]+", 0).cast("bigint").alias("c_custkey"), F.col("name").alias("alt_name"), "country",
+        F.col("code").alias("iso"), F.col("language").alias("lang"),
     )
 
 

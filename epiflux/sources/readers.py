@@ -33,11 +33,13 @@ def read_delimited(
     return reader.csv(path)
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """``(file, line_no, line)`` of text files, numbered from 0 within each file.
 
-    Files stay splittable: lines are numbered inside their block, and each block
-    is shifted by the number of lines in the blocks before it.
+    Files stay splittable and no line is shuffled for its number: a scan counts its rows
+    in order, so a line's place in its block is its count less the block's first, and
+    each block is shifted by the number of lines in the blocks before it.  With a
+    ``pattern`` only lines that contain it are numbered.
     """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
@@ -45,22 +47,20 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("seen"),
         F.col("value").alias("line"),
     )
-    sizes = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    sizes = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("seen").alias("first"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        "file", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift")
+        "file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift")
     )
-    within = Window.partitionBy("file", "block").orderBy("seen")
-    return (
-        lines.withColumn("at", F.row_number().over(within) - 1)
-        .join(offsets, ["file", "block"])
-        .select("file", (F.col("shift") + F.col("at")).alias("line_no"), "line")
+    wanted = lines if pattern is None else lines.filter(F.col("line").rlike(pattern))
+    return wanted.join(offsets, ["file", "block"]).select(
+        "file", (F.col("shift") + F.col("seen")).alias("line_no"), "line"
     )
 
 
 def grep_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """Numbered lines that contain the pattern; no rows when nothing matches."""
-    return numbered_lines(spark, path).filter(F.col("line").rlike(pattern))
+    return numbered_lines(spark, path, pattern)
 
 
 def text_lines(text) -> Column:

@@ -28,8 +28,11 @@ def file_stream(spark: SparkSession, folder: str, schema, pattern: str = "*", fi
 
 def tracks(text, phrases: list[str]) -> Column:
     """Whether a text holds all words of at least one phrase, in any case and order."""
-    folded = F.lower(F.col(text) if isinstance(text, str) else text)
-    return reduce(or_, [reduce(and_, [folded.contains(w) for w in p.lower().split()]) for p in phrases])
+    def tracked(folded: Column) -> Column:
+        return reduce(or_, [reduce(and_, [folded.contains(w) for w in p.lower().split()]) for p in phrases])
+
+    # exists over one element names the folded text, so that it is made once
+    return F.exists(F.array(F.lower(F.col(text) if isinstance(text, str) else text)), tracked)
 
 
 def keyword_filter(df: DataFrame, text: str, language: str, phrases: list[str], wanted: str = "en") -> DataFrame:
