@@ -21,10 +21,10 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 22
 #: Most labelled rows that a fit reads, chosen by a hash of the id.
 SAMPLE_ROWS = 20_000
-#: Most buckets that keep weights, those that tell the classes apart best.
-KEPT_BUCKETS = 4_096
-#: Least z value of a kept bucket.
+#: Least z value of a bucket that is kept for itself; others are kept for their pairs.
 LEAST_Z = 3.0
+#: Least rows of a bucket that is looked at.
+LEAST_ROWS = 5
 #: Length of a bucket's vector.
 FACTORS = 4
 #: Words whose buckets a task remembers.
@@ -72,18 +72,96 @@ class FactorizationMachine:
 
 
 def _screen(terms: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
-    """Buckets whose share differs most between the classes, by the z value of log odds."""
+    """Buckets whose share differs between the classes, by the z value of log odds, and those of telling pairs."""
     a, b = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
     for found, toxic in zip(terms, labels):
         (a if toxic else b)[found] += 1
-    buckets = np.nonzero(a + b >= 5)[0]
+    buckets = np.nonzero(a + b >= LEAST_ROWS)[0]
     a, b = a[buckets], b[buckets]
     n_toxic, n_clean = labels.sum(), len(labels) - labels.sum()
     odds = np.log((a + 0.5) / (n_toxic - a + 0.5)) - np.log((b + 0.5) / (n_clean - b + 0.5))
     spread = 1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (n_toxic - a + 0.5) + 1 / (n_clean - b + 0.5)
-    z = np.abs(odds) / np.sqrt(spread)
-    order = np.lexsort((buckets, -z))
-    return np.sort(buckets[order[z[order] >= LEAST_Z][:KEPT_BUCKETS]])
+    alone = buckets[np.abs(odds) / np.sqrt(spread) >= LEAST_Z]
+    return np.union1d(alone, _paired(terms, labels, buckets, a, b))
+
+
+def _paired(
+    terms: list[np.ndarray], labels: np.ndarray, buckets: np.ndarray, toxic: np.ndarray, clean: np.ndarray,
+) -> np.ndarray:
+    """Buckets of pairs that meet with another share of toxic rows than their single odds give together.
+
+    Every pair is counted.  The measure is the likelihood ratio against odds that multiply;
+    its bound grows with the number of possible pairs, so that chance gives none.  A pair
+    that meets in fewer rows than a pure pair needs for the bound is passed over.
+    """
+    if len(buckets) < 2:
+        return buckets[:0]
+    base = labels.mean()
+    bound = 2 * np.log(len(buckets) * (len(buckets) - 1) / 2) + 4
+    least = int(np.ceil(bound / (2 * -np.log(min(base, 1 - base)))))
+    # the most frequent bucket first: a pair is counted at its more frequent one
+    order = np.argsort(-(toxic + clean), kind="stable")
+    order = order[(toxic + clean)[order] >= least]
+    k = len(order)
+    if k < 2:
+        return buckets[:0]
+    odds = ((toxic + base) / (clean + 1 - base))[order]
+    place = np.full(BUCKETS, -1, np.int64)
+    place[buckets[order]] = np.arange(k)
+    rows = [np.sort(found[found >= 0]) for found in (place[found] for found in terms)]
+    lengths = np.array([len(found) for found in rows])
+    owners = np.repeat(np.arange(len(rows)), lengths)
+    spots = np.arange(len(owners)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    by_bucket = np.argsort(np.concatenate(rows), kind="stable")
+    owners, spots = owners[by_bucket], spots[by_bucket] + 1
+    ends = np.cumsum((toxic + clean)[order])
+    marks = labels > 0
+    telling = np.zeros(k, bool)
+
+    def judge(i, j: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+        n, joint = a + b, odds[i] * odds[j] * (1 - base) / base
+        share = joint / (1 + joint)
+        # twice the square is never below the likelihood ratio
+        near = np.nonzero(2 * (a - n * share) ** 2 >= bound * n * share * (1 - share))[0]
+        a, b, n, share = a[near], b[near], n[near], share[near]
+        ratio = 2 * (a * np.log(np.maximum(a, 1) / (n * share)) + b * np.log(np.maximum(b, 1) / (n * (1 - share))))
+        hit = near[ratio >= bound]
+        telling[j[hit]] = True
+        telling[i if np.isscalar(i) else i[hit]] |= bool(len(hit)) if np.isscalar(i) else True
+
+    def judge_rare(held: list[np.ndarray]) -> None:
+        keys, counts = np.unique(np.concatenate(held), return_counts=True)
+        pairs = keys >> 1
+        first = np.nonzero(np.diff(pairs, prepend=-1))[0]
+        a = np.add.reduceat(np.where(keys & 1, counts, 0), first)
+        n = np.add.reduceat(counts, first)
+        chosen = np.nonzero(n >= least)[0]
+        pairs = pairs[first[chosen]]
+        judge(pairs // k, pairs % k, a[chosen], n[chosen] - a[chosen])
+
+    held, size = [], 0
+    for i in range(k):
+        at = slice(ends[i - 1] if i else 0, ends[i])
+        mine = marks[owners[at]]
+        parts = [rows[row][spot:] for row, spot in zip(owners[at].tolist(), spots[at].tolist())]
+        total = sum(map(len, parts))
+        if total * 8 > k - i:
+            a, b = (
+                np.bincount(np.concatenate([parts[0][:0], *(parts[r] for r in np.nonzero(side)[0].tolist())]), minlength=k)
+                for side in (mine, ~mine)
+            )
+            j = np.nonzero(a + b >= least)[0]
+            if len(j):
+                judge(i, j, a[j], b[j])
+        elif total:
+            held.append((np.concatenate(parts) + i * k) * 2 + np.repeat(mine, list(map(len, parts))))
+            size += total
+        if held and (size > 2_000_000 or i == k - 1):
+            judge_rare(held)
+            held, size = [], 0
+    if held:
+        judge_rare(held)
+    return buckets[order[telling]]
 
 
 def train(terms: list[np.ndarray], labels: np.ndarray) -> FactorizationMachine:

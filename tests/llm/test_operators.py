@@ -175,6 +175,29 @@ def test_toxicity_learns_pairs(spark):
     assert sum((row.score >= 0.5) == row.toxic for row in found) >= 0.99 * len(found)
 
 
+def test_toxicity_learns_pairs_of_balanced_words(spark):
+    """Both words are as frequent in clean as in toxic texts: toxic are the texts with both or with neither."""
+    rng = random.Random(5)
+    plain = [f"w{i}x" for i in range(300)]
+    rows = []
+    for i in range(2400):
+        a, b = i % 2, i // 2 % 2
+        words = [rng.choice(plain) for _ in range(40)] + ["insult"] * a + ["group"] * b
+        rows.append((i, " ".join(words), int(a == b)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    seen = docs.filter("doc_id < 1200")
+    model = toxicity.fit(seen.select("doc_id", "text"), seen.select("doc_id", "toxic"))
+    found = toxicity.score(docs.filter("doc_id >= 1200"), model).collect()
+    assert sum((row.score >= 0.5) == row.toxic for row in found) >= 0.99 * len(found)
+
+
+def test_toxicity_screen_has_no_cap():
+    """Five thousand buckets that tell the classes apart all keep weights."""
+    labels = np.array([1.0, 0.0] * 100)
+    terms = [np.arange(5000, dtype=np.int32) + (0 if label else 5000) for label in labels]
+    assert len(toxicity._screen(terms, labels)) == 10_000
+
+
 def test_toxicity_without_labels(spark, odd, empty):
     labels = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.fit(empty, labels)
