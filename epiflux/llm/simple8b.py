@@ -145,7 +145,7 @@ class WordTokenizer:
     No token of this vocabulary crosses white space, so a text's ids are those of its
     space-separated words in turn.  A word of characters that fold by a table (ASCII and
     Latin-1) is split by the vocabulary's own pattern and goes to the library's BPE model;
-    any other word goes through the whole library.
+    any other word, and one that holds an added token, goes through the whole library.
     """
 
     def __init__(self, path: str, remembered: int = 300_000):
@@ -155,10 +155,12 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.model = self.library.model
         with open(path, encoding="utf-8") as file:
-            steps = json.load(file)["pre_tokenizer"]["pretokenizers"]
+            parts = json.load(file)
+        steps = parts["pre_tokenizer"]["pretokenizers"]
+        # the library finds these in a text before it splits it, some of them after folding
+        self.added = [token["content"].lower() for token in parts["added_tokens"]]
         self.pieces = regex.compile(steps[0]["pattern"]["Regex"]).findall
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in plain]
@@ -168,8 +170,9 @@ class WordTokenizer:
 
     def _pieces(self, text: str) -> bytes:
         ids: list[int] = []
-        if self.foldable(text):
-            for piece in self.pieces(text.lower()):
+        low = text.lower()
+        if self.foldable(text) and not any(token in low for token in self.added):
+            for piece in self.pieces(low):
                 if not piece.isascii():
                     piece = piece.encode().decode("latin-1").translate(self.marks)
                 ids += [token.id for token in self.model.tokenize(piece)]

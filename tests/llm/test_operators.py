@@ -113,6 +113,21 @@ def test_simple8b_files(spark, odd, tmp_path, monkeypatch):
     assert keys == sorted(keys, key=lambda key: -1 if key is None else key)
 
 
+def test_simple8b_added_tokens_are_the_library_s():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library, words = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), simple8b.load_words()
+    texts = [
+        "a <|endoftext|> b", "x<|endoftext|>y.", "<|startoftext|>Hi, <|endoftext|>", "<|ENDOFTEXT|> <|EndOfText|>z", "é<|endoftext|>漢",
+        "<|endoftext|><|endoftext|>,", "<|endoftext |> <|endoftext", "  <|endoftext|>\n\tb", "it's<|endoftext|>'s", *[text for _, text in ODD],
+    ]
+    for text in texts:
+        ids = np.frombuffer(words.encode((text or "").encode()), "<u4").tolist()
+        assert ids == library.encode(text or "", add_special_tokens=False).ids, text
+    assert words.encode(b"a <|endoftext|> b") == np.array([320, 49407, 321], "<u4").tobytes()
+
+
 def test_simple8b_empty(spark, empty, tmp_path):
     simple8b.write(empty, f"{tmp_path}/none")
     assert simple8b.read(spark, f"{tmp_path}/none").count() == 0
