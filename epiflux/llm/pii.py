@@ -11,7 +11,7 @@ of the key and the other half), so
 * letters stay letters of their script and case, vowels of names stay vowels, digits stay
   digits, and punctuation stays; card numbers keep or miss their check digit as before.
 
-A name keeps its title and its last letter, and with them its gender.  What a permutation
+A name keeps its title and the last letter of its words, and with them its gender.  What a permutation
 cannot see is a surrogate that is a real entity elsewhere; ``collisions`` lists those.
 """
 
@@ -26,9 +26,20 @@ from epiflux.llm.common import fresh
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9][A-Za-z0-9-]*(?:\.[A-Za-z0-9][A-Za-z0-9-]*)*\.[A-Za-z]{2,}"
 IPV4 = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])"
 CARD = r"(?<![0-9])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{4}(?![0-9])"
-PHONE = r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])"
-TITLE = r"\b(?:Mrs|Mr|Ms|Miss|Herr|Frau|Monsieur|Madame|Señora|Señor|Господин|Госпожа)\.? "
-NAME = r"\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?"
+PHONE = "|".join([
+    r"(?<![0-9])(?:\+|00)[1-9](?:[ ./()-]{0,2}[0-9]){7,13}(?![0-9])",
+    r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])",
+    r"(?<![0-9])\(?0[0-9]{2,4}\)?[ ./-][0-9]{3,4}[ .-]?[0-9]{3,5}(?![0-9])",
+    r"(?<![\p{L}0-9_.+-])(?:[0-9]{10}|[0-9]{3}[ .-][0-9]{7})(?![\p{L}0-9_]|\.[0-9])",
+])
+TITLE = (
+    r"\b(?:(?:Mrs|Mr|Ms|Mx|Miss|Dr|Prof|Professor|Sir|Herrn|Herr|Frau|Doktor|Monsieur|Madame|Mademoiselle|Mme|Mlle|"
+    r"Señora|Señorita|Señor|Sra|Srta|Sr|Dra|Doctora|Doctor|Господин|Госпожа|Доктор|Профессор)\.? )+"
+)
+PARTICLES = ("von", "van", "der", "den", "dem", "de", "del", "della", "da", "di", "du", "la", "le", "zu", "zur", "bin", "ibn", "al", "el", "y")
+_WORD = r"(?:[dl]['’])?\p{Lu}[\p{L}\p{M}]*(?:['’]\p{Lu}[\p{L}\p{M}]*|-\p{L}[\p{L}\p{M}]*)*(?:(?<=\b\p{Lu})\.(?= ?\p{Lu}))?"
+_PARTICLE = f"(?:(?:{'|'.join(PARTICLES)}) )"
+NAME = f"{_PARTICLE}*{_WORD}(?: {_PARTICLE}*{_WORD})*"
 LETTERS = ("abcdefghijklmnopqrstuvwxyz", "0123456789")
 SOUNDS = (
     "aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôûäëïöü", "çñß", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "0123456789",
@@ -159,10 +170,20 @@ def _email(form: Column, key: str) -> Column:
 
 
 def _name(form: Column, key: str) -> Column:
-    """The words after the title move but for the last letter."""
+    """Each word after the title moves but for its last letter; words of one or two letters move whole.
+
+    Words move one by one, so a surname has one surrogate whatever stands before it.
+    """
     title, name = F.regexp_extract(form, f"^{TITLE}", 0), F.regexp_replace(form, f"^{TITLE}", "")
-    first = F.substring(name, F.lit(1), F.length(name) - 1)
-    return F.concat(title, permuted(first, key, "name", SOUNDS), F.substring(name, -1, 1))
+    parts = F.regexp_extract_all(name, F.lit(r"[\p{L}\p{M}]+|[^\p{L}\p{M}]+"), F.lit(0))
+
+    def moved(part: Column) -> Column:
+        kept = F.when(F.length(part) > 2, 1).otherwise(0)
+        body = F.substring(part, F.lit(1), F.length(part) - kept)
+        new = F.concat(permuted(body, key, "name", SOUNDS), F.substring(part, F.length(part) - kept + 1, kept))
+        return F.when(part.rlike(r"^\p{L}") & ~part.isin(*PARTICLES), new).otherwise(part)
+
+    return F.concat(title, F.array_join(F.transform(parts, moved), ""))
 
 
 def kind_of(entity: Column) -> Column:
@@ -215,6 +236,6 @@ def collisions(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     Choose another key if there are any that matter.  Entities are reduced before they move.
     """
     hits = docs.select(F.explode(F.regexp_extract_all(F.col(f"`{text}`"), F.lit(PATTERN), F.lit(0))).alias("value"))
-    hits = hits.distinct().withColumn("kind", kind_of(F.col("value"))).filter("kind <> 'name'")
+    hits = hits.distinct().withColumn("kind", kind_of(F.col("value")))
     made = hits.select("kind", surrogate(F.col("value"), key).alias("value")).distinct()
     return made.join(hits, ["kind", "value"], "left_semi")

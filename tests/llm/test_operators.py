@@ -348,6 +348,26 @@ def test_surrogates(spark, odd, empty):
     assert pii.collisions(docs, "key").count() == 0
 
 
+def test_whole_names_and_phones(spark):
+    names = [
+        "Mrs Anna Maria Schmidt", "Mrs Smith-Jones", "Mr McDonald", "Mr O'Brien", "Dr Weber", "Prof. Dr. Eva Klein", "Frau von Berg",
+        "Mr John Smith", "Mr Smith", "Mr J. Smith", "Mr Li",
+    ]
+    phones = ["+44 20 7946 0958", "5551234567", "020 7946 0958", "0049 30 1234567", "555 1234567"]
+    docs = spark.createDataFrame([(i, f"see {x}, ok") for i, x in enumerate(names + phones)], "doc_id long, text string")
+    rows = pii.replace(docs, "key").orderBy("doc_id").collect()
+    for old, row in zip(names + phones, rows):
+        assert [(e.start, e.end) for e in row.entities] == [(4, 4 + len(old))], row
+        assert row.text == f"see {row.entities[0].surrogate}, ok"
+    new = {old: row.entities[0].surrogate for old, row in zip(names + phones, rows)}
+    for part in ("Anna", "Maria", "Schmidt", "Smith", "Jones", "Donald", "Brien", "Weber", "Klein", "Berg", "John"):
+        assert all(part not in value for value in new.values())
+    assert new["Frau von Berg"].startswith("Frau von ") and new["Prof. Dr. Eva Klein"].startswith("Prof. Dr. ")
+    assert len({new[old].split()[-1] for old in ("Mr John Smith", "Mr Smith", "Mr J. Smith")}) == 1
+    kept = spark.createDataFrame([(1, "Mr Smith's 0.1234567890 v1234567890 on 01.02.2024")], "doc_id long, text string")
+    assert [e.end for e in pii.replace(kept, "key").first().entities] == [8]
+
+
 def test_permutation_has_no_collisions(spark):
     values = spark.range(5000).select(F.format_string("%05d", "id").alias("old"))
     moved = values.select("old", pii.permuted(F.col("old"), "k", "phone", pii.LETTERS).alias("new"))
