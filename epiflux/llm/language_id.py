@@ -57,7 +57,17 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     for row in sorted(pieces, key=lambda row: (row.lang, row.place, row.piece)):
         parts.setdefault(row.lang, []).append(folded(row.piece))
     order = [row.lang for row in counts if row.lang in parts]
-    return {name: b" ".join(parts[name])[-DICTIONARY_BYTES:] for name in order}
+    return {name: b" ".join(_shared(parts[name])) for name in order}
+
+
+def _shared(pieces: list[bytes]) -> list[bytes]:
+    """The pieces cut so that together, with spaces, they fit a dictionary; what short ones leave goes to the others."""
+    left, out = DICTIONARY_BYTES, list(pieces)
+    for done, at in enumerate(sorted(range(len(pieces)), key=lambda at: len(pieces[at]))):
+        share = max(0, left // (len(pieces) - done) - 1)
+        out[at] = pieces[at][:share]
+        left -= len(out[at]) + 1
+    return out
 
 
 class Identifier:

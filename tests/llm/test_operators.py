@@ -239,6 +239,13 @@ def test_language_id(spark, folder, odd, empty):
     assert language_id.fit(empty) == {} and language_id.identify(empty, {}).count() == 0
 
 
+def test_every_sampled_row_is_in_the_dictionary():
+    pieces = [f"{i:03d}".encode() + b"x" * (20 if i % 4 == 0 else 2000) for i in range(200)]
+    shared = language_id._shared(pieces)
+    assert [piece[:3] for piece in shared] == [piece[:3] for piece in pieces] and shared[0] == pieces[0]
+    assert 0.99 * language_id.DICTIONARY_BYTES < len(b" ".join(shared)) <= language_id.DICTIONARY_BYTES
+
+
 # ---- secrets
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
