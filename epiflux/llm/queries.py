@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epiflux.llm import (
-    byte_bpe, decontamination, host_quality, language_id, ngram_join, pii, secret_scan, simple8b, toxicity, url_filter,
+    byte_bpe, conversation_repair, decontamination, host_quality, language_id, ngram_join, pii, secret_scan, simple8b, toxicity, url_filter,
 )
 from epiflux.llm.common import held_out, in_small_batches
 from epiflux.session import scratch
@@ -235,3 +235,16 @@ def op9_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
     """The key of the query is public, so its surrogates hide nothing; a run of one's own takes a secret one."""
     found = pii.replace(table(spark, folder, "documents", "doc_id", "text"), key="op9")
     return found.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), "entities")
+
+
+@_query
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations", "conv_id", "turn", "role", "text")
+    found = conversation_repair.repair(conversation_repair.damaged(rows)).withColumnRenamed("conv_id", "_conv_id")
+    every = rows.select("conv_id").distinct()
+    joined = every.join(found, F.col("conv_id").eqNullSafe(F.col("_conv_id")), "left")
+    numbers = [F.coalesce(name, F.lit(0)).cast("long").alias(name)
+               for name in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return joined.select(
+        "conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
