@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epiflux.llm import (
-    byte_bpe, conversation_repair, decontamination, host_quality, language_id, ngram_join, pii, secret_scan, simple8b, toxicity, url_filter,
+    byte_bpe, conversation_repair, decontamination, exact_topk, host_quality, language_id, ngram_join, pii, secret_scan, simple8b, toxicity, url_filter,
 )
 from epiflux.llm.common import held_out, in_small_batches
 from epiflux.session import scratch
@@ -248,3 +248,24 @@ def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return joined.select(
         "conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"),
         F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+@_query
+def op13_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings", "vec_id", "embedding")
+    return exact_topk.top_k(vectors, "vec_id", "embedding", asks=F.col("vec_id") % 50 == 0, k=5)
+
+
+ORACLES["op13_exact_topk"] = r"""
+WITH vectors AS (
+  SELECT row_number() OVER () AS number, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT q.number, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM vectors q JOIN vectors c ON q.number <> c.number WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY number ORDER BY score DESC, vec_id ASC NULLS LAST) AS rank FROM scores
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
