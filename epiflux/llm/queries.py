@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epiflux.llm import (
-    byte_bpe, conversation_repair, decontamination, exact_topk, host_quality, language_id, ngram_join, pii, secret_scan, simple8b, toxicity, url_filter,
+    byte_bpe, conversation_repair, decontamination, exact_topk, host_quality, language_id, ngram_join, pii, secret_scan, simple8b, spelling, toxicity, url_filter,
 )
 from epiflux.llm.common import held_out, in_small_batches
 from epiflux.session import scratch
@@ -269,3 +269,58 @@ WITH vectors AS (
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
 """
+
+
+@_query
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.group_variants(spelling.vocabulary(table(spark, folder, "documents", "doc_id", "text")))
+
+
+#: The checksum is made of the table of its byte remainders; letters above 127 are two bytes from 0xC3 on.
+ORACLES["op11_spelling_variants"] = r"""
+WITH RECURSIVE bits AS (
+  SELECT byte, 0 AS step, byte AS c FROM range(256) AS t(byte)
+  UNION ALL
+  SELECT byte, step + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE step < 8
+), remainders AS (
+  SELECT list(c ORDER BY byte) AS r FROM bits WHERE step = 8
+), runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[a-zÀ-ÿ]{5,}')) AS run
+  FROM documents
+), counted AS (
+  SELECT run, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS name, count(*) AS times FROM runs GROUP BY ALL
+), bytes AS (
+  SELECT run, times, flatten(list_transform(string_split(name, ''), lambda x:
+           CASE WHEN unicode(x) < 128 THEN [CAST(unicode(x) AS BIGINT)]
+                ELSE [CAST(195 AS BIGINT), CAST(unicode(x) - 64 AS BIGINT)] END)) AS b
+  FROM counted
+), sums AS (
+  SELECT run, times, xor(list_reduce(b, lambda c, x: xor(c >> 8, r[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS h
+  FROM bytes, remainders
+), words AS (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word,
+           times FROM sums
+  ) WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3
+), cuts AS (
+  SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS cut FROM words, unnest(range(1, length(word) + 1)) AS t(i)
+), near AS (
+  SELECT a.word, b.word AS other FROM cuts a JOIN cuts b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word
+  UNION SELECT cuts.word, words.word FROM cuts JOIN words ON cuts.cut = words.word
+  UNION SELECT words.word, cuts.word FROM cuts JOIN words ON cuts.cut = words.word
+), ranked AS (
+  SELECT near.word, other, o.n AS other_n, count(*) OVER (PARTITION BY near.word) AS n_near,
+         row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, other) AS rank
+  FROM near JOIN words o ON o.word = other
+), forms AS (
+  SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 2 * n THEN other END AS form,
+         CASE WHEN other_n >= 2 * n THEN other_n END AS form_n
+  FROM words LEFT JOIN ranked ON ranked.word = words.word AND rank = 1
+), chains AS (
+  SELECT word, word AS root FROM forms
+  UNION SELECT chains.word, forms.form FROM chains JOIN forms ON forms.word = root WHERE form IS NOT NULL
+)
+SELECT forms.word, forms.form, root, forms.n, forms.n_near, forms.form_n
+FROM forms JOIN chains ON chains.word = forms.word JOIN forms f ON f.word = root AND f.form IS NULL
+"""
