@@ -1,4 +1,4 @@
-"""Topic models over time and the tables read from them."""
+"""Topic models of messages and the tables read from them; ``drifting`` has those that change over time."""
 
 from __future__ import annotations
 
@@ -7,14 +7,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from epiflux.operators.relational import lookup
 from epiflux.operators.vectorize import term_counts, vocabulary
 from epiflux.session import stored
 from epiflux.sources.tables import fixed_table
 
+#: Documents whose topics are inferred side by side.
+_SIDE_BY_SIDE = 500
+
 
 @dataclass
 class TopicModel:
@@ -30,121 +32,252 @@ class TopicModel:
         return len(self.counts)
 
 
-def _digamma(x: np.ndarray) -> np.ndarray:
-    """By recurrence to arguments of six and more, then the asymptotic series."""
-    x = np.asarray(x, float).copy()
-    value = np.zeros_like(x)
-    while (small := x < 6).any():
-        value[small] -= 1 / x[small]
-        x[small] += 1
-    square = 1 / (x * x)
-    return value + np.log(x) - 0.5 / x - square * (1 / 12 - square * (1 / 120 - square / 252))
+def digamma(x) -> np.ndarray:
+    """Six steps of the recurrence, then the asymptotic series."""
+    x = np.asarray(x, float)
+    far = x + 6
+    square = 1 / (far * far)
+    series = np.log(far) - 0.5 / far - square * (1 / 12 - square * (1 / 120 - square / 252))
+    return series - sum(1 / (x + step) for step in range(6))
 
 
-def _expected_log(counts: np.ndarray) -> np.ndarray:
+def expected_log(counts: np.ndarray) -> np.ndarray:
     """Exponential of the expected log weights of Dirichlet rows."""
-    return np.exp(_digamma(counts) - _digamma(counts.sum(axis=-1, keepdims=True)))
-
-
-def _infer(at: np.ndarray, n: np.ndarray, weights: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
-    """Topic pseudo-counts of one document, and its share in the expected counts of its terms."""
-    gamma = np.full(len(weights), alpha + n.sum() / len(weights))
-    beta = weights[:, at]
-    for _ in range(100):
-        theta = _expected_log(gamma)
-        norm = theta @ beta + 1e-100
-        new = alpha + theta * (beta @ (n / norm))
-        change = np.abs(new - gamma).mean()
-        gamma = new
-        if change < 1e-3:
-            break
-    theta = _expected_log(gamma)
-    return gamma, theta[:, None] * beta * (n / (theta @ beta + 1e-100))
-
-
-def term_vectors(counts: DataFrame, vocab: DataFrame, id_columns: list[str]) -> tuple[list[str], DataFrame]:
-    """The vocabulary in column order, and ``id_columns, at, n``: each document's term indexes and counts.
-
-    Most frequent term first, ties in term order.  A document's arrays are bounded by
-    its own distinct terms.  At most the vocabulary cap of names reaches the driver.
+    return np.exp(digamma(counts) - digamma(counts.sum(axis=-1, keepdims=True)))
+
+
+def log_gamma(x) -> np.ndarray:
+    """Six steps of the recurrence, then Stirling's series."""
+    x = np.asarray(x, float)
+    far = x + 6
+    square = 1 / (far * far)
+    series = (far - 0.5) * np.log(far) - far + 0.5 * math.log(2 * math.pi)
+    series += (1 / 12 - square * (1 / 360 - square * (1 / 1260 - square / 1680))) / far
+    return series - sum(np.log(x + step) for step in range(6))
+
+
+class Inference:
+    """Topic pseudo-counts ``gamma`` of documents, from the weights of the topics.
+
+    All documents are iterated on together, as arrays over their terms; a document stops
+    when its own pseudo-counts change by less than ``tolerance`` on average, so what it gets
+    does not depend on its neighbours.  With ``gamma`` the search goes on from there, and
+    never lowers the bound.
+    """
+
+    def __init__(self, at, n, weights: np.ndarray, alpha: float, iterations: int = 100, tolerance: float = 1e-3, gamma=None):
+        self.alpha, topics = alpha, len(weights)
+        sizes = np.array([len(x) for x in at], int)
+        self.at = np.concatenate([np.zeros(0, int), *[np.asarray(x, int) for x in at]])
+        self.n = np.concatenate([np.zeros(0), *[np.asarray(x, float) for x in n]])
+        self.doc = np.repeat(np.arange(len(sizes)), sizes)
+        self.beta = weights[:, self.at]
+        if gamma is None:
+            gamma = alpha + np.tile(np.bincount(self.doc, self.n, len(sizes))[:, None] / topics, topics)
+        self.gamma = np.array(gamma, float).reshape(len(sizes), topics)
+        self._iterate(sizes, iterations, tolerance)
+        # of the terms: the share of each topic, up to the norm
+        self.theta = expected_log(self.gamma).T if len(sizes) else np.zeros((topics, 0))
+        self.norm = (self.theta[:, self.doc] * self.beta).sum(axis=0) + 1e-100
+
+    def _iterate(self, sizes, iterations, tolerance) -> None:
+        live = np.flatnonzero(sizes)
+        beta, n, held = self.beta, self.n, sizes[live]
+        moving = np.ones(len(live), bool)
+        for _ in range(iterations if len(live) else 0):
+            theta = expected_log(self.gamma[live]).T
+            local = np.repeat(np.arange(len(live)), held)
+            norm = (theta[:, local] * beta).sum(axis=0) + 1e-100
+            starts = np.concatenate([[0], np.cumsum(held)[:-1]])
+            new = self.alpha + (theta * np.add.reduceat(beta * (n / norm), starts, axis=1)).T
+            change = np.abs(new - self.gamma[live]).mean(axis=1)
+            self.gamma[live[moving]] = new[moving]
+            moving &= change >= tolerance
+            if not moving.any():
+                return
+            if moving.mean() < 0.7:
+                cells = np.repeat(moving, held)
+                live, beta, n, held = live[moving], beta[:, cells], n[cells], held[moving]
+                moving = np.ones(len(live), bool)
+
+    def expected(self, terms: int) -> np.ndarray:
+        """Expected counts, topics by terms."""
+        parts = self.theta[:, self.doc] * self.beta * (self.n / self.norm)
+        return np.array([np.bincount(self.at, part, terms) for part in parts])
+
+    def bound(self) -> np.ndarray:
+        """Lower bound of each document's log probability, given the weights."""
+        gamma, alpha = self.gamma, self.alpha
+        topics = gamma.shape[1]
+        words = np.bincount(self.doc, self.n * np.log(self.norm), len(gamma))
+        theta = ((alpha - gamma) * np.log(self.theta.T) + log_gamma(gamma) - math.lgamma(alpha)).sum(axis=1)
+        return words + theta + math.lgamma(topics * alpha) - log_gamma(gamma.sum(axis=1))
+
+
+def side_by_side(rows: pd.DataFrame):
+    """A batch of rows in parts of bounded size."""
+    for begin in range(0, len(rows), _SIDE_BY_SIDE):
+        yield rows.iloc[begin:begin + _SIDE_BY_SIDE]
+
+
+def term_vectors(counts: DataFrame, names: list[str], id_columns: list[str]) -> DataFrame:
+    """``id_columns, at, n``: term indexes in ``names`` and counts of each document that has any of the terms.
+
+    A document's arrays are bounded by its own distinct terms; the names are as many as the
+    vocabulary cap.
     """
-    names = [row.term for row in vocab.orderBy(F.desc("total"), "term").collect()]
-    if not names:
-        raise ValueError("no term is frequent enough for the vocabulary")
     listed = fixed_table(counts.sparkSession, enumerate(names), "at int, term string")
     cells = counts.join(F.broadcast(listed), "term").groupBy(*id_columns).agg(
         F.sort_array(F.collect_list(F.struct("at", "n"))).alias("cells"))
-    return names, cells.select(*id_columns, F.col("cells.at").alias("at"), F.col("cells.n").alias("n"))
+    return cells.select(*id_columns, F.col("cells.at").alias("at"), F.col("cells.n").alias("n"))
+
+
+def document_vectors(docs: DataFrame, doc_id: str, terms: str, names: list[str], counts: DataFrame | None = None) -> DataFrame:
+    """The documents with ``at, n``; those without terms of the vocabulary have empty arrays."""
+    keep = [name for name in docs.columns if name != terms]
+    counts = term_counts(docs, doc_id, terms) if counts is None else counts
+    return docs.select(*keep).join(term_vectors(counts, names, [doc_id]), doc_id, "left").withColumns({
+        "at": F.coalesce("at", F.array().cast("array<int>")), "n": F.coalesce("n", F.array().cast("array<bigint>")),
+    })
+
+
+def frequent_terms(vocab: DataFrame) -> list[str]:
+    """The vocabulary in column order: most frequent term first, ties in term order."""
+    names = [row.term for row in vocab.orderBy(F.desc("total"), "term").collect()]
+    if not names:
+        raise ValueError("no term is frequent enough for the vocabulary")
+    return names
+
+
+def expected_counts(vectors: DataFrame, lam: np.ndarray, alpha: float, iterations: int) -> np.ndarray:
+    """Expected counts of the topics over documents, inferred where they are.
+
+    A partition hands on its sums, which are as long as the capped vocabulary.
+    """
+    weights = expected_log(lam)
+
+    def run(batches):
+        sums = np.zeros(weights.shape)
+        for batch in batches:
+            for rows in side_by_side(batch):
+                sums += Inference(rows["at"], rows["n"], weights, alpha, iterations).expected(weights.shape[1])
+        used = np.nonzero(sums.any(axis=0))[0]
+        if len(used):
+            yield pd.DataFrame({"at": used.astype("int32"), "sums": list(sums[:, used].T)})
+
+    totals = vectors.select("at", "n").mapInPandas(run, "at int, sums array<double>")
+    cells = [F.sum(F.col("sums")[topic]).alias(str(topic)) for topic in range(len(lam))]
+    found = np.zeros(lam.shape)
+    for row in totals.groupBy("at").agg(*cells).collect():  # at most the vocabulary cap
+        found[:, row["at"]] = [row[str(topic)] for topic in range(len(lam))]
+    return found
+
+
+def online_step(
+    lam: np.ndarray, batch: DataFrame, share: float, step: int, alpha: float, eta: float,
+    decay: float = 0.5, offset: float = 1.0, iterations: int = 100,
+) -> np.ndarray:
+    """One natural-gradient step from ``lam`` by a mini-batch that holds ``share`` of all documents.
+
+    The step has size ``(offset + step) ** -decay`` and goes towards the pseudo-counts that
+    all documents would give if they were like those of the batch.
+    """
+    rate = (offset + step) ** -decay
+    return (1 - rate) * lam + rate * (eta + expected_counts(batch, lam, alpha, iterations) / share)
+
+
+def batch_of(doc_id: str, batches: int) -> Column:
+    """Mini-batch of a document, by the digest of its id: the same in every run."""
+    digest = F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % batches).cast("int")
 
 
 def fit_topics(
     docs: DataFrame, doc_id: str, terms: str, k: int = 3, alpha: float = 0.01, eta: float | None = None,
-    passes: int = 5, seed: int = 0, min_df: int = 10, max_df: float = 0.9, max_terms: int = 10_000,
-    counts: DataFrame | None = None,
+    passes: int = 2, chunk: int | None = None, decay: float = 0.5, offset: float = 1.0, iterations: int = 100,
+    seed: int = 0, min_df: int = 10, max_df: float = 0.9, max_terms: int = 10_000, counts: DataFrame | None = None,
 ) -> TopicModel:
-    """Variational LDA over the count vectors of an array column.
+    """Online variational LDA over the count vectors of an array column.
 
-    Every pass reads every document once, at any size: documents are inferred where they
-    are, and a partition hands on the sums of its expected counts, which are as long as
-    the capped vocabulary.  Terms are counted once, into a written table; ``counts``
-    (``doc_id, term, n``) may be handed in where it exists already.
+    Documents are dealt into mini-batches of about ``chunk`` by a digest of their id (a
+    quarter of the documents if not given); a batch lies in files of its own.  Every pass
+    makes a step with each batch, so every document is read once in every pass, at any size.
+    Terms are counted once, into a written table; ``counts`` (``doc_id, term, n``) may be
+    handed in where it exists already.
     """
-    keep = [name for name in docs.columns if name != terms]
     if counts is None:
         counts = stored(term_counts(docs, doc_id, terms), "topic-counts")
-    vocab = vocabulary(counts, docs.agg(F.count(F.lit(1))), min_df, max_df, max_terms)
-    names, cells = term_vectors(counts, vocab, [doc_id])
-    # documents without vocabulary terms have empty vectors
-    vectors = stored(docs.select(*keep).join(cells, doc_id, "left").withColumns({
-        "at": F.coalesce("at", F.array().cast("array<int>")), "n": F.coalesce("n", F.array().cast("array<bigint>")),
-    }), "topic-vectors")
+    names = frequent_terms(vocabulary(counts, docs.agg(F.count(F.lit(1))), min_df, max_df, max_terms))
+    n_docs = docs.count()
+    batches = 4 if chunk is None else max(1, round(n_docs / chunk))
+    vectors = document_vectors(docs, doc_id, terms, names, counts)
+    vectors = stored(vectors.withColumn("_batch", batch_of(doc_id, batches)), "topic-vectors", by="_batch")
+    sizes = {row["_batch"]: row["n"] for row in vectors.groupBy("_batch").agg(F.count(F.lit(1)).alias("n")).collect()}
     prior = 1 / k if eta is None else eta
     lam = np.random.default_rng(seed).gamma(100.0, 0.01, (k, len(names)))
+    step = 0
     for _ in range(passes):
-        weights = _expected_log(lam)
-
-        def expected(batches, weights=weights):
-            sums = np.zeros(weights.shape)
-            for rows in batches:
-                for at, n in zip(rows["at"], rows["n"]):
-                    if len(at):
-                        sums[:, at] += _infer(at, np.asarray(n, float), weights, alpha)[1]
-            used = np.nonzero(sums.any(axis=0))[0]
-            yield pd.DataFrame({"at": used.astype("int32"), "sums": list(sums[:, used].T)})
+        for at in sorted(sizes):
+            batch = vectors.filter(F.col("_batch") == at)
+            lam = online_step(lam, batch, sizes[at] / n_docs, step, alpha, prior, decay, offset, iterations)
+            step += 1
+    return TopicModel(lam, names, alpha, vectors.drop("_batch"))
+
+
+# ---------------------------------------------------------------- stored models
 
-        totals = vectors.select("at", "n").mapInPandas(expected, "at int, sums array<double>")
-        cells = [F.sum(F.col("sums")[topic]).alias(str(topic)) for topic in range(k)]
-        lam = np.full(lam.shape, prior)
-        for row in totals.groupBy("at").agg(*cells).collect():  # at most the vocabulary cap
-            lam[:, row["at"]] += [row[str(topic)] for topic in range(k)]
-    return TopicModel(lam, names, alpha, vectors)
 
+def next_version(spark: SparkSession, path: str) -> int:
+    """The version after the last one written below ``path``."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return 1
+    names = [entry.getPath().getName() for entry in files.listStatus(root)]
+    return 1 + max([0, *[int(name.removeprefix("version=")) for name in names if name.startswith("version=")]])
 
-def save_topics(fitted: TopicModel, spark, path: str) -> None:
-    """Write a model and its vocabulary as a table ``at, term, counts``."""
+
+def save_topics(fitted: TopicModel, spark: SparkSession, path: str) -> int:
+    """Write a model with its vocabulary as the next version below ``path``, and return the version."""
+    version = next_version(spark, path)
     rows = [(at, term, fitted.counts[:, at].tolist(), fitted.alpha) for at, term in enumerate(fitted.terms)]
-    spark.createDataFrame(rows, "at int, term string, counts array<double>, alpha double").write.parquet(path)
+    table = spark.createDataFrame(rows, "at int, term string, counts array<double>, alpha double")
+    table.write.mode("errorifexists").parquet(f"{path}/version={version}")
+    return version
 
 
-def load_topics(spark, path: str, vectors: DataFrame | None = None) -> TopicModel:
-    """A model written by ``save_topics``; it has as many rows as the vocabulary."""
-    rows = spark.read.parquet(path).orderBy("at").collect()
+def load_topics(spark: SparkSession, path: str, vectors: DataFrame | None = None, version: int | None = None) -> TopicModel:
+    """A model written by ``save_topics``, the last one unless a version is named; it has as many rows as the vocabulary."""
+    version = next_version(spark, path) - 1 if version is None else version
+    rows = spark.read.parquet(f"{path}/version={version}").orderBy("at").collect()
     return TopicModel(np.array([row.counts for row in rows]).T, [row.term for row in rows], rows[0].alpha, vectors)
 
 
-def doc_topics(fitted: TopicModel, id_columns: list[str]) -> DataFrame:
+def score_documents(
+    fitted: TopicModel, docs: DataFrame, doc_id: str, terms: str, iterations: int = 100, tolerance: float = 1e-3
+) -> DataFrame:
+    """Documents that the model was not fitted on, with their topic distribution ``shares``.
+
+    Terms outside the model's vocabulary take no part.
+    """
+    vectors = document_vectors(docs, doc_id, terms, fitted.terms)
+    columns = [name for name in docs.columns if name != terms]
+    return doc_topics(TopicModel(fitted.counts, fitted.terms, fitted.alpha, vectors), columns, iterations, tolerance)
+
+
+def doc_topics(fitted: TopicModel, id_columns: list[str], iterations: int = 100, tolerance: float = 1e-3) -> DataFrame:
     """The documents with their topic distribution as an array ``shares``.
 
     A document without vocabulary terms keeps the even prior.
     """
-    weights, alpha = _expected_log(fitted.counts), fitted.alpha
+    weights, alpha = expected_log(fitted.counts), fitted.alpha
 
     @F.pandas_udf("array<double>")
     def shares(at: pd.Series, n: pd.Series) -> pd.Series:
         out = []
-        for indexes, counts in zip(at, n):
-            gamma = _infer(indexes, np.asarray(counts, float), weights, alpha)[0]
-            out.append(gamma / gamma.sum())
+        for rows in side_by_side(pd.DataFrame({"at": at, "n": n})):
+            gamma = Inference(rows["at"], rows["n"], weights, alpha, iterations, tolerance).gamma
+            out += list(gamma / gamma.sum(axis=1, keepdims=True))
         return pd.Series(out)
 
     return fitted.vectors.select(*id_columns, shares("at", "n").alias("shares"))
@@ -158,7 +291,7 @@ def topic_terms(fitted: TopicModel, n: int | None = None) -> DataFrame:
         for rank, at in enumerate(np.argsort(-row, kind="stable")[:n].tolist()):
             rows.append((topic, rank, fitted.terms[at], float(row[at])))
     return fixed_table(
-        fitted.vectors.sparkSession, rows, "topic int, rank int, term string, weight double")
+        SparkSession.getActiveSession(), rows, "topic int, rank int, term string, weight double")
 
 
 def long_shares(shares: DataFrame) -> DataFrame:
@@ -185,180 +318,72 @@ def likely_topics(shares: DataFrame, minimum: float = 0.05) -> DataFrame:
     return long_shares(shares).filter(F.col("share") >= minimum)
 
 
-def umass_coherence(counts: DataFrame, topics: DataFrame, n_docs: DataFrame, doc_id: str) -> DataFrame:
-    """``(topic, coherence)`` from document co-occurrence of each topic's top terms.
+def umass_coherence(vectors: DataFrame, names: list[str], topics: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, coherence`` of lists of top terms, from the documents that hold their terms together.
 
-    ``topics`` has ``(topic, rank, term)``, a few terms per topic.  A document is
-    reduced to the set of ranks it contains and equal sets are counted before any
-    pair is formed, so pairs grow with the number of distinct sets only.
+    ``topics`` has ``keys, rank, term``: a few terms for each topic, or for each topic and
+    day.  Documents become bitmaps, one for each listed term, so a pair of terms has as many
+    documents in common as its bitmaps have equal bits; each pair is counted once, however
+    many days list it, and a partition hands on one count a pair.  No pair of documents or of
+    all the terms of a document is formed.  Terms that no document holds count as 0.
     """
-    listed = topics.select("topic", "rank", "term")
-    sets = (
-        counts.select(doc_id, "term").join(listed, "term")
-        .groupBy(doc_id, "topic").agg(F.sort_array(F.collect_set("rank")).alias("ranks"))
-        .groupBy("topic", "ranks").agg(F.count(F.lit(1)).alias("docs"))
-    )
-    cells = F.flatten(
-        F.transform(
-            "ranks",
-            lambda later: F.transform(
-                F.filter("ranks", lambda earlier: earlier <= later),
-                lambda earlier: F.struct(later.alias("later"), earlier.alias("earlier")),
-            ),
-        )
-    )
-    together = sets.select("topic", "docs", F.inline(cells)).groupBy("topic", "later", "earlier").agg(
-        F.sum("docs").alias("docs")
-    )
-    alone = together.filter("later = earlier").select("topic", F.col("later").alias("earlier"), F.col("docs").alias("base"))
-    ranks = topics.groupBy("topic").agg(F.sort_array(F.collect_list("rank")).alias("ranks"))
-    wanted = ranks.select("topic", F.inline(cells)).filter("earlier < later")
-    total = n_docs.scalar()
-    ratio = (F.coalesce("docs", F.lit(0)) / total + 1e-12) / (F.col("base") / total)
+    spark = vectors.sparkSession
+    place = {term: at for at, term in enumerate(names)}
+    listed = topics.select(*keys, "rank", "term").collect()  # as many rows as topics, times days, times terms of a list
+    lists: dict[tuple, list] = {}
+    for row in sorted(listed, key=lambda row: row["rank"]):
+        lists.setdefault(tuple(row[key] for key in keys), []).append(row["term"])
+    cells = [(*key, later, earlier) for key, terms in lists.items() for i, later in enumerate(terms) for earlier in terms[:i]]
+    terms = sorted({row["term"] for row in listed})
+    pairs = sorted({tuple(sorted(cell[-2:])) for cell in cells} | {(term, term) for term in terms})
+    number = {term: i for i, term in enumerate(terms)}
+    where = np.full(len(names) + 1, -1)
+    for term in terms:
+        where[place.get(term, len(names))] = number[term]
+    left, right = (np.array([number[pair[side]] for pair in pairs], int) for side in (0, 1))
+
+    def count(batches):
+        together = np.zeros(len(pairs), np.int64)
+        for batch in batches:
+            for rows in side_by_side(batch):
+                at = np.concatenate([np.zeros(0, int), *rows["at"]]).astype(int)
+                doc = np.repeat(np.arange(len(rows)), [len(x) for x in rows["at"]])
+                known = where[at] >= 0
+                held = np.zeros((len(terms), len(rows)), bool)
+                held[where[at][known], doc[known]] = True
+                bits = np.packbits(held, axis=1)
+                together += np.bitwise_count(bits[left] & bits[right]).sum(axis=1, dtype=np.int64)
+        yield pd.DataFrame({"a": [a for a, _ in pairs], "b": [b for _, b in pairs], "docs": together})
+
+    counted = vectors.select("at").mapInPandas(count, "a string, b string, docs long").groupBy("a", "b").agg(
+        F.sum("docs").alias("docs"))
+    total = vectors.agg(F.count(F.lit(1)).alias("n"))
+    types = [f"{key} {topics.schema[key].dataType.simpleString()}" for key in keys]
+    wanted = fixed_table(spark, cells, ", ".join([*types, "later string", "earlier string"])).withColumns({
+        "a": F.least("later", "earlier"), "b": F.greatest("later", "earlier")})
+    alone = counted.filter("a = b").select(F.col("a").alias("earlier"), F.col("docs").alias("base"))
+    n = total.scalar()
+    ratio = (F.coalesce("docs", F.lit(0)) / n + 1e-12) / (F.col("base") / n)
     return (
-        wanted.join(together, ["topic", "later", "earlier"], "left").join(alone, ["topic", "earlier"], "left")
-        .groupBy("topic").agg(F.avg(F.when(F.col("base") > 0, F.log(ratio)).otherwise(0.0)).alias("coherence"))
-    )
-
-
-# ---------------------------------------------------------------- topics that drift over time
-
-
-def _smooth_chain(observed: np.ndarray, noise: np.ndarray, step: float) -> np.ndarray:
-    """Random-walk smoother over axis 0 (days), all terms (columns) at once."""
-    days = len(observed)
-    mean, var = np.empty_like(observed), np.empty_like(observed)
-    prior_mean, prior_var = observed[0], np.full(observed.shape[1], 10.0)
-    ahead = np.empty_like(observed)
-    for t in range(days):
-        if t:
-            prior_mean, prior_var = mean[t - 1], var[t - 1] + step
-        ahead[t] = prior_var
-        gain = prior_var / (prior_var + noise[t])
-        mean[t] = prior_mean + gain * (observed[t] - prior_mean)
-        var[t] = (1 - gain) * prior_var
-    for t in range(days - 2, -1, -1):
-        back = var[t] / ahead[t + 1]
-        mean[t] = mean[t] + back * (mean[t + 1] - mean[t])
-    return mean
-
-
-def _smooth_topics(expected: DataFrame, days: list, step: float, buckets: int) -> DataFrame:
-    """``(day, topic, term, weight)``: smoothed and normalised weights.
-
-    A group is a slice of the (capped) vocabulary for one topic over the calendar.
-    """
-    order = list(days)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        counts = rows.pivot_table(index="day", columns="term", values="n", aggfunc="sum").reindex(order)
-        totals = rows.pivot_table(index="day", columns="term", values="total", aggfunc="max").reindex(order)
-        n = counts.fillna(0.0).to_numpy() + 0.01
-        total = totals.max(axis=1).ffill().bfill().to_numpy()[:, None]
-        smooth = _smooth_chain(np.log(n / total), 1.0 / n, step)
-        weight = np.exp(smooth)
-        return pd.DataFrame(
-            {
-                "day": np.repeat(np.array(order, dtype=object), counts.shape[1]),
-                "topic": int(rows["topic"].iloc[0]),
-                "term": np.tile(counts.columns.to_numpy(), len(order)),
-                "weight": weight.ravel(),
-            }
-        )
-
-    totals = expected.groupBy("day", "topic").agg(F.sum("n").alias("total"))
-    keyed = expected.join(totals, ["day", "topic"]).withColumn(
-        "bucket", F.pmod(F.xxhash64("term"), F.lit(buckets))
-    )
-    smoothed = keyed.groupBy("topic", "bucket").applyInPandas(
-        run, "day date, topic int, term string, weight double"
-    )
-    sums = smoothed.groupBy("day", "topic").agg(F.sum("weight").alias("sum"))
-    return smoothed.join(sums, ["day", "topic"]).select(
-        "day", "topic", "term", (F.col("weight") / F.col("sum")).alias("weight")
+        wanted.join(counted, ["a", "b"], "left").join(alone, "earlier", "left").groupBy(*keys)
+        .agg(F.avg(F.when(F.col("base") > 0, F.log(ratio)).otherwise(0.0)).alias("coherence"))
     )
 
 
-def fit_drifting_topics(
-    counts: DataFrame, doc_days: DataFrame, start: DataFrame, shares: DataFrame, k: int, alpha: float = 0.01,
-    chain_variance: float = 0.05, passes: int = 1, buckets: int = 32,
-) -> tuple[DataFrame, DataFrame]:
-    """Topics whose term weights drift from day to day.
-
-    ``counts`` is ``(doc_id, term, n)``, ``doc_days`` ``(doc_id, day)``, ``start``
-    the static topics ``(topic, term, weight)`` and ``shares`` their
-    ``(doc_id, shares)``.  Each pass spreads every count over the topics by current
-    share and weight, sums per day, topic and term, and smooths each term's log
-    weight over the days as a Gaussian random walk with variance
-    ``chain_variance`` per day.  Returns the weights ``(day, topic, term, weight)``
-    and the refreshed ``(doc_id, day, shares)``.
-    """
-    tokens = counts.join(doc_days, "doc_id")
-    calendar = [row.day for row in doc_days.select("day").distinct().orderBy("day").collect()]  # days only
-
-    def by_term(weights: DataFrame, keys: list[str]) -> DataFrame:
-        cells = [F.max(F.when(F.col("topic") == t, F.col("weight"))) for t in range(k)]
-        return weights.groupBy(*keys, "term").agg(
-            F.array(*[F.coalesce(cell, F.lit(1e-12)) for cell in cells]).alias("weights")
-        )
-
-    weights, keys = by_term(start, []), ["term"]
-    for _ in range(passes):
-        weighed = lookup(tokens, weights, keys, "inner", spread_by="doc_id")  # a frequent term may hold many rows
-        spread = weighed.join(shares.select("doc_id", "shares"), "doc_id")
-        spread = spread.withColumn(
-            "raw", F.zip_with("shares", "weights", lambda share, weight: F.greatest(share, F.lit(1e-12)) * weight)
-        ).withColumn("norm", F.aggregate("raw", F.lit(0.0), lambda acc, x: acc + x))
-        spread = stored(
-            spread.select(
-                "doc_id", "day", "term",
-                F.transform("raw", lambda x: F.col("n") * x / F.col("norm")).alias("parts"),
-            ),
-            "topic-parts",
-        )
-        expected = spread.select("day", "term", F.posexplode("parts").alias("topic", "n")).groupBy(
-            "day", "topic", "term"
-        ).agg(F.sum("n").alias("n"))
-        drifting = stored(
-            _smooth_topics(expected, calendar, chain_variance, buckets), "topic-weights"
-        )
-        gammas = [F.sum(F.col("parts")[t]) + F.lit(alpha) for t in range(k)]
-        total = sum(gammas[1:], gammas[0])
-        shares = stored(
-            spread.groupBy("doc_id", "day").agg(F.array(*[g / total for g in gammas]).alias("shares")),
-            "topic-shares",
-        )
-        weights, keys = by_term(drifting, ["day"]), ["day", "term"]
-    return drifting, shares
-
-
-def top_terms_by_day(drifting: DataFrame, n: int = 20) -> DataFrame:
-    """The ``n`` heaviest terms per day and topic, ranked from 0."""
-    order = Window.partitionBy("day", "topic").orderBy(F.desc("weight"), "term")
-    ranked = drifting.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
-    return ranked.withColumn("rank", F.col("rank") - 1)
-
-
-def topic_evolution(drifting: DataFrame, topic: int, days: list, n: int = 20) -> DataFrame:
-    """Top terms of one topic: a row per rank, a column per day."""
-    ranked = top_terms_by_day(drifting.filter(F.col("topic") == topic), n)
-    labels = [str(day) for day in days]
-    dated = ranked.withColumn("day", F.col("day").cast("string"))
-    return dated.groupBy("rank").pivot("day", labels).agg(F.max("term"))
-
-
 # ---------------------------------------------------------------- carrying topics over
 
 
 def _near_one(*keys) -> Column:
-    """Positive start weight around 1 with deviation 0.1, fixed by a hash of the keys.
+    """Positive start weight around 1 with deviation 0.1, fixed by a digest of the keys.
 
     The cube of a shifted normal value follows the gamma distribution of shape 100
-    and scale 1/100 closely; the normal value is a sum of twelve hashed uniforms.
+    and scale 1/100 closely; the normal value is a sum of twelve uniforms.
     """
-    scale = float(1 << 30)
-    uniforms = [F.pmod(F.xxhash64(*keys, F.lit(i)), F.lit(1 << 30)) / scale for i in range(12)]
-    normal = sum(uniforms[1:], uniforms[0]) - 6.0
+    def uniform(i):
+        digest = F.md5(F.concat_ws(":", *keys, F.lit(str(i))).cast("binary"))
+        return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+    normal = sum([uniform(i) for i in range(1, 12)], uniform(0)) - 6.0
     spread = 1.0 / 900.0
     return F.pow(1.0 - spread + normal * math.sqrt(spread), 3)
 

@@ -12,6 +12,7 @@ from epiflux.operators.messages import message_documents
 from epiflux.operators.partitioning import spread
 from epiflux.plans.bindings import MESSAGES_SQL, joined, messages, tokens_sql
 from epiflux.plans.registry import query, sql_text
+from epiflux.session import stored
 from epiflux.sources.tables import table
 
 NONWORDS_SQL = r"(?i)<[^>]+>|https?://[!$-_a-z]+|(?:\d+,?)+(?:\.?\d+)?"
@@ -136,10 +137,13 @@ vocab AS (
 
 
 def document_terms(spark, folder):
-    """Counts of words and bigrams per document, and the vocabulary kept."""
+    """Counts of words and bigrams per document, and the vocabulary kept.
+
+    Texts are tokenised once: vocabulary and counts are read from a written table.
+    """
     docs = spread(table(spark, folder, "documents", "doc_id", "text"), "doc_id")
     rows = vectorize.with_terms(docs, F.lower("text"))
-    counts = vectorize.term_counts(rows, "doc_id", "terms")
+    counts = stored(vectorize.term_counts(rows, "doc_id", "terms"), "document-terms")
     total = table(spark, folder, "documents", "doc_id").agg(F.count(F.lit(1)))
     return counts, vectorize.vocabulary(counts, total)
 
@@ -187,7 +191,7 @@ def doc_lengths_term_freq(spark, folder):
 )
 def hashtag_counts(spark, folder):
     rows = messages(spark, folder).select("id", text.entity_hashtags("entities").alias("tags"))
-    counts = vectorize.term_counts(rows, "id", "tags").filter("term <> ''")
+    counts = stored(vectorize.term_counts(rows, "id", "tags").filter("term <> ''"), "message-tags")
     total = table(spark, folder, "documents", "doc_id").agg(F.count(F.lit(1)))
     vocab = vectorize.vocabulary(counts, total, min_df=5, max_df=1.0, max_terms=None)
     return vectorize.in_vocabulary(counts, vocab, max_terms=None).select("id", F.col("term").alias("tag"), "n")

@@ -56,13 +56,13 @@ def scratch(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_folder(spark), "epiflux", f"{label}-{uuid.uuid4().hex}")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """The frame as a parquet table in the shared folder.
 
     For results that several branches or passes of a plan need: lineage ends here,
     they are computed once, keep column pruning and real size statistics, and
-    survive the loss of an executor.
+    survive the loss of an executor.  A filter on ``by`` reads its own files only.
     """
     path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -336,39 +336,13 @@ def test_rt_invariants(spark, folder):
 
 def test_topic_invariants(spark, folder):
     shares = QUERIES["topic_share_daily"](spark, folder).groupBy("day").agg(F.sum("share").alias("s")).collect()
-    assert all(abs(r.s - 1) < 1e-6 for r in shares)
+    assert all(abs(r.s - 1) < 1e-5 for r in shares)  # shares are rounded to six digits
     volumes = QUERIES["topic_volume_daily"](spark, folder).groupBy("day").agg(F.sum("volume").alias("v"), F.max("docs").alias("d"))
-    assert all(abs(r.v - r.d) < 1e-6 for r in volumes.collect())
+    assert all(abs(r.v - r.d) < 1e-5 * r.d for r in volumes.collect())
     weights = QUERIES["dynamic_topics"](spark, folder).groupBy("day", "topic").agg(F.sum("weight").alias("w")).collect()
     assert len(weights) == 15 and all(abs(r.w - 1) < 1e-9 for r in weights)
 
 
-def test_chain_smoother_limits():
-    observed = np.array([[0.0], [4.0], [0.0]])
-    still = topics._smooth_chain(observed, np.full((3, 1), 0.1), 1e-9)
-    free = topics._smooth_chain(observed, np.full((3, 1), 1e-9), 10.0)
-    assert np.ptp(still) < 1e-3 and np.allclose(free, observed, atol=1e-6)
-
-
-def test_second_pass_refines_daily_weights(spark):
-    docs = [(i, day(1 + i % 2), ["a", "b"] if i % 2 else ["b", "c"]) for i in range(20)]
-    frame = spark.createDataFrame(docs, "doc_id bigint, day date, terms array<string>")
-    counts = vectorize.term_counts(frame, "doc_id", "terms")
-    start = spark.createDataFrame(
-        [(0, "a", 0.6), (0, "b", 0.3), (0, "c", 0.1), (1, "a", 0.1), (1, "b", 0.3), (1, "c", 0.6)],
-        "topic int, term string, weight double",
-    )
-    shares = frame.select("doc_id", F.array(F.lit(0.5), F.lit(0.5)).alias("shares"))
-    for passes in (1, 2):
-        weights, refined = topics.fit_drifting_topics(
-            counts, frame.select("doc_id", "day"), start, shares, 2, passes=passes, buckets=2
-        )
-        sums = weights.groupBy("day", "topic").agg(F.sum("weight").alias("w")).collect()
-        assert len(sums) == 4 and all(abs(r.w - 1) < 1e-9 for r in sums)
-        assert all(abs(sum(r.shares) - 1) < 1e-9 for r in refined.collect())
-        assert {r.shares[0] > 0.5 for r in refined.filter(F.col("day") == day(2)).collect()} == {True}
-
-
 def test_carry_topics(spark):
     weights = spark.createDataFrame([(0, "a", 5.0), (1, "a", 6.0), (2, "a", 7.0)], "topic int, term string, weight double")
     share = spark.createDataFrame([(0, 0.5), (1, 0.1), (2, 0.4)], "topic int, share double")
@@ -380,19 +354,6 @@ def test_carry_topics(spark):
     assert {r.topic_name for r in more} == {"0", "1", "2", "d:0", "d:1"}
 
 
-def test_umass_by_hand(spark):
-    docs = [(0, ["a", "b"]), (1, ["a"]), (2, ["a", "b"]), (3, ["c"])]
-    frame = spark.createDataFrame(docs, "doc_id int, terms array<string>")
-    counts = vectorize.term_counts(frame, "doc_id", "terms")
-    listed = spark.createDataFrame([(0, 0, "a"), (0, 1, "b"), (0, 2, "c")], "topic int, rank int, term string")
-    got = topics.umass_coherence(counts, listed, frame.agg(F.count(F.lit(1))), "doc_id").first().coherence
-    n = 4
-    want = np.mean([
-        math.log((2 / n + 1e-12) / (3 / n)), math.log(1e-12 / (3 / n)), math.log(1e-12 / (2 / n)),
-    ])
-    assert abs(got - want) < 1e-9
-
-
 def test_tracking(spark):
     given = ["Virus PREP now", "preparation of covid", "virus", "ready for corona", None]
     rows = spark.createDataFrame(list(enumerate(given)), "i int, t string")
@@ -453,25 +414,6 @@ def test_sigma_and_most_likely_by_brute_force(spark):
         assert np.allclose(mine[1:], paths[best, county][1:])
 
 
-def test_fitted_topics_read_every_document_and_survive_saving(spark, tmp_path):
-    """Two vocabularies that never meet become two topics, whatever the order of the rows."""
-    from epiflux.operators import topics
-
-    rows = [(i, [f"{'ab'[i % 2]}{j}" for j in range(i % 5, i % 5 + 6)]) for i in range(60)] + [(99, [])]
-    docs = spark.createDataFrame(rows, "doc_id long, terms array<string>").withColumn("day", F.lit(1))
-    fitted = topics.fit_topics(docs, "doc_id", "terms", k=2, passes=8, min_df=2)
-    shares = {r.doc_id: r.shares for r in topics.doc_topics(fitted, ["doc_id"]).collect()}
-    assert len(shares) == 61 and shares[99] == [0.5, 0.5]
-    side = shares[0].index(max(shares[0]))
-    assert all((max(shares[i]) > 0.9) and (shares[i][side] > 0.5) == (i % 2 == 0) for i in range(60))
-    # all counts are in the model: every term of every document, and the prior
-    assert abs(fitted.counts.sum() - 60 * 6 - 0.5 * fitted.counts.size) < 1e-6
-    topics.save_topics(fitted, spark, f"{tmp_path}/model")
-    again = topics.load_topics(spark, f"{tmp_path}/model", fitted.vectors)
-    assert again.terms == fitted.terms and (again.counts == fitted.counts).all()
-    assert topics.topic_terms(again, 3).collect() == topics.topic_terms(fitted, 3).collect()
-
-
 def test_an_empty_city_matches_nothing(spark):
     from epiflux.operators import places
 
