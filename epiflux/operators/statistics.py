@@ -104,12 +104,18 @@ def rate(flag: str, scale: float = 100.0):
     return F.sum(flag) / F.count(F.lit(1)) * F.lit(scale)
 
 
-def impute_by_share(df: DataFrame, flag: str, id_column: str, seed: int = 0) -> DataFrame:
-    """Fill a missing 0/1 flag with the observed share of ones.
+def fill_by_share(df: DataFrame, flag: str, id_column: str, share: Column, seed: int = 0) -> DataFrame:
+    """Fill a missing 0/1 flag with ones by ``share``.
 
-    The draw is a hash of the row's id, so a retried task fills the same value.
+    The draw is a digest of the row's id, so a retried task fills the same value.  Without
+    a share, as where no row has the flag, zeros are filled.
     """
-    share = df.select(F.mean(flag).alias("p")).scalar()
-    draw = F.pmod(F.xxhash64(F.col(id_column), F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    digest = F.md5(F.concat_ws(":", F.col(id_column).cast("string"), F.lit(str(seed))).cast("binary"))
+    draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
     filled = F.when(F.col(flag).isNotNull(), F.col(flag)).when(draw < share, F.lit(1)).otherwise(F.lit(0))
     return df.withColumn(flag, filled)
+
+
+def impute_by_share(df: DataFrame, flag: str, id_column: str, seed: int = 0) -> DataFrame:
+    """Fill a missing 0/1 flag by the observed share of ones."""
+    return fill_by_share(df, flag, id_column, df.select(F.mean(flag).alias("p")).scalar(), seed)

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from epiflux.functions import cleaning
 from epiflux.functions.fixed_values import MARKET_EXPOSURE, OUTCOME_GROUPS, REGION_TO_COUNTRY, SEX_CODES
-from epiflux.operators import statistics
+from epiflux.operators import linelist, statistics
 from epiflux.plans.registry import query, sql_list, sql_text
 from epiflux.session import scratch
-from epiflux.sources import sinks
-from epiflux.sources.tables import table
+from epiflux.sources import readers, sinks
+from epiflux.sources.schemas import LINELIST
+from epiflux.sources.tables import fixed_table, table
 
 
 def _case_sql(column: str, mapping: dict, otherwise: str) -> str:
@@ -223,33 +224,26 @@ def inf_to_null(spark, folder):
     return events.select("event_id", cleaning.inf_to_null(F.when(key % 10 > 2, F.col("value")).otherwise(bad)).alias("value"))
 
 
-@query(
-    "day_diffs",
-    """
-    SELECT l_orderkey, l_linenumber, date_diff('day', CAST(o_orderdate AS DATE), CAST(l_shipdate AS DATE)) AS days_onset_outcome
-    FROM orders JOIN lineitem ON o_orderkey = l_orderkey
-    """,
-)
-def day_diffs(spark, folder):
-    orders = table(spark, folder, "orders", "o_orderkey", "o_orderdate")
-    lines = table(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_shipdate")
-    return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
-        "l_orderkey", "l_linenumber",
-        F.date_diff(F.to_date("l_shipdate"), F.to_date("o_orderdate")).alias("days_onset_outcome"),
-    )
-
-
 @query("impute_constant", f"WITH {_CLEAN_AGE_SQL} SELECT p_partkey, coalesce(age, 50) AS age FROM ages")
 def impute_constant(spark, folder):
     return _ages(spark, folder).select("p_partkey", cleaning.clean_age("raw").alias("age")).fillna({"age": 50})
 
 
-@query("impute_bernoulli")
+@query(
+    "impute_bernoulli",
+    """
+    WITH people AS (
+      SELECT c_custkey, CASE WHEN c_custkey % 3 > 0 THEN CASE WHEN (c_custkey * 37) % 100 < 56 THEN 1 ELSE 0 END END AS male
+      FROM customer)
+    SELECT c_custkey, coalesce(male, CAST(
+      CAST('0x' || left(md5(c_custkey || ':0'), 8) AS BIGINT) / 4294967296.0::DOUBLE < (SELECT avg(male) FROM people) AS INTEGER)) AS male
+    FROM people
+    """,
+)
 def impute_bernoulli(spark, folder):
     key = F.col("c_custkey")
     people = table(spark, folder, "customer", "c_custkey").withColumn(
-        "male", F.when(key % 3 > 0, F.when(F.pmod(F.xxhash64(key), F.lit(100)) < 56, 1).otherwise(0))
-    )
+        "male", F.when(key % 3 > 0, F.when(key * 37 % 100 < 56, 1).otherwise(0)))
     return statistics.impute_by_share(people, "male", "c_custkey")
 
 
@@ -259,21 +253,131 @@ def mortality_rate(spark, folder):
     return labels.agg(F.round(statistics.rate("toxic"), 6).alias("rate"))
 
 
+# ---------------------------------------------------------------- the whole line list
+
+
+def _dated(days, shape):
+    """A day as hand-entered text."""
+    return F.date_format(F.date_add(F.lit("2020-01-10").cast("date"), days.cast("int")), shape)
+
+
+def _raw_linelist(spark, folder):
+    """Every column of a hand-entered line list, bound to the orders; written as text and read with the declared schema."""
+    k = F.col("o_orderkey")
+    onset, admitted, confirmed, ended = k % 60, k % 60 + k % 7, k % 60 + 3 + k % 5, k % 60 + 20 + k % 11
+    pick = lambda n, *values: F.element_at(F.array(*values), (k % n + 1).cast("int"))
+    text, none = F.lit, F.lit(None).cast("string")
+    columns = {
+        "ID": k.cast("string"),
+        "age": pick(6, text("20s"), text("30-39"), text(" 45 "), text("N/A"), none, (k % 130).cast("string")),
+        "sex": pick(4, text("male"), text(" female "), text("unknown"), none),
+        "city": F.concat(text("city "), k % 50),
+        "province": F.concat(text("prov, "), k % 20),
+        "country": pick(5, text("Kerala"), text(" Delhi "), text("Germany"), none, text("France")),
+        "admin1": text("a\"1"), "admin2": none, "admin3": none,
+        "latitude": pick(3, text("12.5N"), text("-33.25 deg"), text("unknown")),
+        "longitude": pick(2, text("100.5E"), none),
+        "geo_resolution": text("point"),
+        "date_onset_symptoms": pick(
+            4, _dated(onset, "dd.MM.yyyy"),
+            F.concat(_dated(onset, "dd.MM.yyyy"), text(" - "), _dated(onset + 2, "dd.MM.yyyy")), none, text("pre 18.01.2020")),
+        "date_admission_hospital": pick(
+            3, F.concat(text(" "), _dated(admitted, "d.M.yy"), text(" ")), _dated(admitted, "dd/MM/yyyy"), text("31.12.2018")),
+        "date_confirmation": _dated(confirmed, "dd-MM-yyyy"),
+        "date_death_or_discharge": F.when(k % 9 > 0, _dated(ended, "dd.MM.yyyy")),
+        "travel_history_dates": text("18.01.2020"),
+        "symptoms": text("cough, fever"), "chronic_disease": none,
+        "chronic_disease_binary": pick(4, text("0"), text("1"), text("yes"), none),
+        "outcome": pick(6, text("Dead"), text(" died "), text("stable"), text("Alive"), text("sick"), none),
+        "lives_in_Wuhan": pick(3, text("yes"), text("no"), none),
+        "reported_market_exposure": pick(4, text("yes"), text("18.01.2020 - 23.01.2020"), text("no"), none),
+        "sequence_available": pick(2, text("yes"), none),
+    }
+    rows = table(spark, folder, "orders", "o_orderkey").select(*[value.alias(name) for name, value in columns.items()])
+    return readers.read_delimited(spark, sinks.write_table(rows, scratch(spark, "linelist"), "csv"), LINELIST)
+
+
+# what must come out, told from the keys and not by parsing
+_LINELIST_SQL = """
+keyed AS (SELECT o_orderkey AS k, DATE '2020-01-10' + CAST(o_orderkey % 60 AS INTEGER) AS d FROM orders),
+dated AS (
+  SELECT k, CASE WHEN k % 4 < 2 THEN d END AS date_onset_symptoms,
+         CASE WHEN k % 3 < 2 THEN d + CAST(k % 7 AS INTEGER) END AS date_admission_hospital,
+         d + CAST(3 + k % 5 AS INTEGER) AS date_confirmation,
+         CASE WHEN k % 9 > 0 THEN d + CAST(20 + k % 11 AS INTEGER) END AS date_death_or_discharge FROM keyed),
+linelist AS (
+  SELECT CAST(k AS VARCHAR) AS "ID",
+         CAST(CASE k % 6 WHEN 0 THEN 25 WHEN 1 THEN 34 WHEN 2 THEN 45 WHEN 5 THEN nullif(CASE WHEN k % 130 < 120 THEN k % 130 END, 0)
+              END AS INTEGER) AS age,
+         CASE k % 4 WHEN 0 THEN 'male' WHEN 1 THEN ' female ' WHEN 2 THEN 'unknown' END AS sex,
+         'city ' || k % 50 AS city, 'prov, ' || k % 20 AS province,
+         CASE k % 5 WHEN 0 THEN 'Kerala' WHEN 1 THEN ' Delhi ' WHEN 2 THEN 'Germany' WHEN 4 THEN 'France' END AS country,
+         'a"1' AS admin1, CAST(NULL AS VARCHAR) AS admin2, CAST(NULL AS VARCHAR) AS admin3,
+         CASE k % 3 WHEN 0 THEN 12.5::DOUBLE WHEN 1 THEN -33.25::DOUBLE END AS latitude,
+         CASE WHEN k % 2 = 0 THEN 100.5::DOUBLE END AS longitude, 'point' AS geo_resolution,
+         date_onset_symptoms, date_admission_hospital, date_confirmation, date_death_or_discharge,
+         '18.01.2020' AS travel_history_dates, 'cough, fever' AS symptoms, CAST(NULL AS VARCHAR) AS chronic_disease,
+         CASE k % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 0 END AS chronic_disease_binary,
+         CASE WHEN k % 6 < 2 THEN 'died' WHEN k % 6 < 4 THEN 'recovered' ELSE 'ongoing' END AS outcome,
+         CAST(k % 3 = 0 AS INTEGER) AS "lives_in_Wuhan", CAST(k % 4 < 2 AS INTEGER) AS reported_market_exposure,
+         CAST(k % 2 = 0 AS INTEGER) AS sequence_available,
+         CASE k % 4 WHEN 0 THEN 1 WHEN 1 THEN 0 END AS male,
+         CASE k % 5 WHEN 0 THEN 'India' WHEN 1 THEN 'India' WHEN 2 THEN 'Germany' WHEN 4 THEN 'France' END AS country_new,
+         CAST(k % 6 < 2 AS INTEGER) AS died,
+         date_diff('day', date_onset_symptoms, date_death_or_discharge) AS days_onset_outcome,
+         date_diff('day', date_onset_symptoms, date_confirmation) AS days_onset_confirm,
+         date_diff('day', date_admission_hospital, date_death_or_discharge) AS days_hosp,
+         date_diff('day', date_admission_hospital, date_confirmation) AS days_admin_confirm
+  FROM dated)
+"""
+
+
+def _cleaned(spark, folder):
+    return linelist.write(linelist.clean(_raw_linelist(spark, folder)), scratch(spark, "linelist"))
+
+
+@query("linelist_clean", f"WITH {_LINELIST_SQL} SELECT * FROM linelist")
+def linelist_clean(spark, folder):
+    return _cleaned(spark, folder)[0]
+
+
 @query(
-    "linelist_clean",
+    "day_diffs",
     f"""
-    WITH {_CLEAN_AGE_SQL}
-    SELECT p_partkey, age, CASE p_type WHEN 'ECONOMY' THEN 'died' WHEN 'PROMO' THEN 'recovered' ELSE 'ongoing' END AS outcome
-    FROM ages JOIN part USING (p_partkey)
+    WITH {_LINELIST_SQL}
+    SELECT "ID", days_onset_outcome, days_onset_confirm, days_hosp, days_admin_confirm FROM linelist
     """,
 )
-def linelist_clean(spark, folder):
-    raw = _ages(spark, folder).join(table(spark, folder, "part", "p_partkey", "p_type"), "p_partkey")
-    outcome = cleaning.recode(
-        F.when(F.col("p_type") == "ECONOMY", "Deceased").when(F.col("p_type") == "PROMO", "discharged")
-        .otherwise(F.col("p_type")),
-        OUTCOME_GROUPS, missing="ongoing",
-    )
-    cleaned = raw.select("p_partkey", cleaning.clean_age("raw").alias("age"), outcome.alias("outcome"))
-    path = sinks.write_table(cleaned, scratch(spark, "linelist"))
-    return spark.read.schema("p_partkey bigint, age int, outcome string").parquet(path)
+def day_diffs(spark, folder):
+    return linelist.clean(_raw_linelist(spark, folder)).select("ID", *linelist.DIFFERENCES)
+
+
+_COUNTED_SQL = " UNION ALL ".join(
+    f"SELECT '{column}' AS \"column\", CAST(\"{column}\" AS VARCHAR) AS value, count(*) AS n FROM linelist GROUP BY 2"
+    for column in linelist.FEW_VALUES
+)
+
+
+@query("linelist_frequencies", f"WITH {_LINELIST_SQL} {_COUNTED_SQL}")
+def linelist_frequencies(spark, folder):
+    """Frequency tables of the columns of few values, observed while the rows were written."""
+    metrics = _cleaned(spark, folder)[1]
+    return fixed_table(spark, linelist.frequencies(metrics), "column string, value string, n bigint")
+
+
+@query("linelist_complete", f"WITH {_LINELIST_SQL} SELECT * FROM linelist WHERE age IS NOT NULL AND male IS NOT NULL")
+def linelist_complete(spark, folder):
+    return linelist.complete(_cleaned(spark, folder)[0])
+
+
+@query(
+    "linelist_imputed",
+    f"""
+    WITH {_LINELIST_SQL}
+    SELECT * REPLACE (coalesce(age, 50) AS age, coalesce(male, CAST(
+      CAST('0x' || left(md5("ID" || ':0'), 8) AS BIGINT) / 4294967296.0::DOUBLE < (SELECT avg(male) FROM linelist) AS INTEGER)) AS male)
+    FROM linelist
+    """,
+)
+def linelist_imputed(spark, folder):
+    return linelist.impute(*_cleaned(spark, folder))
