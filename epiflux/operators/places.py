@@ -147,12 +147,36 @@ def _rank() -> Column:
     )
 
 
+def _with_deletions(name) -> Column:
+    """A name and what is left of it without any one of its characters."""
+    places = F.sequence(F.lit(1), F.length(name))
+    cut = F.transform(places, lambda at: F.concat(name.substr(F.lit(1), at - 1), name.substr(at + 1, F.length(name))))
+    return F.array_distinct(F.concat(F.array(name), cut))
+
+
+def misspelt_countries(tokens: DataFrame, regions: DataFrame, shortest: int = 4) -> DataFrame:
+    """``(token, near)``: country of the region whose main name is one edit from the token.
+
+    Two names one edit apart, or equal, share the name itself or what is left of it without
+    a character.  Tokens meet names by these keys, over equality, and are then checked by
+    their distance; tokens shorter than ``shortest`` are too ambiguous.
+    """
+    keyed = tokens.filter(F.length("token") >= shortest).select(
+        "token", F.explode(_with_deletions(F.col("token"))).alias("key"))
+    named = regions.select(
+        F.lower("asciiname").alias("spelt"), "country_code", "hierarchy", "population", "geonameid",
+    ).select("*", F.explode(_with_deletions(F.col("spelt"))).alias("key"))
+    close = keyed.join(named, "key").filter(F.levenshtein("token", "spelt") == 1)
+    return close.groupBy("token").agg(F.min_by("country_code", _rank()).alias("near"))
+
+
 def resolve_countries(tokens: DataFrame, gazetteer: DataFrame, min_partial: int = 3) -> DataFrame:
-    """Country of a token that names a country or state, whole or in part.
+    """Country of a token that names a country or state, whole, in part, or with one edit.
 
     Whole names are looked up among the aliases of countries and states.  Parts of
     at least ``min_partial`` characters are looked up in a table of all substrings
-    of their main names; these tables grow with the number of states only.
+    of their main names; these tables grow with the number of states only.  Tokens that
+    are neither are taken for misspelt main names.
     """
     regions = gazetteer.filter("feature_code IN ('PCL', 'ADM1')")
     pick = F.min_by("country_code", _rank()).alias
@@ -163,10 +187,11 @@ def resolve_countries(tokens: DataFrame, gazetteer: DataFrame, min_partial: int
         "size", F.explode(F.sequence(F.lit(min_partial), F.greatest(F.length(name) - F.col("at") + 1, F.lit(min_partial))))
     )
     part = cut.withColumn("token", name.substr(F.col("at"), F.col("size"))).groupBy("token").agg(pick("part"))
-    return tokens.join(whole, "token", "left").join(part, "token", "left").select(
-        *tokens.columns,
-        F.coalesce("whole", F.when(F.length("token") >= min_partial, F.col("part"))).alias("country_code"),
-    )
+    found = tokens.join(whole, "token", "left").join(part, "token", "left").withColumn(
+        "code", F.coalesce("whole", F.when(F.length("token") >= min_partial, F.col("part"))))
+    near = misspelt_countries(found.filter("code IS NULL").select("token").distinct(), regions)
+    return found.join(near, "token", "left").select(
+        *tokens.columns, F.coalesce("code", "near").alias("country_code"))
 
 
 def resolve_states(tokens: DataFrame, gazetteer: DataFrame, above: int = 75) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from epiflux.operators.vectorize import term_counts, vocabulary
 from epiflux.session import stored
+from epiflux.sources.files import list_names
 from epiflux.sources.tables import fixed_table
 
 #: Documents whose topics are inferred side by side.
@@ -229,12 +230,8 @@ def fit_topics(
 
 def next_version(spark: SparkSession, path: str) -> int:
     """The version after the last one written below ``path``."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not files.exists(root):
-        return 1
-    names = [entry.getPath().getName() for entry in files.listStatus(root)]
-    return 1 + max([0, *[int(name.removeprefix("version=")) for name in names if name.startswith("version=")]])
+    names = [name for name in list_names(spark, path) if name.startswith("version=")]
+    return 1 + max([0, *[int(name.removeprefix("version=")) for name in names]])
 
 
 def save_topics(fitted: TopicModel, spark: SparkSession, path: str) -> int:

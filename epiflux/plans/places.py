@@ -268,27 +268,48 @@ def names_of(norm):
     return places.split_places(norm.filter("outcome = 'kept'"))
 
 
-RESOLVE_SQL = """
-tokens AS (SELECT DISTINCT token FROM names WHERE token NOT IN (SELECT token FROM dim)),
+_RESOLVED_SQL = """
 resolved AS (
   SELECT token, coalesce(
     (SELECT arg_min(country_code, (hierarchy, -coalesce(population, -1), geonameid)) FROM gaz
      WHERE feature_code IN ('PCL', 'ADM1') AND list_contains(aliases, token)),
     (SELECT arg_min(country_code, (hierarchy, -coalesce(population, -1), geonameid)) FROM gaz
-     WHERE feature_code IN ('PCL', 'ADM1') AND length(token) >= 3 AND contains(lower(asciiname), token))) AS country_code
+     WHERE feature_code IN ('PCL', 'ADM1') AND length(token) >= 3 AND contains(lower(asciiname), token)),
+    (SELECT arg_min(country_code, (hierarchy, -coalesce(population, -1), geonameid)) FROM gaz
+     WHERE feature_code IN ('PCL', 'ADM1') AND length(token) >= 4 AND levenshtein(token, lower(asciiname)) = 1)) AS country_code
   FROM tokens)
 """
+RESOLVE_SQL = f"""
+tokens AS (SELECT DISTINCT token FROM names WHERE token NOT IN (SELECT token FROM dim)),
+{_RESOLVED_SQL}
+"""
 
 
 @query(
     "country_resolve",
-    f"WITH {GAZETTEER_SQL}, {COUNTRIES_SQL}, {NORMALIZE_SQL}, {SPLIT_SQL}, {RESOLVE_SQL} SELECT token, country_code FROM resolved",
+    f"""
+    WITH {GAZETTEER_SQL}, {COUNTRIES_SQL}, {NORMALIZE_SQL}, {SPLIT_SQL},
+    regions AS (SELECT lower(asciiname) AS name FROM gaz WHERE feature_code IN ('PCL', 'ADM1') AND length(asciiname) >= 5),
+    tokens AS (
+      SELECT token FROM names WHERE token NOT IN (SELECT token FROM dim)
+      UNION SELECT substr(name, 1, 2) || substr(name, 4) FROM regions
+      UNION SELECT substr(name, 1, 3) || 'q' || substr(name, 4) FROM regions
+      UNION SELECT substr(name, 1, 1) || 'q' || substr(name, 3) FROM regions),
+    {_RESOLVED_SQL}
+    SELECT token, country_code FROM resolved
+    """,
 )
 def country_resolve(spark, folder):
+    """Tokens of the places, and the names of all regions misspelt in three ways."""
     gaz = gazetteer(spark, folder)
     known = countries(spark, folder, gaz).select("token")
     tokens = names(spark, folder, gaz).select("token").distinct().join(known, "token", "left_anti")
-    return places.resolve_countries(tokens, gaz)
+    name = F.lower("asciiname")
+    rest = lambda at: F.substring(name, F.lit(at), F.length(name))
+    misspelt = gaz.filter("feature_code IN ('PCL', 'ADM1')").filter(F.length("asciiname") >= 5).select(F.explode(F.array(
+        F.concat(F.left(name, F.lit(2)), rest(4)), F.concat(F.left(name, F.lit(3)), F.lit("q"), rest(4)),
+        F.concat(F.left(name, F.lit(1)), F.lit("q"), rest(3)))).alias("token"))
+    return places.resolve_countries(tokens.union(misspelt).distinct(), gaz)
 
 
 # every name against every entry, without any of the lookups of the operator

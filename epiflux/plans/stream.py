@@ -12,6 +12,7 @@ from epiflux.sources import readers
 from epiflux.sources.schemas import TWEET_STREAM
 from epiflux.sources.tables import table
 from epiflux.streaming import live
+from epiflux.streaming.keyed import KeyedStore, put_by_key
 
 _DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -151,10 +152,11 @@ def stream_append(spark, folder):
 def stream_upsert(spark, folder):
     schema = "user_id bigint, event_id bigint, event_type string, value double"
     arriving = scratch(spark, "arriving")
+    # nine files, a batch each: enough to merge generations twice
     table(spark, folder, "events", "user_id", "event_id", "event_type", "value").repartition(
-        3, "event_id"
+        9, "event_id"
     ).write.parquet(arriving)
     stream = live.file_stream(spark, arriving, schema, "*.parquet", files_per_batch=1)
-    store = scratch(spark, "store")
-    _finish(live.put_by_key(stream, "user_id", "event_id", store, scratch(spark, "mark"), availableNow=True))
-    return live.read_by_key(spark, store, schema, "user_id", "event_id")
+    store = KeyedStore(spark, scratch(spark, "store"), schema, "user_id", "event_id")
+    _finish(put_by_key(stream, store, scratch(spark, "mark"), availableNow=True))
+    return store.read()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from epiflux.operators import matching, places, relational, rt, statistics
@@ -9,7 +11,7 @@ from epiflux.plans.bindings import joined
 from epiflux.plans.registry import query
 from epiflux.session import scratch
 from epiflux.sources import readers, sinks
-from epiflux.sources.tables import sql_over, table
+from epiflux.sources.tables import catalog_table, fixed_table, save_catalog_table, sql_over, table
 
 # ---------------------------------------------------------------- sources and sinks
 
@@ -75,6 +77,53 @@ def header_discovery(spark, folder):
     )
 
 
+_README = """Customer dump
+=============
+Tab-delimited, one customer a line.
+
+The main 'customer' table has the following fields :
+---------------------------------------------------
+customer id       : integer id of the record
+name              : name of the customer (utf8)
+nation            : key of the nation,
+                    see below
+balance           : account balance : may be negative
+market segment    :
+
+NationCodes:
+key   : not a column of the main table
+"""
+
+
+@query(
+    "readme_columns",
+    "SELECT c_custkey AS customer_id, c_name AS name, c_nationkey AS nation, c_acctbal AS balance, c_mktsegment AS segment FROM customer",
+)
+def readme_columns(spark, folder):
+    """A headerless dump read by the names that its readme lists."""
+    readme, dump = scratch(spark, "readme"), scratch(spark, "dump")
+    fixed_table(spark, [(_README,)], "value string").coalesce(1).write.text(readme)
+    customers = table(spark, folder, "customer", "c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    customers.write.options(sep="\t", escape='"', header=False).csv(dump)
+    rows = readers.read_by_listing(
+        spark, readme, dump, "^The main 'customer' table has the following fields", "^NationCodes:",
+        {"customer id": "bigint", "nation": "bigint", "balance": "double"})
+    return rows.select(
+        F.col("`customer id`").alias("customer_id"), "name", "nation", "balance", F.col("`market segment`").alias("segment"))
+
+
+@query(
+    "catalog_by_state",
+    "SELECT c_custkey, c_name, c_acctbal, c_mktsegment AS state FROM customer WHERE c_mktsegment = 'BUILDING'",
+)
+def catalog_by_state(spark, folder):
+    """A table written and read by name; the condition prunes all folders but one."""
+    customers = table(spark, folder, "customer", "c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    name = f"customers_{uuid.uuid4().hex}"
+    save_catalog_table(customers.withColumnRenamed("c_mktsegment", "state"), name, scratch(spark, "catalog"), "state")
+    return catalog_table(spark, name, F.col("state") == "BUILDING")
+
+
 @query(
     "census_long",
     """

@@ -103,6 +103,31 @@ def header_columns(text, header_pattern: str, sep: str) -> tuple[Column, Column]
     return F.when(at > 0, at - 1).cast("int"), names
 
 
+def listed_names(text, begin: str, end: str) -> Column:
+    """Names from a prose listing of ``name : description`` lines between two marks, in order.
+
+    ``begin`` and ``end`` are patterns of the lines around the listing; lines without a
+    colon, such as rules and continued descriptions, name nothing.  NULL without a listing.
+    """
+    whole = F.col(text) if isinstance(text, str) else text
+    block = F.regexp_extract(whole, f"(?m)(?:{begin})[^\\n]*\\n((?:.|\\n)*?)(?:{end})", 1)
+    names = F.regexp_extract_all(block, F.lit(r"(?m)^[ \t]*([A-Za-z][\w ]*?)[ \t]*:(?=[ \t]|$)"), F.lit(1))
+    return F.when(block != "", names)
+
+
+def read_by_listing(
+    spark: SparkSession, readme: str, path: str, begin: str, end: str, types: dict[str, str] | None = None, sep: str = "\t"
+) -> DataFrame:
+    """Headerless files whose columns a readme lists: names by position, text unless ``types`` says more."""
+    whole = spark.read.text(readme, wholetext=True).select(listed_names("value", begin, end).alias("names"))
+    found = [row["names"] for row in whole.filter("names IS NOT NULL").collect()]  # the readme's few names
+    if len(found) != 1 or len(set(found[0])) != len(found[0]):
+        raise ValueError(f"{readme}: one listing of distinct names is needed, found {found}")
+    types = types or {}
+    fields = [f"`{name}` {types.get(name, 'string')}" for name in found[0]]
+    return read_delimited(spark, path, ", ".join(fields), sep=sep, header=False)
+
+
 def census_number(value) -> Column:
     """``1,234`` to 1234; ``-`` is zero; ``(X)`` and notes are NULL."""
     text = F.trim(F.col(value) if isinstance(value, str) else value)

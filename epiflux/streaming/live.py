@@ -1,4 +1,4 @@
-"""Live messages: filter, projection, append sink, keyed sink.
+"""Live messages: filter, projection and append sinks; ``keyed`` has the keyed store.
 
 Streams are stateless; restart and exactly-once come from checkpoints and from
 sinks that overwrite a repeated batch.
@@ -105,30 +105,3 @@ def append_table(stream: DataFrame, path: str, checkpoint: str, **trigger) -> St
         stream.writeStream.format("parquet").outputMode("append")
         .option("checkpointLocation", checkpoint).trigger(**trigger).start(path)
     )
-
-
-def last_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Row with the highest ``order`` per key, combined before the shuffle."""
-    rest = [name for name in df.columns if name != key]
-    last = F.max_by(F.struct(*[F.col(f"`{name}`") for name in rest]), order)
-    return df.groupBy(key).agg(last.alias("last")).select(key, "last.*").select(*df.columns)
-
-
-def put_by_key(stream: DataFrame, key: str, order: str, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Keyed store where the last write wins.
-
-    A batch writes its own folder, ``batch=N``, and a repeated batch replaces it.
-    Writing costs as much as the batch, however large the store has become.
-    """
-
-    def put(batch: DataFrame, number: int) -> None:
-        last_per_key(batch, key, order).write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return (
-        stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**trigger).start()
-    )
-
-
-def read_by_key(spark: SparkSession, path: str, schema: str, key: str, order: str) -> DataFrame:
-    """The keyed store as it stands: last write per key over all batches."""
-    return last_per_key(spark.read.schema(schema).parquet(path).drop("batch"), key, order)

@@ -361,17 +361,6 @@ def test_tracking(spark):
     assert [r.i for r in hits] == [0, 1]
 
 
-def test_repeated_batch_changes_nothing(spark):
-    store = scratch(spark, "store")
-    first = spark.createDataFrame([(1, 1, "a"), (1, 3, "c"), (2, 1, "x")], "id bigint, seq bigint, v string")
-    second = spark.createDataFrame([(1, 2, "b"), (2, 5, "y")], "id bigint, seq bigint, v string")
-    for _ in range(2):
-        for number, batch in enumerate((first, second)):
-            live.last_per_key(batch, "id", "seq").write.mode("overwrite").parquet(f"{store}/batch={number}")
-    got = live.read_by_key(spark, store, "id bigint, seq bigint, v string", "id", "seq")
-    assert {r.id: r.v for r in got.collect()} == {1: "c", 2: "y"}
-
-
 def test_sigma_and_most_likely_by_brute_force(spark):
     """The filter written out day by day on the full grid of 501 values."""
     import datetime
