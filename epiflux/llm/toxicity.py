@@ -106,15 +106,17 @@ def _paired(
     if k < 2:
         return buckets[:0]
     odds = ((toxic + base) / (clean + 1 - base))[order]
-    place = np.full(BUCKETS, -1, np.int64)
+    place = np.full(BUCKETS, -1, np.int32)
     place[buckets[order]] = np.arange(k)
     rows = [np.sort(found[found >= 0]) for found in (place[found] for found in terms)]
-    lengths = np.array([len(found) for found in rows])
-    owners = np.repeat(np.arange(len(rows)), lengths)
-    spots = np.arange(len(owners)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    by_bucket = np.argsort(np.concatenate(rows), kind="stable")
-    owners, spots = owners[by_bucket], spots[by_bucket] + 1
+    # cells by bucket, each with its row and the place behind it in the row, as 32-bit numbers
     ends = np.cumsum((toxic + clean)[order])
+    free = ends - (toxic + clean)[order]
+    owners, spots = np.empty(ends[-1], np.int32), np.empty(ends[-1], np.int32)
+    for row, found in enumerate(rows):
+        at = free[found]
+        owners[at], spots[at] = row, np.arange(1, len(found) + 1)
+        free[found] += 1
     marks = labels > 0
     telling = np.zeros(k, bool)
 
@@ -154,7 +156,7 @@ def _paired(
             if len(j):
                 judge(i, j, a[j], b[j])
         elif total:
-            held.append((np.concatenate(parts) + i * k) * 2 + np.repeat(mine, list(map(len, parts))))
+            held.append((np.concatenate(parts).astype(np.int64) + i * k) * 2 + np.repeat(mine, list(map(len, parts))))
             size += total
         if held and (size > 2_000_000 or i == k - 1):
             judge_rare(held)
@@ -221,9 +223,8 @@ def fit(
         labels.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{label}`").cast("int").alias("_label"))
         .dropna().groupBy("_key").agg(F.max("_label").alias("_label"))
     )
-    share = min(1.0, sample_rows / max(1, known.count()))
-    place = F.pmod(F.xxhash64("_key"), F.lit(1 << 20))
-    chosen = known.filter(place < int(share * (1 << 20)) + 1).limit(sample_rows)
+    # the rows of the lowest hashes: the same ones however the labels are laid out
+    chosen = known.orderBy(F.xxhash64("_key"), "_key").limit(sample_rows)
 
     @F.arrow_udf("array<int>")
     def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
