@@ -27,8 +27,6 @@ from epiflux.llm.common import BROADCAST_IDS
 BLOCK = 256
 #: Packed bytes after which a file row ends; a longer document has a row of its own.
 ROW_BYTES = 1 << 14
-#: Documents of one range partition, by expectation.
-PART_DOCS = 20_000
 # Ids per word and bits of an id, by selector; selector 0 is the escape.
 COUNTS = (1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 WIDTHS = (64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
@@ -148,7 +146,7 @@ class WordTokenizer:
     any other word, and one that holds an added token, goes through the whole library.
     """
 
-    def __init__(self, path: str, remembered: int = 300_000):
+    def __init__(self, path: str, remembered: int = 200_000):
         import json
 
         import regex
@@ -172,7 +170,8 @@ class WordTokenizer:
         ids: list[int] = []
         low = text.lower()
         if self.foldable(text) and not any(token in low for token in self.added):
-            for piece in self.pieces(low):
+            # letters alone are one piece
+            for piece in [low] if text.isalpha() else self.pieces(low):
                 if not piece.isascii():
                     piece = piece.encode().decode("latin-1").translate(self.marks)
                 ids += [token.id for token in self.model.tokenize(piece)]
@@ -183,26 +182,44 @@ class WordTokenizer:
     def encode(self, text: bytes | None) -> bytes:
         """Ids of a UTF-8 text as little-endian unsigned 32-bit integers; NULL counts as empty."""
         if len(self.words) > self.limit:
-            self.words.clear()
-        return b"".join(map(self.words.__getitem__, text.split())) if text else b""
+            self.words.turn()
+        if not text:
+            return b""
+        low = text.lower()
+        if any(token.encode() in low for token in self.added):
+            low = text  # letters of an added token must stay as they are
+        return b"".join(map(self.words.__getitem__, low.split()))
 
 
 class _Words(dict):
-    """Ids by word, found when first asked for."""
+    """Ids by word, found when first asked for; words of the last generation are taken over when asked for again."""
 
     def __init__(self, tokenizer: WordTokenizer):
         super().__init__()
         self.tokenize, self.pieces = tokenizer.model.tokenize, tokenizer._pieces
+        self.last: dict[bytes, bytes] = {}
+
+    def turn(self) -> None:
+        """Begin a generation."""
+        self.last = dict(self)
+        self.clear()
 
     def __missing__(self, word: bytes) -> bytes:
-        if word.isalpha():
+        ids = self.last.get(word)
+        if ids is not None:
+            pass
+        elif word.isalpha():
             found = self.tokenize(word.decode().lower())
             ids = struct.pack(f"<{len(found)}I", *[token.id for token in found])
         elif word[-1:] in b".," and word[-2:-1].isalnum():
             # a full stop or comma after a letter or digit is a piece of its own
             ids = self[word[:-1]] + self[word[-1:]]
         else:
-            ids = self.pieces(word.decode())
+            text = word.decode()
+            if len(text) > 1 and text[-1] in ".," and text[-2].isalpha():
+                ids = self[word[:-1]] + self[word[-1:]]
+            else:
+                ids = self.pieces(text)
         self[word] = ids
         return ids
 
@@ -243,18 +260,16 @@ _FILE = (
 def write(docs: DataFrame, path: str, load: Callable[[], WordTokenizer] = load_words) -> None:
     """Write the ids of ``doc_id, text`` as file rows below ``path``, in ascending id order.
 
-    The ids are cut into ranges of about ``PART_DOCS`` documents; packed documents, not
-    texts, move to their range.  A NULL id comes first; equal ids stay together, shorter first.
-    ``start`` in a file row counts from the start of its range.
+    Documents are dealt out by ranges of their order, as many as the session has shuffle
+    partitions, and encoded where they arrive.  A NULL id comes first; rows of equal ids are
+    ordered by a hash of their text, and may be spread over ranges.  ``start`` in a file row
+    counts from the start of its range; the ranges follow each other by ``part``.
     """
-    count = docs.count()
-    ranges = -(-count // PART_DOCS)
-    cuts = [] if ranges < 2 else sorted(set(
-        docs.select(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []))
-    part = F.coalesce(
-        F.size(F.filter(F.array(*[F.lit(cut) for cut in cuts]).cast("array<bigint>"), lambda c: c < F.col("doc_id"))),
-        F.lit(0))
-    part = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(part)
+    # the number tells equal rows apart, so that they can be spread too
+    numbered = docs.select(
+        "doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("number"))
+    keys = [F.col("doc_id").asc_nulls_first(), "hash", "number"]
+    dealt = numbered.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row, start, size = None, 0, 0, 0
@@ -283,8 +298,7 @@ def write(docs: DataFrame, path: str, load: Callable[[], WordTokenizer] = load_w
             yield flush()
 
     (
-        encode(docs, load=load).withColumn("part", part.cast("int")).repartition(max(1, ranges), "part")
-        .sortWithinPartitions(F.col("part"), F.col("doc_id").asc_nulls_first(), "n_tokens", "words")
+        encode(dealt, load=load).withColumn("part", F.spark_partition_id())
         .select("part", "doc_id", "n_tokens", "words", "block_words")
         .mapInArrow(rows, _FILE).write.parquet(path)
     )
@@ -297,7 +311,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.schema(_FILE).parquet(path)
     totals = files.groupBy("part").agg(
         F.sum(F.aggregate("n_tokens", F.lit(0).cast("bigint"), lambda s, n: s + n)).alias("n"))
-    # one row per range of PART_DOCS documents
+    # one row per range
     base = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
     if totals.count() <= BROADCAST_IDS:
         base = F.broadcast(base)

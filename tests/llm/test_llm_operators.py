@@ -94,8 +94,10 @@ def test_simple8b_words_round_trip():
 
 
 def test_simple8b_files(spark, odd, tmp_path, monkeypatch):
-    monkeypatch.setattr(simple8b, "PART_DOCS", 3)
     monkeypatch.setattr(simple8b, "ROW_BYTES", 64)
+    with_copies = odd.unionByName(odd.filter("doc_id = 1"))
+    simple8b.write(with_copies, f"{tmp_path}/copies")
+    assert simple8b.read(spark, f"{tmp_path}/copies").filter("doc_id = 1").count() == 4
     simple8b.write(odd, f"{tmp_path}/ids")
     got = simple8b.read(spark, f"{tmp_path}/ids").withColumn("crc", simple8b.ids_crc32("ids")).collect()
     library = simple8b.load_words().library
@@ -449,6 +451,8 @@ def test_pipeline_stages(spark, folder):
     assert calm.columns == docs.columns and 0 < calm.count() <= docs.count()
     ids = stages["byte_bpe"](spark, docs, folder)
     assert ids.count() == docs.count()
+    digests = {r.doc_id: hashlib.sha256((r.text or "").encode()).hexdigest() for r in rows}
+    assert all(row.decoded_sha256 == digests[row.doc_id] for row in ids.collect())
     void = spark.createDataFrame([], docs.schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, void, folder).count() == 0
@@ -458,7 +462,7 @@ def test_queries_match_their_digests(spark, folder):
     from epiflux.llm import load_all
 
     queries, oracles = load_all()
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in queries}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in queries}
     encoding = tiktoken_encoding()
     texts = {row.doc_id: row.text for row in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     for row in queries["op6_byte_bpe"](spark, folder).collect():
@@ -466,6 +470,11 @@ def test_queries_match_their_digests(spark, folder):
         assert row.n_tokens == len(ids)
         assert row.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert row.decoded_sha256 == hashlib.sha256((texts[row.doc_id] or "").encode()).hexdigest()
+    library, start = simple8b.load_words().library, 0
+    for row in queries["op2_simple8b"](spark, folder).orderBy("start").collect():
+        ids = np.array(library.encode(texts[row.doc_id] or "", add_special_tokens=False).ids + [1], "<u4")
+        assert (row.start, row.n_tokens, row.ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
     for row in queries["op7_secret_scan"](spark, folder).collect():
         line = ",".join(f"{k}:{a}:{b}" for k, a, b in base_spans(texts[row.doc_id] or ""))
         assert row.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
