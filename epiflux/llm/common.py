@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Callable
+from types import ModuleType
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +21,19 @@ def in_small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
+def kept_by_worker(make: Callable):
+    """What ``make`` returns, made once in a Python worker and kept for all of its tasks.
+
+    Functions travel by value, so their modules are new in every task; what is kept stands
+    in a module of its own.  ``make`` takes no arguments and is known by its name.
+    """
+    room = sys.modules.setdefault("_kept_by_worker", ModuleType("_kept_by_worker"))
+    name = f"{make.__module__}.{make.__qualname__}"
+    if not hasattr(room, name):
+        setattr(room, name, make())
+    return getattr(room, name)
+
+
 def by_ids(frame: DataFrame, column: str, ids: DataFrame, how: str, limit: int = BROADCAST_IDS) -> DataFrame:
     """Rows of ``frame`` whose ``column`` is (``left_semi``) or is not (``left_anti``) in ``ids``.
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epiflux.llm.common import BROADCAST_IDS
+from epiflux.llm.common import BROADCAST_IDS, kept_by_worker
 
 #: Ids per block.
 BLOCK = 256
@@ -236,7 +236,7 @@ def encode(docs: DataFrame, end_id: int = 1, load: Callable[[], WordTokenizer] =
     end = np.array([end_id], "<u4").tobytes()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load()
+        tokenizer = kept_by_worker(load)
         for batch in batches:
             texts = batch.column(1).cast(pa.binary()).to_pylist()
             ids = [np.frombuffer(tokenizer.encode(text) + end, "<u4") for text in texts]
