@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import itertools
 from collections.abc import Callable, Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +25,9 @@ from pyspark.sql import functions as F
 #: Texts longer than this are split into matches piece by piece, not as one list.
 _LONG_TEXT = 1_000_000
 #: Texts of about this many characters are encoded together.
-_CHUNK_CHARS = 2_000_000
+_CHUNK_CHARS = 500_000
 #: Matches whose ids a task remembers.
-_REMEMBERED = 200_000
+_REMEMBERED = 120_000
 _NONE = 2**62
 _SHIFT = 6  # a position within the widest matrix tree, 32 leaves
 
@@ -39,15 +40,19 @@ class ByteBpe:
         self.pattern = regex.compile(pattern)
         self.table = {rank: token for token, rank in ranks.items()}
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        pairs = {}
+        self.remembered: dict[str, bytes] = {}
+
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """Ranks of pairs of ids, and their table; made when first asked for, as decoding has no use for them."""
+        ranks, pairs = self.ranks, {}
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
                     pairs[left << 32 | right] = rank
-        self.pairs = pairs
-        self._index_pairs()
-        self.remembered: dict[str, bytes] = {}
+        self._index_pairs(pairs)
+        return pairs
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> ByteBpe:
@@ -59,6 +64,8 @@ class ByteBpe:
     def _pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, or ``_NONE``: a lookup in an open table, probing on where keys collide."""
         keys = left << 32 | right
+        if not self.pairs:
+            return np.full(keys.shape, _NONE, np.int64)
         slots = self._slots(keys)
         held = self.slot_keys.take(slots)
         ranks = self.slot_ranks.take(slots)
@@ -74,15 +81,15 @@ class ByteBpe:
         mixed = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         return (mixed >> np.uint64(65 - len(self.slot_keys).bit_length())).astype(np.int64)
 
-    def _index_pairs(self) -> None:
+    def _index_pairs(self, pairs: dict[int, int]) -> None:
         """Fill the open table, at most a quarter full; an empty slot has key -1 and no rank."""
-        size = 1 << (4 * len(self.pairs) + 1).bit_length()
+        size = 1 << (4 * len(pairs) + 1).bit_length()
         self.slot_keys, self.slot_ranks = np.full(size, -1, np.int64), np.full(size, _NONE, np.int64)
-        keys = np.array(list(self.pairs), np.int64)
+        keys = np.array(list(pairs), np.int64)
         for key, slot in zip(keys.tolist(), self._slots(keys).tolist()):
             while self.slot_keys[slot] >= 0:
                 slot = (slot + 1) & (size - 1)
-            self.slot_keys[slot], self.slot_ranks[slot] = key, self.pairs[key]
+            self.slot_keys[slot], self.slot_ranks[slot] = key, pairs[key]
 
     def _leaves(self, left, right, at) -> np.ndarray:
         """Leaf values: rank first, then position, so that a minimum is the leftmost."""
