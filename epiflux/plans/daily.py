@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from epiflux.functions.fixed_values import SUBJECT_HASHTAGS
-from epiflux.functions.text import hashtags, tokens
-from epiflux.operators import daily, series
+from epiflux.functions.text import emoticons, hashtags, tokens
+from epiflux.operators import daily, relational, series
 from epiflux.operators.partitioning import spread
 from epiflux.plans.bindings import (
     CASES_SQL, MESSAGES_SQL, cases, messages, tokens_sql,
 )
 from epiflux.plans.registry import query
+from epiflux.session import scratch
+from epiflux.sources import readers, schemas, sinks
 from epiflux.sources.tables import table
 
 _EVENT_COUNTS_SQL = "c AS (SELECT CAST(ts AS DATE) AS date, event_type AS term, count(*) AS volume FROM events GROUP BY 1, 2)"
@@ -91,6 +93,92 @@ def hashtag_columns(spark, folder):
     return daily.top_by_peak(counts, None, drop=SUBJECT_HASHTAGS)
 
 
+# Wide daily tables: a published file of daily counts is read, cut to its columns, written as one JSON record per
+# day, and read again.
+
+
+def _published(spark, counts, schema):
+    """Daily counts as a file with the published header, read back under the names used here."""
+    names = [field.split()[0] for field in schema.split(", ")]
+    path = sinks.write_table(counts.toDF(*names), scratch(spark, "daily-counts"), "csv")
+    return readers.read_delimited(spark, path, schema).toDF("date", "term", "volume")
+
+
+def _wide(spark, counts, n, keep=None, drop=None):
+    """``date, term, volume`` of every cell of the wide JSON table."""
+    records = daily.wide_records(counts, daily.top_names(counts, n, keep, drop))
+    path = sinks.write_table(records, scratch(spark, "wide-daily"), "json")
+    read = spark.read.schema("date date, volumes map<string,bigint>").json(path)
+    return read.select("date", F.explode("volumes").alias("term", "volume"))
+
+
+def _wide_sql(counts, n=None, where="true"):
+    cut = f"ORDER BY peak DESC, term LIMIT {n}" if n else ""
+    return f"""
+    {counts},
+    top AS (SELECT * FROM (SELECT term, max(volume) AS peak FROM c GROUP BY term {cut}) WHERE {where})
+    SELECT date, term, volume FROM (SELECT DISTINCT date FROM c) CROSS JOIN (SELECT term FROM top)
+    LEFT JOIN c USING (date, term)
+    """
+
+
+_EMOTICON_COUNTS_SQL = rf"""
+WITH {MESSAGES_SQL},
+c AS (
+  SELECT date, term, count(*) AS volume FROM (
+    SELECT created_dt AS date, unnest(regexp_extract_all(
+      regexp_replace(text, 'https?://', '', 'g'), '[:=;][oO\-]?[D)\](/\\OpP]?')) AS term FROM messages)
+  GROUP BY ALL)
+"""
+_TAG_COUNTS_SQL = rf"""
+WITH {MESSAGES_SQL},
+c AS (
+  SELECT date, term, count(*) AS volume FROM (
+    SELECT created_dt AS date,
+           unnest(regexp_extract_all(lower(text), '(?:^|\s)(#[\p{{L}}\p{{N}}_]+)', 1)) AS term FROM messages)
+  GROUP BY ALL)
+"""
+
+
+@query("wide_emojis", _wide_sql(_EMOTICON_COUNTS_SQL, 100))
+def wide_emojis(spark, folder):
+    counts = daily.daily_counts(messages(spark, folder), F.col("created_dt"), emoticons("text"))
+    return _wide(spark, _published(spark, counts, schemas.EMOJI_DAILY), 100)
+
+
+@query("wide_hashtags", _wide_sql(_TAG_COUNTS_SQL, where=f"NOT regexp_matches(term, '{SUBJECT_HASHTAGS}')"))
+def wide_hashtags(spark, folder):
+    counts = daily.daily_counts(messages(spark, folder), F.col("created_dt"), hashtags("text"))
+    return _wide(spark, _published(spark, counts, schemas.HASHTAG_DAILY), None, drop=SUBJECT_HASHTAGS)
+
+
+@query(
+    "wide_symptoms",
+    _wide_sql(f"""
+    WITH by_lang AS (
+      SELECT lang, date, term, count(*) AS volume FROM (
+        SELECT lang, DATE '2024-01-01' + CAST(doc_id % 5 AS INTEGER) AS date, unnest({tokens_sql("lower(text)")}) AS term
+        FROM documents) GROUP BY ALL),
+    c AS (SELECT date, term, max(volume) AS volume FROM by_lang GROUP BY date, term)
+    """, 125, "regexp_matches(term, '[a-z]+')"),
+)
+def wide_symptoms(spark, folder):
+    """The published file repeats a symptom's day (here once per language); its highest volume stays."""
+    docs = spread(table(spark, folder, "documents", "doc_id", "text", "lang"), "doc_id")
+    words = docs.select(
+        "lang", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 5).cast("int")).alias("date"),
+        F.explode_outer(tokens(F.lower("text"))).alias("term")).filter("term IS NOT NULL")
+    counts = words.groupBy("lang", "date", "term").agg(F.count(F.lit(1)).alias("volume")).drop("lang")
+    read = _published(spark, counts, schemas.SYMPTOM_DAILY)
+    highest = relational.keep_first(read, ["date", "term"], [-F.col("volume")])
+    return _wide(spark, highest, 125, keep="[a-z]+")
+
+
+@query("wide_terms", _wide_sql(f"WITH {_WORD_COUNTS_SQL}", 300))
+def wide_terms(spark, folder):
+    return _wide(spark, _published(spark, _word_counts(spark, folder), schemas.TERM_DAILY), 300)
+
+
 @query(
     "peak_frequency",
     f"""

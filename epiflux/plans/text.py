@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 from epiflux.functions import text
 from epiflux.functions.fixed_values import TERM_RULES
 from epiflux.functions.places import code_flag, flag_code
-from epiflux.operators import vectorize
+from epiflux.operators import relational, vectorize
 from epiflux.operators.messages import message_documents
 from epiflux.operators.partitioning import spread
 from epiflux.plans.bindings import MESSAGES_SQL, joined, messages, tokens_sql
 from epiflux.plans.registry import query, sql_text
-from epiflux.session import stored
+from epiflux.session import scratch, stored
+from epiflux.sources import readers, schemas, sinks
 from epiflux.sources.tables import table
 
 NONWORDS_SQL = r"(?i)<[^>]+>|https?://[!$-_a-z]+|(?:\d+,?)+(?:\.?\d+)?"
@@ -236,3 +237,54 @@ def json_props(spark, folder):
     return table(spark, folder, "events", "event_id", "props").select(
         "event_id", F.from_json("props", "k int")["k"].alias("k")
     )
+
+
+# Searched messages: the file of a search repeats an id where a message was found again later.
+_SEARCHED_SQL = f"""
+WITH {MESSAGES_SQL},
+searched AS (
+  SELECT id, created_ts, source AS user_name, CAST(id % 90 AS BIGINT) AS retweet_count, translate(text, chr(9) || chr(10), '  ') AS text
+  FROM messages
+  UNION ALL
+  SELECT id, created_ts + INTERVAL 1 HOUR, source, CAST(id % 90 + 1 AS BIGINT), translate(text, chr(9) || chr(10), '  ')
+  FROM messages WHERE id % 7 = 0)
+"""
+
+
+def _searched(spark, folder):
+    """The searched messages, read from a tab-separated file with the published columns."""
+    rows, again = messages(spark, folder), F.explode(
+        F.when(F.col("id") % 7 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    found = rows.withColumn("again", again).select(
+        "id", text.single_line("text").alias("text"),
+        (F.col("created_ts") + F.make_dt_interval(hours=F.col("again"))).alias("created_ts"),
+        (F.col("id") % 1000).alias("user_id"), F.col("source").alias("user_name"),
+        F.lower("source").alias("user_screen_name"), F.col("lang").alias("user_location"),
+        (F.col("id") % 500).alias("user_statuses_count"), (F.col("id") % 11 == 0).alias("user_verified"),
+        F.lit(0).alias("favorite_count"), F.lit(False).alias("favorited"),
+        (F.col("id") % 90 + F.col("again")).alias("retweet_count"), "entities",
+    )
+    path = sinks.write_table(found, scratch(spark, "searched"), "tsv")
+    return readers.read_delimited(spark, path, schemas.TWEET_SEARCH, sep="\t")
+
+
+@query(
+    "search_messages",
+    f"{_SEARCHED_SQL} SELECT * FROM searched QUALIFY row_number() OVER (PARTITION BY id ORDER BY created_ts) = 1",
+)
+def search_messages(spark, folder):
+    """One row per id, its first by time, as a tab-separated file that is read again."""
+    first = relational.keep_first(_searched(spark, folder), ["id"], [F.col("created_ts")])
+    path = sinks.write_table(first, scratch(spark, "messages"), "tsv")
+    kept = readers.read_delimited(spark, path, schemas.TWEET_SEARCH, sep="\t")
+    return kept.select("id", "created_ts", "user_name", "retweet_count", "text")
+
+
+@query(
+    "search_repeats",
+    f"{_SEARCHED_SQL} SELECT id, created_ts, user_name, retweet_count FROM searched WHERE id % 7 = 0",
+)
+def search_repeats(spark, folder):
+    """Every row of an id that was found more than once."""
+    repeated = relational.duplicates(_searched(spark, folder), [F.col("id")])
+    return repeated.select("id", "created_ts", "user_name", "retweet_count")

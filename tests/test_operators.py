@@ -57,6 +57,31 @@ def test_top_by_peak_and_pivot(spark):
         daily.pivot_daily(doubled, ["a"]).collect()
 
 
+def test_wide_records(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [(day(1), ":P", 2), (day(1), ":p", 9), (day(2), "date", 4), (day(2), "a.b", 3), (day(3), "rare", 1)],
+        "date date, term string, volume bigint",
+    )
+    names = daily.top_names(rows, 4)
+    assert names == [":p", "date", "a.b", ":P"]
+    path = str(tmp_path / "wide")
+    daily.wide_records(rows, names).write.json(path)
+    read = spark.read.schema("date date, volumes map<string,bigint>").json(path)
+    got = {row.date: row.volumes for row in read.collect()}
+    none = dict.fromkeys(names)
+    assert got == {day(1): {**none, ":p": 9, ":P": 2}, day(2): {**none, "date": 4, "a.b": 3}, day(3): none}
+    assert daily.wide_records(rows.limit(0), []).count() == 0
+    with pytest.raises(Exception, match="DUPLICATED_MAP_KEY"):
+        daily.wide_records(rows.union(rows), names).collect()
+
+
+def test_wide_records_refuse_too_many_columns(spark, monkeypatch):
+    monkeypatch.setattr(daily, "MAX_COLUMNS", 2)
+    rows = spark.createDataFrame([(day(1), str(i), i) for i in range(3)], "date date, term string, volume bigint")
+    with pytest.raises(ValueError, match="more than 2 columns"):
+        daily.top_names(rows, None)
+
+
 def test_one_row_per_key(spark):
     rows = spark.createDataFrame([(1, 2), (1, 3)], "k int, v int")
     with pytest.raises(Exception, match="duplicate key"):
