@@ -49,16 +49,39 @@ _LOG_P = 12.0
 _STEP = 4  # bins of the p-values per power of ten
 
 _SPANS = "array<struct<start:int,end:int>>"
+#: Matches that are added up at once.
+_CHUNK = 256
+#: Stands for the characters of base spans where runs are looked for; a text's own marks become
+#: another character that is part of no pattern.
+_MARK, _NO_MARK = "\ue000", "\ue001"
 
 
-def _matches(text: Column, pattern: str, at_least: int = 0) -> Column:
-    """Spans, in code points, of all matches; with ``at_least``, of those whose group 2 is so long."""
-    steps = F.arrays_zip(
+def _steps(text: Column, pattern: str, value_group: int = 0) -> Column:
+    """``gap, hit, value`` of the matches in order, and of the rest of the text, where ``hit`` is NULL."""
+    return F.arrays_zip(
         F.split(text, pattern, -1).alias("gap"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(2 if at_least else 0)).alias("value"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)).alias("value"),
     )
 
+
+def _chunks(values: Column) -> Column:
+    """A filled array in parts of ``_CHUNK``."""
+    numbers = F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _CHUNK).cast("int"))
+    return F.transform(numbers, lambda i: F.slice(values, i * _CHUNK + 1, F.lit(_CHUNK)))
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)``, with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _matches(text: Column, pattern: str, at_least: int = 0) -> Column:
+    """Spans, in code points, of all matches; with ``at_least``, of those whose group 2 is so long.
+
+    The matches are added up in chunks, since an array that grows by one is copied each
+    time: the work for n matches is about n times the chunk, not n times n.
+    """
     def add(state, step):
         start = state["at"] + F.length(step["gap"])
         end = start + F.coalesce(F.length(step["hit"]), F.lit(0))
@@ -68,11 +91,26 @@ def _matches(text: Column, pattern: str, at_least: int = 0) -> Column:
             end.alias("at"), F.when(good, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out")
         )
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
-    found = F.aggregate(steps, zero, add, lambda state: state["out"])
+    def add_chunk(state, chunk):
+        zero = F.struct(state["at"].alias("at"), F.array().cast(_SPANS).alias("out"))
+        return _bound(F.aggregate(chunk, zero, add), lambda done: F.struct(
+            done["at"].alias("at"), F.concat(state["out"], F.array(done["out"])).alias("out")))
+
+    def spans(steps):
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPANS}>").alias("out"))
+        return F.aggregate(_chunks(steps), zero, add_chunk, lambda state: F.flatten(state["out"]))
+
+    found = _bound(_steps(text, pattern, 2 if at_least else 0), spans)
     return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPANS))
 
 
+def _marked(text: Column, pattern: str, at_least: int = 0) -> Column:
+    """The text with ``_MARK`` for every character of the matches that ``_matches`` finds."""
+    parts = F.transform(_steps(text, pattern, 2 if at_least else 0), lambda step: F.concat(step["gap"], F.coalesce(
+        F.when(F.length(step["value"]) >= at_least, F.repeat(F.lit(_MARK), F.length(step["hit"]))), step["hit"], F.lit(""))))
+    return F.when(text.rlike(pattern), F.array_join(parts, "")).otherwise(text)
+
+
 def _upper_tail(z: Column) -> Column:
     """Share of the normal distribution above ``z``."""
     return 1 / (1 + F.exp(1.5976 * z + 0.07056 * z * z * z))
@@ -114,15 +152,25 @@ def _battery(run: Column, alphabet: str) -> Column:
     return F.when(p > 10**-_LOG_P, -F.log10(p)).otherwise(F.lit(_LOG_P))
 
 
-def _tested(text: Column, base: Column) -> Column:
-    """``start, end, alphabet, band, value`` of the runs outside the base spans; bare numbers are no runs."""
-    spans = _matches(text, CANDIDATE)
-    clear = F.filter(spans, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    runs = F.transform(clear, lambda s: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"),
-        F.substring(text, s["start"] + 1, s["end"] - s["start"]).alias("run"),
-    ))
-    mixed = F.filter(runs, lambda s: s["run"].rlike("[0-9]") & s["run"].rlike("[A-Za-z]"))
+def _tested(text: Column) -> Column:
+    """``start, end, alphabet, band, value`` of the runs outside the base spans; bare numbers are no runs.
+
+    Characters of base spans are marked and the marks are part of a run, so a run that a
+    base span touches holds a mark.  Spans begin with characters of a run, and what follows
+    one is none or makes it longer, so no run is lost that only stands beside a span.
+    """
+    marked = F.translate(text, _MARK, _NO_MARK)
+    for pattern, at_least in ((ASSIGN, ASSIGN_CHARS), (ACCESS, 0), (HEX, 0)):
+        marked = _marked(marked, pattern, at_least)
+    return _bound(marked, _runs)
+
+
+def _runs(marked: Column) -> Column:
+    pattern = CANDIDATE.replace("[", f"[{_MARK}")
+    hits = F.regexp_extract_all(marked, F.lit(pattern), F.lit(0))
+    runs = F.zip_with(_matches(marked, pattern), hits, lambda s, run: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"), run.alias("run")))
+    mixed = F.filter(runs, lambda s: ~s["run"].contains(_MARK) & s["run"].rlike("[0-9]") & s["run"].rlike("[A-Za-z]"))
 
     def judged(s):
         run = s["run"]
@@ -174,7 +222,7 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None) ->
         _ranked(_matches(body, ASSIGN, ASSIGN_CHARS), 0), _ranked(_matches(body, ACCESS), 1),
         _ranked(_matches(body, HEX), 2),
     ]
-    found = docs.withColumn(base, F.concat(*parts)).withColumn(runs, _tested(body, F.col(base)))
+    found = docs.withColumn(base, F.concat(*parts)).withColumn(runs, _tested(body))
     found = stored(found.select(*[F.col(f"`{name}`") for name in keep], base, runs), "secrets")
     cuts = {(r.alphabet, r.band): r.cut for r in thresholds(found.select(F.inline(runs))).collect()}
     return found.withColumn("secrets", _named(F.col(base), F.col(runs), cuts)).drop(base, runs)
@@ -199,18 +247,32 @@ def _named(base: Column, runs: Column, cuts: dict) -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text", secrets: str = "secrets") -> DataFrame:
-    """Replace each secret in ``text`` by ``[kind]``; overlapping ones become the first one's mark."""
+    """Replace each secret in ``text`` by ``[kind]``; overlapping ones become the first one's mark.
+
+    The secrets of a text are cut out in chunks, each from its own piece of the text, so
+    that neither what is done nor what is left is copied for every secret.
+    """
     body = F.col(f"`{text}`")
 
-    def cut(state, s):
-        new = s["start"] >= state["at"]
-        piece = F.concat(F.substring(body, state["at"] + 1, s["start"] - state["at"]), F.lit("["), s["kind"], F.lit("]"))
-        return F.struct(
-            F.greatest(state["at"], s["end"]).alias("at"),
-            F.when(new, F.concat(state["out"], piece)).otherwise(state["out"]).alias("out"),
-        )
+    def cut_chunk(state, chunk):
+        begin = state["at"]
+        end = F.greatest(begin, F.array_max(F.transform(chunk, lambda s: s["end"])))
+
+        def within(piece):
+            def cut(inner, s):
+                before = F.substring(piece, inner["at"] - begin + 1, s["start"] - inner["at"])
+                marked = F.concat(inner["out"], before, F.lit("["), s["kind"], F.lit("]"))
+                return F.struct(
+                    F.greatest(inner["at"], s["end"]).alias("at"),
+                    F.when(s["start"] >= inner["at"], marked).otherwise(inner["out"]).alias("out"))
+
+            return F.aggregate(chunk, F.struct(begin.alias("at"), F.lit("").alias("out")), cut)
+
+        done = _bound(F.substring(body, begin + 1, end - begin), within)
+        return _bound(done, lambda d: F.struct(
+            d["at"].alias("at"), F.concat(state["out"], F.array(d["out"])).alias("out")))
 
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(F.col(secrets), zero, cut, lambda s: F.concat(
-        s["out"], F.substring(body, s["at"] + 1, F.length(body))))
-    return docs.withColumn(text, F.when(F.size(secrets) > 0, done).otherwise(body)).drop(secrets)
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    clean = F.aggregate(_chunks(F.col(f"`{secrets}`")), zero, cut_chunk, lambda s: F.concat(
+        F.array_join(s["out"], ""), F.substring(body, s["at"] + 1, F.length(body))))
+    return docs.withColumn(text, F.when(F.size(f"`{secrets}`") > 0, clean).otherwise(body)).drop(secrets)
