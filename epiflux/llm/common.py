@@ -89,16 +89,18 @@ def with_verdicts(rows: DataFrame, verdicts: DataFrame, key: str, verdict: str,
 
     Hosts of at least one in ``share`` of all rows number ``share`` at most: their
     verdicts are broadcast and their rows stay where they are.  The others are joined by
-    a shuffle, in which no host holds more than that share.
+    a shuffle, in which no host holds more than that share.  ``verdict`` names a column that
+    ``rows`` does not have.
     """
+    host = fresh(rows, "_host")
     total = verdicts.agg(F.sum("n")).first()[0] or 0
     least = total / share
-    big = F.broadcast(verdicts.filter(F.col("n") >= least).select(F.col("host").alias("_host"), verdict))
-    small = verdicts.filter(F.col("n") < least).select(F.col("host").alias("_host"), verdict)
-    same = rows[key] == F.col("_host")
-    here = rows.join(big, same, "inner").drop("_host")
-    rest = rows.join(big.select("_host"), same, "left_anti")
+    big = F.broadcast(verdicts.filter(F.col("n") >= least).select(F.col("host").alias(host), verdict))
+    small = verdicts.filter(F.col("n") < least).select(F.col("host").alias(host), verdict)
+    same = rows[key] == F.col(host)
+    here = rows.join(big, same, "inner").drop(host)
+    rest = rows.join(big.select(host), same, "left_anti")
     known = rest.filter(F.col(f"`{key}`").isNotNull())
     unknown = rest.filter(F.col(f"`{key}`").isNull()).withColumn(verdict, F.lit(None).cast("boolean"))
-    there = known.join(small, known[key] == F.col("_host"), "left").drop("_host")
+    there = known.join(small, known[key] == F.col(host), "left").drop(host)
     return here.unionByName(there).unionByName(unknown)

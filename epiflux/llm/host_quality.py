@@ -83,7 +83,9 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", keep: list[
 
     ``keep`` names the columns of ``docs`` to return, ``host`` among them (all by default).
     Texts are read once; the rest works on a written table of ``keep`` and numbers.  A
-    document without a host is judged by itself.
+    document without a host is judged by itself.  Repeated rows are judged and counted one
+    by one; a rate equal to the limit is not above it.  Columns of the result that clash with
+    columns of ``docs`` replace them, but for ``host``, which must not be one of them.
     """
     keep = docs.columns if keep is None else keep
     found = measured(docs, text).select(
@@ -101,5 +103,6 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", keep: list[
     mean = (F.col("k") + rate * strength) / (F.col("n") + strength)
     spread = F.sqrt(mean * (1 - mean) / (F.col("n") + strength + 1))
     verdicts = hosts.select("host", "n", (mean - SIGMAS * spread > LIMIT).alias("bad"))
-    bad = with_verdicts(found, verdicts, host, "bad")
-    return bad.withColumn("kept", ~F.col("base_failed") & ~F.coalesce("bad", F.lit(False))).drop("bad")
+    bad = fresh(found, "bad")
+    judged = with_verdicts(found, verdicts.withColumnRenamed("bad", bad), host, bad)
+    return judged.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col(bad), F.lit(False))).drop(bad)
