@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epiflux.llm.common import beta_strength, with_verdicts
+from epiflux.llm.common import beta_strength, fresh, with_verdicts
 from epiflux.session import stored
 
 #: Share of bad pages above which a host is blocked.
@@ -93,18 +93,23 @@ def judge(pages: DataFrame, rules: dict[str, str], url: str = "url", bad: str |
 
     ``rules`` maps a rule to ``allow`` or ``block``.  ``bad`` names a column of labelled
     outcomes (1 bad, 0 good, NULL unlabelled).  A NULL url, or one without ``://``, has an
-    empty host and path, fits no rule and is judged like any other host.
+    empty host and path, fits no rule and is judged like any other host.  Repeated rows count one
+    by one; an estimate equal to the limit allows.  Columns of the result that clash with columns
+    of ``pages`` replace them, also where ``url`` or ``bad`` is one of them.
     """
+    outcome = fresh(pages, "outcome")
     address = F.col(f"`{url}`")
+    pages = pages.withColumn(outcome, F.col(f"`{bad}`").cast("int") if bad else F.lit(None).cast("int"))
     pages = pages.withColumns({"host": host_of(address), "path": path_of(address)})
     pages = pages.withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     hosts = stored(pages.groupBy("host").agg(F.count(F.lit(1)).alias("n")), "hosts")
-    labelled = pages.filter(F.col(bad).isNotNull()).select("host", F.col(bad).alias("bad")) if bad else (
-        pages.limit(0).select("host", F.lit(0).alias("bad")))
+    labelled = pages.filter(F.col(outcome).isNotNull()).select("host", F.col(outcome).alias("bad"))
+    pages = pages.drop(outcome)
     verdicts = stored(reputation(labelled, hosts), "host-verdicts")
     ruled = F.lit(None).cast("string")
     for rule, verdict in rules.items():
         ruled = F.when(F.col("rule") == rule, F.lit(verdict)).otherwise(ruled)
-    found = with_verdicts(pages, verdicts, "host", "blocked")
+    blocked = fresh(pages, "blocked")
+    found = with_verdicts(pages, verdicts.withColumnRenamed("blocked", blocked), "host", blocked)
     return found.withColumn(
-        "verdict", F.coalesce(ruled, F.when(F.col("blocked"), "block").otherwise("allow"))).drop("blocked")
+        "verdict", F.coalesce(ruled, F.when(F.col(blocked), "block").otherwise("allow"))).drop(blocked)

@@ -286,6 +286,43 @@ def test_random_strings_are_secrets_and_text_is_not(spark):
     assert sum(bool(row.secrets) for row in got if not row.base) == 0
 
 
+def test_runs_beside_and_inside_base_spans(spark):
+    rng = random.Random(5)
+    parts = [
+        "Ab3" * 9, "password=", "AKIA0123456789ABCD", "PASSWORD=abcdefghijkl", "0123456789abcde", "apikey: ", "Zz9_" * 6, "deadbeef" * 3,
+        " ", ".", "\"", "\n", "\ue000", "é", "secret='x.y.z'", "token=abcdefghijkl.", "1234567890" * 3,
+    ]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 9)))) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = docs.select("doc_id", secret_scan._tested(F.col("text")).alias("runs"))
+    texts, n = dict(rows), 0
+    for row in found.collect():
+        base = base_spans(texts[row.doc_id])
+        want = [
+            m.span() for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", texts[row.doc_id])
+            if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])
+            and not any(a < m.end() and m.start() < b for _, a, b in base)
+        ]
+        assert [(run.start, run.end) for run in row.runs] == want
+        n += len(want)
+    assert n > 200
+
+
+def test_text_of_many_secrets(spark):
+    text = "".join(f"é{i} {'0123456789abcdef' if i % 3 else 'token=abcdefghijkl'}{i % 7}, " for i in range(40_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    scanned = secret_scan.scan(docs)
+    (row,) = scanned.collect()
+    base = base_spans(text)
+    assert len(base) >= 40_000 and [tuple(s) for s in row.secrets if s.kind != "random"] == base
+    at, out = 0, []
+    for kind, start, end in map(tuple, row.secrets):
+        if start >= at:
+            out.append(f"{text[at:start]}[{kind}]")
+        at = max(at, end)
+    assert secret_scan.redact(scanned).first().text == "".join(out) + text[at:]
+
+
 def test_redaction(spark, empty):
     docs = spark.createDataFrame([(1, "é token=abcdefghijkl0123 x"), (2, "clean"), (3, None)], "doc_id long, text string")
     got = secret_scan.redact(secret_scan.scan(docs)).orderBy("doc_id").collect()
@@ -327,6 +364,9 @@ def test_bad_hosts_lose_their_documents(spark, empty):
     for key, text, source in rows:
         assert got[key].kept == (text == good and source != "bad.example")
     assert host_quality.judge(empty).count() == 0
+    clashing = docs.withColumns({"bad": F.lit("mine"), "_host": F.lit("too"), "n_words": F.lit("gone"), "kept": F.lit("gone")})
+    again = host_quality.judge(clashing, keep=["doc_id", "source", "bad", "_host"]).collect()
+    assert {(row.doc_id, row.bad, row._host, row.kept) for row in again} == {(k, "mine", "too", got[k].kept) for k in got}
 
 
 # ---- personal data
@@ -416,6 +456,10 @@ def test_url_reputation(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, bad int")
     blocked = {row.host for row in url_filter.judge(pages, {}, bad="bad").filter("verdict = 'block'").collect()}
     assert blocked == {"spam.example.com"}
+    clashing = pages.withColumns({"blocked": F.lit("mine"), "_host": F.lit("too"), "verdict": F.lit("gone")})
+    judged = url_filter.judge(clashing.withColumnRenamed("bad", "rule"), {}, bad="rule").collect()
+    assert {row.host for row in judged if row.verdict == "block"} == {"spam.example.com"}
+    assert {(row.blocked, row._host) for row in judged} == {("mine", "too")} and len(judged) == len(rows)
 
 
 # ---- helpers and the pipeline
