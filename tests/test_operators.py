@@ -233,8 +233,10 @@ def test_ngram_match_equals_brute_force(spark):
     def grams(w):
         return {w} if len(w) < 2 else {w[i : i + 2] for i in range(len(w) - 1)}
 
-    for threshold in (0.3, 0.5, 0.8):
-        got = {r.pattern: (r.choice, r.score) for r in matching.ngram_best_match(patterns, "p", choices, "c", 2, threshold).collect()}
+    # the last one cuts every gram of more than two rows into parts
+    for threshold, hot_rows in ((0.3, 100), (0.5, 100), (0.8, 100), (0.5, 2)):
+        found = matching.ngram_best_match(patterns, "p", choices, "c", 2, threshold, hot_rows)
+        got = {r.pattern: (r.choice, r.score) for r in found.collect()}
         for p in set(words[:60]):
             scored = [
                 (-len(grams(p) & grams(c)) / math.sqrt(len(grams(p)) * len(grams(c))), c) for c in set(words[60:])
