@@ -48,7 +48,7 @@ RATE = 0.01
 _LOG_P = 12.0
 _STEP = 4  # bins of the p-values per power of ten
 
-_SPANS = "array<struct<start:int,end:int>>"
+_SPANS, _RUNS = "array<struct<start:int,end:int>>", "array<struct<start:int,end:int,run:string>>"
 #: Matches that are added up at once.
 _CHUNK = 256
 #: Stands for the characters of base spans where runs are looked for; a text's own marks become
@@ -57,12 +57,18 @@ _MARK, _NO_MARK = "\ue000", "\ue001"
 
 
 def _steps(text: Column, pattern: str, value_group: int = 0) -> Column:
-    """``gap, hit, value`` of the matches in order, and of the rest of the text, where ``hit`` is NULL."""
-    return F.arrays_zip(
-        F.split(text, pattern, -1).alias("gap"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(value_group)).alias("value"),
-    )
+    """``gap, hit`` of the matches in order, and of the rest of the text, where ``hit`` is NULL.
+
+    With ``value_group`` also that group, as ``value``.
+    """
+    hits = {"hit": 0, "value": value_group} if value_group else {"hit": 0}
+    return F.arrays_zip(F.split(text, pattern, -1).alias("gap"), *[
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias(name) for name, group in hits.items()])
+
+
+def _good(step: Column, at_least: int) -> Column:
+    """Whether a step ends in a match, with ``at_least`` in one whose value is so long."""
+    return F.length(step["value"]) >= at_least if at_least else step["hit"].isNotNull()
 
 
 def _chunks(values: Column) -> Column:
@@ -76,38 +82,40 @@ def _bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _matches(text: Column, pattern: str, at_least: int = 0) -> Column:
+def _matches(text: Column, pattern: str, at_least: int = 0, with_hit: bool = False) -> Column:
     """Spans, in code points, of all matches; with ``at_least``, of those whose group 2 is so long.
 
+    ``with_hit`` adds what matched, as ``run``.
+
     The matches are added up in chunks, since an array that grows by one is copied each
     time: the work for n matches is about n times the chunk, not n times n.
     """
+    kind = _RUNS if with_hit else _SPANS
+
     def add(state, step):
         start = state["at"] + F.length(step["gap"])
         end = start + F.coalesce(F.length(step["hit"]), F.lit(0))
-        good = step["hit"].isNotNull() & (F.length(step["value"]) >= at_least)
-        span = F.struct(start.alias("start"), end.alias("end"))
-        return F.struct(
-            end.alias("at"), F.when(good, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out")
-        )
+        span = F.struct(start.alias("start"), end.alias("end"), *([step["hit"].alias("run")] if with_hit else []))
+        out = F.when(_good(step, at_least), F.concat(state["out"], F.array(span).cast(kind))).otherwise(state["out"])
+        return F.struct(end.alias("at"), out.alias("out"))
 
     def add_chunk(state, chunk):
-        zero = F.struct(state["at"].alias("at"), F.array().cast(_SPANS).alias("out"))
+        zero = F.struct(state["at"].alias("at"), F.array().cast(kind).alias("out"))
         return _bound(F.aggregate(chunk, zero, add), lambda done: F.struct(
             done["at"].alias("at"), F.concat(state["out"], F.array(done["out"])).alias("out")))
 
     def spans(steps):
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPANS}>").alias("out"))
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
         return F.aggregate(_chunks(steps), zero, add_chunk, lambda state: F.flatten(state["out"]))
 
     found = _bound(_steps(text, pattern, 2 if at_least else 0), spans)
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(_SPANS))
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(kind))
 
 
 def _marked(text: Column, pattern: str, at_least: int = 0) -> Column:
     """The text with ``_MARK`` for every character of the matches that ``_matches`` finds."""
     parts = F.transform(_steps(text, pattern, 2 if at_least else 0), lambda step: F.concat(step["gap"], F.coalesce(
-        F.when(F.length(step["value"]) >= at_least, F.repeat(F.lit(_MARK), F.length(step["hit"]))), step["hit"], F.lit(""))))
+        F.when(_good(step, at_least), F.repeat(F.lit(_MARK), F.length(step["hit"]))), step["hit"], F.lit(""))))
     return F.when(text.rlike(pattern), F.array_join(parts, "")).otherwise(text)
 
 
@@ -161,15 +169,12 @@ def _tested(text: Column) -> Column:
     """
     marked = F.translate(text, _MARK, _NO_MARK)
     for pattern, at_least in ((ASSIGN, ASSIGN_CHARS), (ACCESS, 0), (HEX, 0)):
-        marked = _marked(marked, pattern, at_least)
+        marked = _bound(marked, lambda body: _marked(body, pattern, at_least))
     return _bound(marked, _runs)
 
 
 def _runs(marked: Column) -> Column:
-    pattern = CANDIDATE.replace("[", f"[{_MARK}")
-    hits = F.regexp_extract_all(marked, F.lit(pattern), F.lit(0))
-    runs = F.zip_with(_matches(marked, pattern), hits, lambda s, run: F.struct(
-        s["start"].alias("start"), s["end"].alias("end"), run.alias("run")))
+    runs = _matches(marked, CANDIDATE.replace("[", f"[{_MARK}"), with_hit=True)
     mixed = F.filter(runs, lambda s: ~s["run"].contains(_MARK) & s["run"].rlike("[0-9]") & s["run"].rlike("[A-Za-z]"))
 
     def judged(s):
