@@ -160,6 +160,50 @@ def op8_host_quality(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+ORACLES["op8_host_quality"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS id, doc_id, source, coalesce(text, '') AS text,
+         coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w
+  FROM documents
+), lines AS (
+  SELECT id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT id, unnest(string_split(text, chr(10))) AS line FROM docs)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY id
+), windows AS (
+  SELECT id, i, count(*) OVER (PARTITION BY id, w[i], w[i + 1], w[i + 2]) AS times
+  FROM docs, unnest(range(1, len(w) - 1)) AS t(i)
+), repeats AS (
+  SELECT id, count(DISTINCT i + k) AS n_repeat_words FROM windows, unnest(range(0, 3)) AS t(k) WHERE times > 1 GROUP BY id
+), measures AS (
+  SELECT id, doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines,
+         coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM docs LEFT JOIN lines USING (id) LEFT JOIN repeats USING (id)
+), judged AS (
+  SELECT *, base_failed OR 10 * n_symbols > 3 * n_words OR 100 * n_dup_lines > 50 * n_lines AS failed
+  FROM (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measures)
+), hosts AS (
+  SELECT source, count(*) AS n, count(*) FILTER (failed) AS k FROM judged WHERE source IS NOT NULL GROUP BY source
+), moments AS (
+  SELECT sum(k) / sum(n) AS rate, sum(n) - sum(n * n) / sum(n) AS free,
+         sum(k * k / n) - sum(n) * (sum(k) / sum(n)) ** 2
+           - (count(*) - 1) * (sum(k) / sum(n)) * (1 - sum(k) / sum(n)) AS excess
+  FROM hosts
+), prior AS (
+  SELECT rate, CASE WHEN free > 0 AND excess / free > 0
+                    THEN least(10000.0, greatest(2.0, rate * (1 - rate) / (excess / free) - 1)) ELSE 10000.0 END AS s
+  FROM moments
+), verdicts AS (
+  SELECT source, m - 2 * sqrt(m * (1 - m) / (n + s + 1)) > 0.5 AS bad
+  FROM (SELECT source, n, s, (k + rate * s) / (n + s) AS m FROM hosts, prior)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce(bad, false) AS kept
+FROM judged LEFT JOIN verdicts USING (source)
+"""
+
+
 URL_RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
 
@@ -233,7 +277,7 @@ FROM ruled JOIN post USING (host)
 @_query
 def op9_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
     """The key of the query is public, so its surrogates hide nothing; a run of one's own takes a secret one."""
-    found = pii.replace(table(spark, folder, "documents", "doc_id", "text"), key="op9")
+    found = pii.replace_checked(table(spark, folder, "documents", "doc_id", "text"), key="op9")
     return found.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), "entities")
 
 
