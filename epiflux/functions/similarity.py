@@ -1,13 +1,9 @@
-"""String similarity: edit-distance ratio on the JVM, matching-blocks ratio in Arrow batches."""
+"""String similarity as column expressions: edit-distance ratio and matching-blocks ratio."""
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def edit_ratio(left: Column, right: Column) -> Column:
@@ -31,40 +27,78 @@ def best_by_edit_ratio(pattern: Column, choices: Column) -> Column:
     )
 
 
-def block_ratio(left: str, right: str) -> int:
-    """Share of characters in matching blocks, as a whole percentage."""
-    if not left or not right:
-        return 0
-    return int(round(100 * SequenceMatcher(None, left, right, autojunk=False).ratio()))
+def _named(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _split_at_block(piece: Column) -> Column:
+    """Size of the longest common block of ``piece.l`` and ``piece.r``, and the pieces on both sides of it.
+
+    Among blocks of that size the first on the left counts, and its first place on the right.
+    """
+    left, right = piece["l"], piece["r"]
+
+    def reach(start: Column) -> Column:
+        # a block is on the right if any longer one from the same start is
+        sizes = F.sequence(F.lit(1), F.length(left) - start + 1)
+        fits = F.filter(sizes, lambda size: F.instr(right, F.substring(left, start, size)) > 0)
+        return F.struct(F.size(fits).alias("size"), (-start).alias("back"))
+
+    def around(block: Column) -> Column:
+        start, size = -block["back"], block["size"]
+        at = F.instr(right, F.substring(left, start, size))
+
+        def pair(l: Column, r: Column) -> Column:
+            return F.struct(l.alias("l"), r.alias("r"))
 
+        sides = F.array(
+            pair(F.substring(left, F.lit(1), start - 1), F.substring(right, F.lit(1), at - 1)),
+            pair(F.substring(left, start + size, F.length(left)), F.substring(right, at + size, F.length(right))),
+        )
+        whole = F.filter(sides, lambda side: (size > 0) & (side["l"] != "") & (side["r"] != ""))
+        return F.struct(size.alias("size"), whole.alias("rest"))
+
+    return _named(F.array_max(F.transform(F.sequence(F.lit(1), F.length(left)), reach)), around)
+
+
+def matched_characters(left: Column, right: Column) -> Column:
+    """How many characters are in matching blocks: the longest block, then those before and after it."""
+    rounds = F.sequence(F.lit(1), F.greatest(F.least(F.length(left), F.length(right)), F.lit(1)))
+    both = F.filter(F.array(F.struct(left.alias("l"), right.alias("r"))), lambda piece: (piece["l"] != "") & (piece["r"] != ""))
 
-_BEST = T.StructType([T.StructField("score", T.IntegerType()), T.StructField("choice", T.StringType())])
+    def step(state: Column, _: Column) -> Column:
+        def add(found: Column) -> Column:
+            sizes = F.aggregate(F.transform(found, lambda block: block["size"]), F.lit(0), lambda s, size: s + size)
+            rest = F.flatten(F.transform(found, lambda block: block["rest"]))
+            return F.struct((state["matched"] + sizes).alias("matched"), rest.alias("open"))
 
+        return _named(F.transform(state["open"], _split_at_block), add)
 
-@F.pandas_udf(_BEST)
-def _best_block_ratio(patterns: pd.Series, choice_lists: pd.Series) -> pd.DataFrame:
-    scores, picks = [], []
-    for pattern, choices in zip(patterns, choice_lists):
-        ranked = [(-block_ratio(pattern, choice), choice) for choice in choices] if choices is not None else []
-        loss, pick = min(ranked) if ranked and pattern is not None else (None, None)
-        scores.append(None if loss is None else -loss)
-        picks.append(pick)
-    return pd.DataFrame({"score": pd.array(scores, dtype="Int32"), "choice": pd.array(picks, dtype="object")})
+    start = F.struct(F.lit(0).alias("matched"), both.alias("open"))
+    return F.aggregate(rounds, start, step, lambda state: state["matched"])
+
+
+def block_ratio(left: Column, right: Column) -> Column:
+    """Share of characters in matching blocks, as a whole percentage, halves to even; 0 where a text is empty."""
+    total = F.length(left) + F.length(right)
+    return F.when(total > 0, F.bround(100.0 * (2.0 * matched_characters(left, right) / total))).otherwise(
+        F.when(total == 0, 0.0)).cast("int")
 
 
 def best_by_block_ratio(pattern: Column, choices: Column, above: int) -> Column:
-    """Best matching-blocks score of an array of choices, for scores greater than ``above``.
+    """Best ``struct(score, choice)`` of an array by matching blocks, for scores greater than ``above``.
 
-    A choice whose length alone keeps the ratio at or below ``above`` cannot win,
-    so it is dropped on the JVM before the batch goes to Python.  The bound is
-    exact: matched characters never exceed the shorter text.
+    Scores up to ``above`` may give NULL fields; ties go to the alphabetically first choice.
+    Matched characters number at most ``(lengths - edit distance) / 2``, so most choices are
+    dropped by their edit distance before any block is looked for.  The bound is exact.
     """
+    total = lambda choice: F.length(pattern) + F.length(choice)
     plausible = F.filter(
-        choices,
-        lambda choice: 200.0 * F.least(F.length(pattern), F.length(choice))
-        / (F.length(pattern) + F.length(choice)) > F.lit(above),
-    )
-    return _best_block_ratio(pattern, plausible)
+        choices, lambda choice: 100.0 * (total(choice) - F.levenshtein(pattern, choice)) >= (above + 0.49) * total(choice))
+    scored = F.transform(
+        plausible, lambda choice: F.struct((-block_ratio(pattern, choice)).alias("loss"), choice.alias("choice")))
+    return _named(F.array_min(scored), lambda best: F.struct((-best["loss"]).alias("score"), best["choice"].alias("choice")))
 
 
 def char_ngrams(text: Column, n: int) -> Column:

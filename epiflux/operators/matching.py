@@ -31,8 +31,7 @@ def fuzzy_states(tokens: DataFrame, states: DataFrame, above: int = 75, by: str
 
     ``tokens`` has ``country_code`` and ``token``.  The states of a country travel
     as one array, so each token stays one row: no token-state pairs are made.
-    ``by`` is ``blocks`` (matching blocks, Arrow batches) or ``edits`` (edit
-    distance, JVM only).  Scores up to ``above`` give NULL.
+    ``by`` is ``blocks`` (matching blocks) or ``edits`` (edit distance).  Scores up to ``above`` give NULL.
     """
     joined = lookup(tokens, states_by_country(states), "country_code")
     if by == "edits":

@@ -98,3 +98,25 @@ def tokens_sql(text: str) -> str:
 def joined(values: str | Column) -> Column:
     """Array as text, for results that are compared by value."""
     return F.array_join(values, "|")
+
+
+_BLOCK_SQL = """
+list_max(list_transform(range(1, length(l) + 1), lambda i: {
+  'k': len(list_filter(range(1, length(l) - i + 2), lambda k: contains(r, substr(l, i, k)))), 'i': -i}))
+"""
+
+#: ``ratios (p, c, score)`` of the texts in ``compared (p, c)`` by matching blocks; needs WITH RECURSIVE.
+RATIOS_SQL = f"""
+pieces AS (
+  SELECT p, c, l, r, {_BLOCK_SQL} AS block FROM (SELECT p, c, p AS l, c AS r FROM compared)
+  UNION ALL
+  SELECT p, c, l, r, {_BLOCK_SQL} AS block FROM (
+    SELECT p, c, unnest([substr(l, 1, CAST(-block.i - 1 AS BIGINT)), substr(l, CAST(block.k - block.i AS BIGINT))]) AS l,
+           unnest([substr(r, 1, strpos(r, substr(l, -block.i, block.k)) - 1),
+                   substr(r, strpos(r, substr(l, -block.i, block.k)) + block.k)]) AS r
+    FROM pieces WHERE block.k > 0)
+  WHERE l <> '' AND r <> ''),
+ratios AS (
+  SELECT p, c, CAST(round_even(100 * (2.0::DOUBLE * sum(block.k) / (length(p) + length(c))), 0) AS INTEGER) AS score
+  FROM pieces GROUP BY p, c)
+"""

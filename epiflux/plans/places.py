@@ -10,7 +10,7 @@ from epiflux.functions.fixed_values import (
 )
 from epiflux.functions.places import code_flag
 from epiflux.operators import places
-from epiflux.plans.bindings import joined
+from epiflux.plans.bindings import RATIOS_SQL, joined
 from epiflux.plans.registry import query, sql_list, sql_rows, sql_text
 from epiflux.session import stored
 from epiflux.sources.tables import table
@@ -315,10 +315,12 @@ def country_resolve(spark, folder):
 # every name against every entry, without any of the lookups of the operator
 MATCH_SQL = f"""
 {RESOLVE_SQL},
-likeness AS (
-  SELECT token, upper(admin1_code) AS code, floor(100.0 * (greatest(length(token), length(asciiname)) - levenshtein(token, lower(asciiname)))
-         / greatest(length(token), length(asciiname)) + 0.5) AS score, asciiname
+divisions AS (
+  SELECT token, upper(admin1_code) AS code, lower(asciiname) AS c, asciiname
   FROM resolved JOIN gaz ON gaz.country_code = resolved.country_code AND feature_code = 'ADM1'),
+compared AS (SELECT DISTINCT token AS p, c FROM divisions WHERE token <> '' AND c <> ''),
+{RATIOS_SQL},
+likeness AS (SELECT token, code, score, asciiname FROM divisions JOIN ratios ON token = p AND divisions.c = ratios.c),
 state AS (
   SELECT token, coalesce((SELECT arg_min(code, (-score, lower(asciiname))) FROM likeness AS l WHERE l.token = tokens.token AND score > 75),
                          upper(token)) AS state_code FROM tokens),
@@ -333,7 +335,7 @@ mapped AS (
   SELECT names.place_norm, city, token, geonameid
   FROM names LEFT JOIN (SELECT * FROM pairs WHERE rn = 1) AS p ON names.place_norm = p.place_norm)
 """
-_ALL_SQL = f"WITH {GAZETTEER_SQL}, {COUNTRIES_SQL}, {NORMALIZE_SQL}, {SPLIT_SQL}, {MATCH_SQL}"
+_ALL_SQL = f"WITH RECURSIVE {GAZETTEER_SQL}, {COUNTRIES_SQL}, {NORMALIZE_SQL}, {SPLIT_SQL}, {MATCH_SQL}"
 
 
 def _mapped(spark, folder, gaz, norm):

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from epiflux.operators import matching, places, relational, rt, statistics
-from epiflux.plans.bindings import joined
+from epiflux.plans.bindings import RATIOS_SQL, joined
 from epiflux.plans.registry import query
 from epiflux.session import scratch
 from epiflux.sources import readers, sinks
@@ -458,7 +458,21 @@ def _states(spark, folder):
     )
 
 
-@query("fuzzy_state_match")
+@query(
+    "fuzzy_state_match",
+    f"""
+    WITH RECURSIVE {_TOKENS_SQL},
+    compared AS (SELECT DISTINCT token AS p, lower(n_name) AS c FROM tokens JOIN nation ON country_code = n_regionkey),
+    {RATIOS_SQL},
+    best AS (
+      SELECT s_suppkey, country_code, token, c AS state, 'N' || n_nationkey AS code, score,
+             row_number() OVER (PARTITION BY s_suppkey ORDER BY score DESC, c) AS rn
+      FROM tokens JOIN nation ON country_code = n_regionkey JOIN ratios ON token = p AND lower(n_name) = c)
+    SELECT s_suppkey, country_code, token, CASE WHEN score > 75 THEN score END AS score,
+           CASE WHEN score > 75 THEN state END AS state_name, CASE WHEN score > 75 THEN code END AS state_code
+    FROM best WHERE rn = 1
+    """,
+)
 def fuzzy_state_match(spark, folder):
     return matching.fuzzy_states(_state_tokens(spark, folder), _states(spark, folder))
 

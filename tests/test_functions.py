@@ -1,6 +1,8 @@
 """Column functions on literal edge cases."""
 
 import datetime
+import random
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,10 +111,23 @@ def test_places(spark):
     assert apply(spark, ["a@b#c:d|e//f", "12"], places.fold_for_geocoder("x")) == ["abcdef", ""]
 
 
-def test_block_ratio():
-    assert similarity.block_ratio("california", "California".lower()) == 100
-    assert similarity.block_ratio("california", "California") == 90
-    assert similarity.block_ratio("", "x") == 0
+def plain_ratio(left, right):
+    if not left or not right:
+        return 0
+    return int(round(100 * SequenceMatcher(None, left, right, autojunk=False).ratio()))
+
+
+def test_block_ratio(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcé🙂") for _ in range(rng.randint(0, 12)))
+    pairs = [("california", "california"), ("california", "California"), ("", "x"), ("", ""), ("ab" * 15, "ba" * 15)]
+    pairs += [(word(), word()) for _ in range(300)]
+    rows = spark.createDataFrame([*pairs, (None, "x"), ("x", None)], "l string, r string")
+    got = rows.select("l", "r", similarity.block_ratio(F.col("l"), F.col("r")).alias("score")).collect()
+    for row in got:
+        want = None if None in (row.l, row.r) else plain_ratio(row.l, row.r)
+        assert row.score == want, row
+    assert [row.score for row in got[:3]] == [100, 90, 0]
 
 
 @pytest.mark.parametrize("above", [0, 50, 75, 90])
@@ -124,7 +139,7 @@ def test_best_block_ratio_equals_brute_force(spark, above):
     best = similarity.best_by_block_ratio(F.col("p"), F.col("c"), above)
     got = {r.p: (r.b.score, r.b.choice) for r in rows.select("p", best.alias("b")).collect()}
     for p in patterns:
-        loss, choice = min((-similarity.block_ratio(p, c), c) for c in choices)
+        loss, choice = min((-plain_ratio(p, c), c) for c in choices)
         if -loss > above:
             assert got[p] == (-loss, choice)
         else:
