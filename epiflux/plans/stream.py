@@ -18,7 +18,7 @@ _DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bi
 
 
 def _documents(spark, folder):
-    return live.file_stream(spark, folder, _DOCUMENTS, "documents.parquet").withColumn(
+    return live.table_stream(spark, folder, "documents", _DOCUMENTS).withColumn(
         "text", F.concat("text", F.expr(DECORATION))
     )
 

@@ -26,6 +26,14 @@ def file_stream(spark: SparkSession, folder: str, schema, pattern: str = "*", fi
     return reader.parquet(folder)
 
 
+def table_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
+    """The parquet files of a named table: one file, or a folder of that name with files in it.
+
+    The name goes in as a pattern, because a stream takes a plain path for a folder only.
+    """
+    return spark.readStream.schema(schema).parquet(f"{folder}/{{{name}.parquet}}")
+
+
 def tracks(text, phrases: list[str]) -> Column:
     """Whether a text holds all words of at least one phrase, in any case and order."""
     def tracked(folded: Column) -> Column:
