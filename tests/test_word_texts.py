@@ -53,6 +53,26 @@ def test_pairs_of_rare_words_are_not_formed(both):
     assert {row.pair for row in pairs} <= set(range(4)) and len(pairs) == 4
 
 
+@pytest.mark.parametrize("cut", [1, 40, 700])
+def test_words_do_not_depend_on_how_texts_are_cut(spark, monkeypatch, cut):
+    texts = spark.createDataFrame(list(enumerate([*ODD, "", None, *ODD[::-1]])), "doc_id long, text string").coalesce(1)
+    want = vectorize.with_terms(texts, F.lower("text")).select("doc_id", "terms").collect()
+    monkeypatch.setattr(vectorize, "_CUT", cut)
+    found = {r.doc_id: r.words for r in texts.select("doc_id", vectorize.word_text(F.lower("text")).alias("words")).collect()}
+    for doc_id, terms in want:
+        assert found[doc_id] == (None if terms is None else " ".join(term for term in terms if " " not in term))
+
+
+@pytest.mark.parametrize("held", [1, 3, 50])
+def test_pairs_do_not_depend_on_how_many_texts_are_held(both, monkeypatch, held):
+    words, _ = both
+    names = [f"w{c}" for c in "abcdefgh"]
+    want = sorted(map(tuple, vectorize.pair_statistics(words, "words", names).collect()))
+    monkeypatch.setattr(vectorize, "_TEXTS", 2)
+    monkeypatch.setattr(vectorize, "_HELD_TEXTS", held)
+    assert len(want) == 49 and sorted(map(tuple, vectorize.pair_statistics(words, "words", names).collect())) == want
+
+
 def test_models_of_words_are_those_of_terms(both):
     words, terms = both
     one, other = (topics.fit_topics(frame, "doc_id", name, k=2, passes=1, min_df=5)
