@@ -3,6 +3,7 @@
 import datetime
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -55,6 +56,17 @@ def test_inference_side_by_side_equals_one_by_one():
     assert np.allclose(found.expected(20).sum(axis=0), np.bincount(np.concatenate(at).astype(int), np.concatenate(n), 20))
 
 
+def test_inference_holds_the_weights_of_terms_once():
+    topics_, cells = 20, 40 * 500
+    weights = np.random.default_rng(3).dirichlet(np.ones(500), topics_)
+    at, n = [np.arange(500)] * 40, [np.ones(500)] * 40
+    tracemalloc.start()
+    Inference(at, n, weights, 0.1, iterations=3, tolerance=0).expected(500)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * topics_ * cells * 8
+
+
 def test_more_iterations_never_lower_the_bound():
     rng = random.Random(5)
     weights = np.random.default_rng(2).dirichlet(np.ones(15), 4)
