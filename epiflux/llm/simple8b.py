@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -162,33 +163,54 @@ class WordTokenizer:
         self.pieces = regex.compile(steps[0]["pattern"]["Regex"]).findall
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in plain]
-        self.marks = {b: chr(256 + i) for i, b in enumerate(others)}  # of bytes without a sign of their own
+        marks = {b: chr(256 + i) for i, b in enumerate(others)}  # of bytes without a sign of their own
+        # signs of the bytes of each character that folds by a table, and what it folds to
+        self.signs = {chr(c): chr(c).encode().decode("latin-1").translate(marks) for c in (*range(33, 127), *range(161, 384))}
+        self.codes = [struct.pack("<I", i) for i in range(self.library.get_vocab_size())]
         self.foldable = regex.compile("[!-~\xa1-\xff]*").fullmatch
         self.limit, self.words = remembered, _Words(self)
 
     def _pieces(self, text: str) -> bytes:
-        ids: list[int] = []
         low = text.lower()
         if self.foldable(text) and not any(token in low for token in self.added):
             # letters alone are one piece
-            for piece in [low] if text.isalpha() else self.pieces(low):
-                if not piece.isascii():
-                    piece = piece.encode().decode("latin-1").translate(self.marks)
-                ids += [token.id for token in self.model.tokenize(piece)]
-        else:
-            ids = self.library.encode(text, add_special_tokens=False).ids
+            if text.isalpha():
+                return self.piece(low)
+            return b"".join(map(self.piece, self.pieces(low)))
+        ids = self.library.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def piece(self, piece: str) -> bytes:
+        """Ids of a folded piece."""
+        if not piece.isascii():
+            piece = "".join(map(self.signs.__getitem__, piece))
+        codes = self.codes
+        return b"".join([codes[token.id] for token in self.model.tokenize(piece)])
+
     def encode(self, text: bytes | None) -> bytes:
         """Ids of a UTF-8 text as little-endian unsigned 32-bit integers; NULL counts as empty."""
+        return self.encode_all(pa.array([text], pa.binary()).cast(pa.string()))[0].tobytes()
+
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a column; NULL counts as empty.
+
+        The words are told apart in Arrow, so each is looked up once for all its places in the column.
+        """
         if len(self.words) > self.limit:
             self.words.turn()
-        if not text:
-            return b""
-        low = text.lower()
-        if any(token.encode() in low for token in self.added):
-            low = text  # letters of an added token must stay as they are
-        return b"".join(map(self.words.__getitem__, low.split()))
+        low = pc.ascii_lower(texts)
+        for token in self.added:
+            # letters of an added token must stay as they are
+            low = pc.if_else(pc.match_substring(texts, token, ignore_case=True), texts, low)
+        lists = pc.ascii_split_whitespace(low)
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        words = lists.flatten().dictionary_encode()
+        found = map(self.words.__getitem__, words.dictionary.cast(pa.binary()).to_pylist())
+        ids = pa.array(found, pa.binary()).take(words.indices)
+        if not len(ids):
+            return [np.zeros(0, "<u4") for _ in sizes]
+        ends = np.frombuffer(ids.buffers()[1], np.int32)[np.cumsum(sizes)] // 4
+        return np.split(np.frombuffer(ids.buffers()[2], "<u4", ends[-1]), ends[:-1])
 
 
 class _Words(dict):
@@ -196,7 +218,7 @@ class _Words(dict):
 
     def __init__(self, tokenizer: WordTokenizer):
         super().__init__()
-        self.tokenize, self.pieces = tokenizer.model.tokenize, tokenizer._pieces
+        self.piece, self.pieces = tokenizer.piece, tokenizer._pieces
         self.last: dict[bytes, bytes] = {}
 
     def turn(self) -> None:
@@ -209,8 +231,7 @@ class _Words(dict):
         if ids is not None:
             pass
         elif word.isalpha():
-            found = self.tokenize(word.decode().lower())
-            ids = struct.pack(f"<{len(found)}I", *[token.id for token in found])
+            ids = self.piece(word.decode().lower())
         elif word[-1:] in b".," and word[-2:-1].isalnum():
             # a full stop or comma after a letter or digit is a piece of its own
             ids = self[word[:-1]] + self[word[-1:]]
@@ -233,13 +254,12 @@ def load_words() -> WordTokenizer:
 
 def encode(docs: DataFrame, end_id: int = 1, load: Callable[[], WordTokenizer] = load_words) -> DataFrame:
     """``doc_id, n_tokens, words, block_words``: the packed ids of each ``doc_id, text``, ``end_id`` last."""
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = kept_by_worker(load)
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            ids = [np.frombuffer(tokenizer.encode(text) + end, "<u4") for text in texts]
+            ids = [np.concatenate([found, end]) for found in tokenizer.encode_all(batch.column(1))]
             words, blocks = pack(ids)
             yield pa.record_batch([
                 batch.column(0), pa.array([len(i) for i in ids], pa.int64()),
