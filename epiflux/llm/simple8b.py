@@ -12,6 +12,7 @@ sizes, and the packed words.  Rows are parquet, so any store that Spark writes w
 
 from __future__ import annotations
 
+import codecs
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -164,26 +165,30 @@ class WordTokenizer:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in plain]
         marks = {b: chr(256 + i) for i, b in enumerate(others)}  # of bytes without a sign of their own
-        # signs of the bytes of each character that folds by a table, and what it folds to
-        self.signs = {chr(c): chr(c).encode().decode("latin-1").translate(marks) for c in (*range(33, 127), *range(161, 384))}
+        self.signs = "".join([marks.get(b, chr(b)) for b in range(256)])  # of each byte
         self.codes = [struct.pack("<I", i) for i in range(self.library.get_vocab_size())]
         self.foldable = regex.compile("[!-~\xa1-\xff]*").fullmatch
         self.limit, self.words = remembered, _Words(self)
 
     def _pieces(self, text: str) -> bytes:
         low = text.lower()
-        if self.foldable(text) and not any(token in low for token in self.added):
-            # letters alone are one piece
+        if self.foldable(text):
+            # letters alone are one piece, and no added token
             if text.isalpha():
                 return self.piece(low)
-            return b"".join(map(self.piece, self.pieces(low)))
+            if not any([token in low for token in self.added]):
+                pieces = self.pieces(low)
+                if len(pieces) == 1:
+                    return self.piece(pieces[0])
+                # a piece has the same ids as a word of its own
+                return b"".join([self.words[piece.encode()] for piece in pieces])
         ids = self.library.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def piece(self, piece: str) -> bytes:
         """Ids of a folded piece."""
         if not piece.isascii():
-            piece = "".join(map(self.signs.__getitem__, piece))
+            piece = codecs.charmap_decode(piece.encode(), "strict", self.signs)[0]
         codes = self.codes
         return b"".join([codes[token.id] for token in self.model.tokenize(piece)])
 
@@ -205,14 +210,21 @@ class WordTokenizer:
         lists = pc.ascii_split_whitespace(low)
         sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
         words = lists.flatten().dictionary_encode()
-        found = map(self.words.__getitem__, words.dictionary.cast(pa.binary()).to_pylist())
-        ids = pa.array(found, pa.binary()).take(words.indices)
-        if not len(ids):
+        if not len(words):
             return [np.zeros(0, "<u4") for _ in sizes]
+        found = map(self.words.__getitem__, _spelt(words.dictionary))
+        ids = pa.array(found, pa.binary()).take(words.indices)
         ends = np.frombuffer(ids.buffers()[1], np.int32)[np.cumsum(sizes)] // 4
         return np.split(np.frombuffer(ids.buffers()[2], "<u4", ends[-1]), ends[:-1])
 
 
+def _spelt(words: pa.Array) -> list[bytes]:
+    """The bytes of each of some words, none of them NULL, cut from their buffer."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset:words.offset + len(words) + 1].tolist()
+    data = words.buffers()[2].to_pybytes()
+    return [data[start:end] for start, end in zip(ends, ends[1:])]
+
+
 class _Words(dict):
     """Ids by word, found when first asked for; words of the last generation are taken over when asked for again."""
 

@@ -30,3 +30,16 @@ def test_each_word_of_a_column_is_looked_up_once():
     words.words = Counted(words)
     words.encode_all(pa.array(["one two one two one"] * 100, pa.string()))
     assert sorted(asked) == [b"one", b"two"]
+
+
+def test_a_piece_of_several_words_is_tokenized_once():
+    words, asked = simple8b.load_words(), []
+
+    class Model:
+        tokenize = staticmethod(lambda piece, model=words.model: asked.append(piece) or model.tokenize(piece))
+
+    words.model = Model
+    texts = ["one### two### ###one two'll###,one", "Ä### ä###one"]
+    want = [words.library.encode(text, add_special_tokens=False).ids for text in texts]
+    assert [ids.tolist() for ids in words.encode_all(pa.array(texts))] == want
+    assert len(asked) == len(set(asked))
