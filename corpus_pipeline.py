@@ -61,7 +61,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids, decoded_sha256`` of every text: its ids, and the digest of what they decode to."""
     in_small_batches(spark)
-    coded = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "text")).drop("text"))
+    coded = byte_bpe.encode_and_decode(docs.select("doc_id", "text"))
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 

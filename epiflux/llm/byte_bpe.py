@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from epiflux.llm.common import fresh
+
 #: Texts longer than this are split into matches piece by piece, not as one list.
 _LONG_TEXT = 1_000_000
 #: Texts of about this many characters are encoded together.
@@ -312,3 +314,25 @@ def decode(
             ], pa.binary())
 
     return docs.withColumn(decoded, token_bytes(F.col(f"`{ids}`")))
+
+
+def encode_and_decode(
+    docs: DataFrame, text: str = "text", ids: str = "ids", decoded: str = "decoded", load: Callable[[], ByteBpe] = load_multi
+) -> DataFrame:
+    """``decode`` of ``encode`` in one pass of Python, so that a task holds one tokenizer in one worker."""
+    both = fresh(docs, "_both")
+
+    @F.arrow_udf("struct<ids: array<int>, decoded: binary>")
+    def there_and_back(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        tokenizer = load()
+        for batch in batches:
+            parts = [np.frombuffer(part, "<i4") for part in tokenizer.encode(batch.to_pylist())]
+            ends = np.cumsum([0, *map(len, parts)])
+            values = pa.array(np.concatenate([np.zeros(0, "<i4"), *parts]), pa.int32())
+            yield pa.StructArray.from_arrays([
+                pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values),
+                pa.array([tokenizer.decode(part.tolist()) for part in parts], pa.binary()),
+            ], ["ids", "decoded"])
+
+    coded = docs.withColumn(both, there_and_back(F.col(f"`{text}`")))
+    return coded.withColumns({ids: F.col(f"{both}.ids"), decoded: F.col(f"{both}.decoded")}).drop(both)

@@ -27,6 +27,8 @@ LEAST_Z = 3.0
 LEAST_ROWS = 5
 #: Length of a bucket's vector.
 FACTORS = 4
+#: Cells of buckets and rows that are laid out at once while pairs are counted.
+_CELLS = 1_000_000
 #: Words whose buckets a task remembers.
 _REMEMBERED = 200_000
 _STEPS, _RATE, _DECAY = 150, 0.1, 2e-3
@@ -109,14 +111,21 @@ def _paired(
     place = np.full(BUCKETS, -1, np.int32)
     place[buckets[order]] = np.arange(k)
     rows = [np.sort(found[found >= 0]) for found in (place[found] for found in terms)]
-    # cells by bucket, each with its row and the place behind it in the row, as 32-bit numbers
     ends = np.cumsum((toxic + clean)[order])
-    free = ends - (toxic + clean)[order]
-    owners, spots = np.empty(ends[-1], np.int32), np.empty(ends[-1], np.int32)
-    for row, found in enumerate(rows):
-        at = free[found]
-        owners[at], spots[at] = row, np.arange(1, len(found) + 1)
-        free[found] += 1
+
+    def laid_out(first: int) -> tuple[int, np.ndarray, np.ndarray]:
+        """Cells of some buckets from ``first``, each with its row and the place behind it in the row; and the bucket after them."""
+        begin = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, begin + _CELLS, side="right")))
+        free = np.concatenate([[0], ends[first:last - 1] - begin])
+        owners, spots = np.empty(ends[last - 1] - begin, np.int32), np.empty(ends[last - 1] - begin, np.int32)
+        for row, found in enumerate(rows):
+            low, high = np.searchsorted(found, (first, last))
+            at = free[found[low:high] - first]
+            owners[at], spots[at] = row, np.arange(low + 1, high + 1)
+            free[found[low:high] - first] += 1
+        return last, owners, spots
+
     marks = labels > 0
     telling = np.zeros(k, bool)
 
@@ -141,9 +150,13 @@ def _paired(
         pairs = pairs[first[chosen]]
         judge(pairs // k, pairs % k, a[chosen], n[chosen] - a[chosen])
 
-    held, size = [], 0
+    held, size, last, begin = [], 0, 0, 0
     for i in range(k):
-        at = slice(ends[i - 1] if i else 0, ends[i])
+        if i == last:
+            begin = ends[i - 1] if i else 0
+            owners = spots = None
+            last, owners, spots = laid_out(i)
+        at = slice((ends[i - 1] if i else 0) - begin, ends[i] - begin)
         mine = marks[owners[at]]
         parts = [rows[row][spot:] for row, spot in zip(owners[at].tolist(), spots[at].tolist())]
         total = sum(map(len, parts))
