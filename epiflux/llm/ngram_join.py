@@ -164,34 +164,46 @@ def _ordered_prefix(shingles: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return np.concatenate([shingles[~frequent], shingles[frequent]])[:prefix_size(len(shingles))]
 
 
-def _keys(classes: DataFrame, docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """``key, rep`` for each prefix shingle of each class, frequent shingles last in the order."""
+def _keys(classes: DataFrame, docs: DataFrame, hot: np.ndarray, hot_counts: np.ndarray) -> DataFrame:
+    """``key, rep, part`` for each prefix shingle of each class, frequent shingles last in the order.
+
+    The rows of a frequent key are dealt into parts.  Each row passes one Python worker, as
+    each further one in a task takes memory of its own.
+    """
+    # a thousand rows of a frequent key to a task
+    parts = np.maximum(1, hot_counts // 1_000)
 
     def frequent(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array([bool(np.isin(np.frombuffer(p, np.uint64), hot).any()) for p in batch.to_pylist()])
 
+    def dealt(reps: np.ndarray, found: list[np.ndarray]) -> pa.RecordBatch:
+        keys = np.concatenate([np.zeros(0, np.uint64), *found])
+        reps = np.repeat(reps, [len(f) for f in found])
+        part = np.zeros(len(keys), np.int32)
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, keys), len(hot) - 1)
+            wide = hot[at] == keys
+            part[wide] = reps[wide] % parts[at[wide]]
+        return pa.record_batch([pa.array(keys.view(np.int64)), pa.array(reps), pa.array(part)], ["key", "rep", "part"])
+
     def exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [np.frombuffer(p, np.uint64) for p in batch.column(1).to_pylist()]
-            sizes = [len(v) for v in values]
-            keys = np.concatenate(values) if values else np.zeros(0, np.uint64)
-            reps = np.repeat(batch.column(0).to_numpy(), sizes)
-            yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(reps)], ["key", "rep"])
+            found = [np.frombuffer(p, np.uint64) for p in batch.column(1).to_pylist()]
+            plain = np.array([not np.isin(f, hot).any() for f in found], bool)
+            yield dealt(batch.column(0).to_numpy()[plain], [f for f, own in zip(found, plain) if own])
 
     def reread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [_ordered_prefix(shingle_set(t.as_py()), hot) for t in batch.column(1)]
-            keys = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            reps = np.repeat(batch.column(0).to_numpy(), [len(f) for f in found])
-            yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(reps)], ["key", "rep"])
+            yield dealt(batch.column(0).to_numpy(), found)
 
-    schema = "key bigint, rep bigint"
+    schema = "key bigint, rep bigint, part int"
+    plain = classes.select("rep", "prefix").mapInArrow(exploded, schema)
     if not len(hot):
-        return classes.select("rep", "prefix").mapInArrow(exploded, schema)
+        return plain
     marked = classes.withColumn("frequent", F.arrow_udf(frequent, "boolean")("prefix"))
     again = stored(marked.filter("frequent").select("rep"), "jaccard-reread")
-    plain = marked.filter("NOT frequent").select("rep", "prefix").mapInArrow(exploded, schema)
     texts = by_ids(docs.select("doc_id", "text"), "doc_id", again, "left_semi").select("doc_id", "text")
     return plain.unionByName(texts.mapInArrow(reread, schema))
 
@@ -199,10 +211,10 @@ def _keys(classes: DataFrame, docs: DataFrame, hot: np.ndarray) -> DataFrame:
 _MEMBERS = "block bigint, rep bigint, pivot bigint"
 
 
-def _blocks(keys: DataFrame, hot: np.ndarray, hot_counts: np.ndarray) -> DataFrame:
+def _blocks(keys: DataFrame, hot: np.ndarray) -> DataFrame:
     """``block, rep, pivot``: classes that share a key, one block for keys of the same classes.
 
-    The rows of a frequent key go to several tasks; such a key, and any other of more
+    The parts of a frequent key go to several tasks; such a key, and any other of more
     than ``BLOCK_CLASSES`` classes, is a block by itself, without a pivot.
     """
 
@@ -254,20 +266,8 @@ def _blocks(keys: DataFrame, hot: np.ndarray, hot_counts: np.ndarray) -> DataFra
         if len(left_keys):
             yield from groups(left_keys, left_reps)
 
-    dealt = F.lit(0)
-    if len(hot):
-        # a thousand rows of a frequent key to a task
-        parts = np.maximum(1, hot_counts // 1_000)
-
-        @F.arrow_udf("int")
-        def part(keys: pa.Array, reps: pa.Array) -> pa.Array:
-            values = keys.to_numpy().view(np.uint64)
-            at = np.minimum(np.searchsorted(hot, values), len(hot) - 1)
-            return pa.array(np.where(hot[at] == values, reps.to_numpy() % parts[at], 0).astype(np.int32))
-
-        dealt = part("key", "rep")
     return (
-        keys.withColumn("part", dealt).repartition("key", "part")
+        keys.repartition("key", "part")
         .sortWithinPartitions("key", "rep").select("key", "rep").mapInArrow(runs, _MEMBERS)
     )
 
@@ -514,7 +514,7 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         ), "jaccard-classes",
     )
     named = classes.filter("rep IS NOT NULL")
-    members = stored(_blocks(_keys(named, docs, hot), hot, counts), "jaccard-members")
+    members = stored(_blocks(_keys(named, docs, hot, counts), hot), "jaccard-members")
     lead = members.filter("pivot IS NULL").groupBy("block").agg(F.min("rep").alias("lead"))
     stars = (
         members.filter("pivot IS NOT NULL").groupBy("rep").agg(F.min("pivot").alias("pivot"))

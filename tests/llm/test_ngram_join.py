@@ -60,6 +60,23 @@ def test_same_as_brute_force(spark, monkeypatch, seed, share, block):
     assert got == brute(rows)
 
 
+def test_a_task_that_deals_out_keys_has_one_python_worker(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT_SHARE", 0.05)
+    monkeypatch.setattr(ngram_join, "HOT_DOCS", 4)
+    plans, write = {}, ngram_join.stored
+
+    def noted(frame, label):
+        plans[label] = frame._jdf.queryExecution().executedPlan().toString()
+        return write(frame, label)
+
+    monkeypatch.setattr(ngram_join, "stored", noted)
+    rows = corpus(2)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, ngram_join.jaccard_join(frame).collect())) == brute(rows)
+    assert "jaccard-reread" in plans  # some shingles are frequent
+    assert "ArrowEvalPython" not in plans["jaccard-members"]
+
+
 def test_empty_and_nulls(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.jaccard_join(frame).collect() == []
