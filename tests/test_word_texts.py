@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from epiflux.operators import topics, vectorize
+from epiflux.plans import load_all
 
 ODD = [
     None, "", "a", "cent", "cent\n", "recent centres <b>x</b> 1,234.5 http://a.b/c?d", "prepared preparedness prepd", "coronatesting tests",
@@ -47,6 +48,31 @@ def test_vocabulary_and_vectors_are_those_of_terms(both, least, share, most, mon
         assert sorted(map(tuple, vectorize.ngram_vectors(words, "words", names).collect())) == sorted(map(tuple, plain.collect()))
 
 
+@pytest.mark.parametrize("least, part_least, share, most", [(5, 2, 0.9, 10_000), (2, 5, 0.9, 30), (1, 0, 0.5, 8), (500, 1, 0.9, 400)])
+def test_vocabulary_of_a_part_comes_from_the_same_count(both, least, part_least, share, most, monkeypatch):
+    words, _ = both
+    part = F.expr("nullif(doc_id, 30) % 3 = 0")
+    want = [sorted(map(tuple, vectorize.ngram_vocabulary(frame, "words", n, share, most).collect()))
+            for frame, n in ((words, least), (words.filter(part), part_least))]
+    for name, value in {"MOST_WORDS": vectorize.MOST_WORDS, "_TEXTS": 2, "_HELD_TEXTS": 3}.items():
+        monkeypatch.setattr(vectorize, name, value)
+        found = vectorize.ngram_vocabularies(words, "words", part, least, part_least, share, most)
+        assert [sorted(map(tuple, one.collect())) for one in found] == want
+    monkeypatch.setattr(vectorize, "MOST_WORDS", 0)  # counted as strings
+    found = vectorize.ngram_vocabularies(words, "words", part, least, part_least, share, most)
+    assert [sorted(map(tuple, one.collect())) for one in found] == want
+
+
+def test_remapped_topics_count_words_once_and_score_one_day(spark, monkeypatch):
+    written, scored = [], []
+    write, vectors = vectorize.stored, topics.document_vectors
+    monkeypatch.setattr(vectorize, "stored", lambda frame, label: written.append(label) or write(frame, label))
+    monkeypatch.setattr(topics, "document_vectors", lambda docs, *rest: scored.append(docs) or vectors(docs, *rest))
+    load_all()[0]["topic_remap"](spark, "/root/testdata/sf0.001")
+    assert written.count("word-statistics") == 1
+    assert [str(row.day) for frame in scored for row in frame.select("day").distinct().collect()] == ["2024-01-05"]
+
+
 def test_pairs_of_rare_words_are_not_formed(both):
     words, _ = both
     pairs = vectorize.pair_statistics(words, "words", ["wa", "wb"]).collect()
