@@ -104,3 +104,24 @@ def test_models_of_words_are_those_of_terms(both):
     one, other = (topics.fit_topics(frame, "doc_id", name, k=2, passes=1, min_df=5)
                   for frame, name in ((words, "words"), (terms, "terms")))
     assert one.terms == other.terms and np.allclose(one.counts, other.counts)
+
+
+def test_words_become_shares_in_one_python_worker(both):
+    words, _ = both
+    names = ["wa", "wb", "wa wb", "wc"]
+    model = topics.TopicModel(np.array([[9.0, 1, 1, 2], [1, 8, 3, 1]]), names, 0.1)
+    found = topics.score_documents(model, words, "doc_id", "words")
+    model.vectors = topics.document_vectors(words, "doc_id", "words", names)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, topics.doc_topics(model, ["doc_id"]).collect()))
+    plan = found.select("*")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1  # that of the words
+
+
+@pytest.mark.parametrize("held", [1, 500])
+def test_word_counts_do_not_depend_on_how_many_are_held(both, monkeypatch, held):
+    words, _ = both
+    part = F.expr("doc_id % 3 = 0")
+    want = sorted(map(tuple, vectorize.word_statistics(words, "words", part).collect()))
+    monkeypatch.setattr(vectorize, "_TEXTS", 2)
+    monkeypatch.setattr(vectorize, "_HELD_COUNTS", held)
+    assert len(want) > 20 and sorted(map(tuple, vectorize.word_statistics(words, "words", part).collect())) == want
